@@ -82,11 +82,8 @@ def diff_copies(
         )
         .select(*ks, F.size("ls").alias("nl"), F.size("rs").alias("nr"), _masks(len(fields)).alias("masks"))
     )
-    small = (F.col("nl") <= 1) & (F.col("nr") <= 1)
-    easy = blocks.where(small).select(*ks, "nl", "nr", F.when((F.col("nl") == 1) & (F.col("nr") == 1), F.array(F.col("masks")[0][0])).otherwise(F.array().cast("array<int>")).alias("pairs"))
-    hard = blocks.where(~small).select(*ks, "nl", "nr", "masks")
-    hard = hard.mapInPandas(_assign_masks, T.StructType([*[f for f in hard.schema if f.name != "masks"], T.StructField("pairs", T.ArrayType(T.IntegerType()))]))
-    paired = easy.unionByName(hard)
+    schema = T.StructType([*[f for f in blocks.schema if f.name != "masks"], T.StructField("pairs", T.ArrayType(T.IntegerType()))])
+    paired = blocks.mapInPandas(_assign_masks, schema)
 
     n_pairs = F.size("pairs")
     found = paired.select(
@@ -124,6 +121,9 @@ def _assign_masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(masks) or not len(masks[0]):
                 pairs.append([])
                 continue
+            if len(masks) == len(masks[0]) == 1:
+                pairs.append([int(masks[0][0])])
+                continue
             grid = np.array([list(r) for r in masks], dtype=np.int64)
             cost = np.array([[bin(v).count("1") for v in r] for r in grid.tolist()])
             pairs.append([int(grid[i, j]) for i, j in assign(cost)])
