@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import encode
+from quire.llm import encode, leak, split
 from quire.session import table
 
 
@@ -12,5 +12,23 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item that share a seed, with run and alignment."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_pairs(spark, sf_dir).where(f"run_words >= {leak.RUN}").select("doc_id", "item_id")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_long(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split.split_long(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
+    return pieces.where("piece = 0").select("doc_id")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
