@@ -65,43 +65,55 @@ def pieces(text: str) -> list[str]:
 
 
 class _State:
-    """Bytes pending after the settled token `prev`.
+    """What may still change after the settled token `prev`.
 
-    live: positions from which a longer token could still start, the end of the bytes last.
-    ends: at each position, the token that ends the encoding up to there.
-    paths: at each live position, the boundaries of the encoding up to there, as bits.
+    live: for every position from which a longer token could start, the end of what was read last:
+    (trie node of the bytes since, boundaries of the encoding up to there as bits, its tokens).
     """
 
-    __slots__ = ("prev", "pending", "ends", "live", "paths", "next", "flush")
+    __slots__ = ("prev", "live", "read", "next", "flush")
 
-    def __init__(self, prev: int, pending: bytes, ends: list[int], live: tuple[int, ...], paths: dict[int, int]):
-        self.prev, self.pending, self.ends, self.live, self.paths = prev, pending, ends, live, paths
+    def __init__(self, prev: int, live: tuple[tuple[int, int, tuple[int, ...]], ...], read: int):
+        self.prev, self.live, self.read = prev, live, read
         self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
-        self.flush: tuple[int, ...] | None = None
+        self.flush = live[-1][2]
 
 
 class Bpe:
     """Encoder and decoder of a rank file: one line a token, base64 of its bytes and its id."""
 
-    #: Most states, compatible pairs and pieces kept by a worker.
-    STATES, PAIRS, PIECES = 300_000, 500_000, 200_000
+    #: Most transitions, compatible pairs and pieces kept by a worker.
+    STATES, PAIRS, PIECES = 500_000, 500_000, 200_000
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        #: Every token and proper prefix of one: twice the id plus two (0 if no token), plus one if a longer token begins so.
-        self.trie = {t[:i]: 1 for t in self.ranks for i in range(1, len(t))}
+        #: Trie of the tokens: node * 256 + byte to node; at a node its token (-1 if none) and whether it has children.
+        self.trie: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
         for t, i in self.ranks.items():
-            self.trie[t] = 2 * i + 2 + self.trie.get(t, 0)
+            node = 0
+            for byte in t:
+                self.inner[node] = True
+                child = self.trie.setdefault(node << 8 | byte, len(self.token_at))
+                if child == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                node = child
+            self.token_at[node] = i
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(-1, b"", [-1], (0,), {0: 1})
-        self.states = {(-1, b""): self.start}
+        for state in getattr(self, "every", ()):  # states refer to one another in cycles
+            state.next.clear()
+        self.start = _State(-1, ((0, 1, ()),), 0)
+        self.every = [self.start]
+        #: States after an emission, by what they hold; the others have one way in and need no name.
+        self.states: dict[tuple, _State] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Tokens of one piece by its merges in order of rank, the leftmost first: the definition the
@@ -127,7 +139,7 @@ class Bpe:
         into its halves, and had the two that met then a merge that comes before that moment, it
         would have joined them.
         """
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << 32 | b)
         if got is not None:
             return got
         if len(self.pairs) >= self.PAIRS:
@@ -145,47 +157,42 @@ class Bpe:
                 before, x = age_x, self._halves(x)[1]
             else:  # of two equal merges the left one comes first
                 before, y = age_y + 1, self._halves(y)[0]
-        self.pairs[a, b] = got
+        self.pairs[a << 32 | b] = got
         return got
 
-    def _tokens(self, ends: list[int], at: int) -> list[int]:
-        """Tokens of the encoding up to position `at`."""
-        out = []
-        while at:
-            out.append(ends[at])
-            at -= len(self.tokens[ends[at]])
-        return out[::-1]
-
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Determinise one transition: the next state, and the tokens settled by this byte."""
-        data, ends, paths = state.pending + bytes((byte,)), state.ends, state.paths
-        n, trie, live, token, common = len(data), self.trie, [], -1, -1
-        for j in state.live:
-            code = trie.get(data[j:])
-            if code is None:
+        trie, token_at, inner, pairs, prev = self.trie, self.token_at, self.inner, self.pairs, state.prev
+        n = state.read + 1
+        live, common, newest = [], -1, None
+        for node, path, tokens in state.live:  # from the longest candidate to the shortest
+            node = trie.get(node << 8 | byte)
+            if node is None:
                 continue
-            if code & 1:
-                live.append(j)
-                common &= paths[j]
-            if token < 0 and code > 1:
-                left = ends[j] if j else state.prev
-                if left < 0 or self.compatible(left, (code >> 1) - 1):
-                    token, path = (code >> 1) - 1, paths[j] | 1 << n
-        live.append(n)
-        cut = (common & path).bit_length() - 1
-        prev, emitted = state.prev, ()
-        if cut:
-            done = [*ends, token]
-            emitted, prev = tuple(self._tokens(done, cut)), done[cut]
-        key = (prev, data[cut:])
-        there = self.states.get(key)
-        if there is None:
-            kept = {j - cut: (paths[j] if j < n else path) >> cut for j in live}
-            there = _State(prev, data[cut:], [-1, *ends[cut + 1 :], token] if n > cut else [-1], tuple(kept), kept)
-            if len(self.states) >= self.STATES:
-                self._reset()
-                gc.collect()  # states refer to one another in cycles
-            self.states[key] = there
+            if newest is None and (token := token_at[node]) >= 0:
+                left = tokens[-1] if tokens else prev
+                fits = left < 0 or pairs.get(left << 32 | token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+                if fits:
+                    newest = 0, path | 1 << n, (*tokens, token)
+            if inner[node]:
+                live.append((node, path, tokens))
+                common &= path
+        live.append(newest)
+        cut = (common & newest[1]).bit_length() - 1
+        if cut <= 0:
+            there, emitted = _State(prev, tuple(live), n), ()
+        else:
+            k = (newest[1] & (2 << cut) - 1).bit_count() - 1
+            emitted = newest[2][:k]
+            key = (emitted[-1], *[(node, path >> cut, tokens[k:]) for node, path, tokens in live])
+            there = self.states.get(key)
+            if there is None:
+                there = self.states[key] = _State(key[0], key[1:], n - cut)
+        if len(self.every) > self.STATES:
+            self._reset()
+        self.every.append(there)
         state.next[byte] = there, emitted
         return there, emitted
 
@@ -199,8 +206,6 @@ class Bpe:
             state, emitted = step
             if emitted:
                 out += emitted
-        if state.flush is None:
-            state.flush = tuple(self._tokens(state.ends, len(state.pending)))
         out += state.flush
         return tuple(out)
 

@@ -50,8 +50,9 @@ def test_reset_keeps_results(tok, monkeypatch):
 
 
 def test_lookahead_is_bounded(tok):
+    tok.encode("更界定商风且程地增文积员正 antidisestablishmentarianism " + "-" * 300)
     longest = max(map(len, tok.ranks))
-    assert max(len(s.pending) for s in tok.states.values()) <= longest
+    assert tok.states and max(s.read for s in tok.states.values()) <= longest
 
 
 def test_utf8_machine():
