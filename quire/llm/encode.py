@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +29,17 @@ def encode(df: DataFrame, key: str, text: str, *, path: str = VOCABULARY) -> Dat
         bpe = tokenizer(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            flat, ends, begun = [], [0], 0
+            flat, ends, size, begun = [], [0], 0, 0
             for i in range(len(texts)):
                 value = texts[i].as_py()
                 if value:
-                    flat.extend(chain.from_iterable(bpe.encode_pieces(pieces(value))))
-                ends.append(len(flat))
-                if len(flat) >= BATCH_IDS or i == len(texts) - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+                    flat.append(b"".join(bpe.encode_pieces(pieces(value))))
+                    size += len(flat[-1]) // 4
+                ends.append(size)
+                if size >= BATCH_IDS or i == len(texts) - 1:
+                    ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                     yield pa.RecordBatch.from_arrays([keys.slice(begun, i + 1 - begun), ids], ["key", "ids"])
-                    flat, ends, begun = [], [0], i + 1
+                    flat, ends, size, begun = [], [0], 0, i + 1
 
     picked = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
