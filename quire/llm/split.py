@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,19 +54,19 @@ def boundaries(text: str) -> Iterator[tuple[int, int]]:
             yield m.end(), PARAGRAPH if len(_LINE_END.findall(space)) > 1 else LINE
 
 
-def units(bpe: Bpe, text: str, limit: int) -> tuple[list[int], list[int]]:
+def units(bpe: Bpe, parts: list[str], ids: list[bytes], limit: int) -> tuple[list[int], list[int]]:
     """Character ends and token counts of the smallest parts a cut may lie between: the tokenizer's
     own pieces, which encode alike wherever they stand, and parts of those longer than the limit."""
-    parts = pieces(text)
-    ids = bpe.encode_pieces(parts)
+    if max(map(len, ids)) <= 4 * limit:
+        return list(accumulate(map(len, parts))), [len(x) // 4 for x in ids]
     ends, counts, at = [], [], 0
     for part, own in zip(parts, ids):
-        if len(own) <= limit:
+        if len(own) // 4 <= limit:
             at += len(part)
             ends.append(at)
-            counts.append(len(own))
+            counts.append(len(own) // 4)
             continue
-        raw, n = b"", 0
+        own, raw, n = array("i", own), b"", 0
         for i, token in enumerate(own):
             raw += bpe.tokens[token]
             n += 1
@@ -82,10 +83,12 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
     """The pieces of a text of more than max_tokens tokens; none for any other."""
     if not text or len(text) * 4 <= max_tokens:  # a character has four bytes at most, a token one at least
         return []
-    ends, counts = units(bpe, text, max_tokens - overlap)
-    upto = [0, *accumulate(counts)]
-    if upto[-1] <= max_tokens:
+    parts = pieces(text)
+    ids = bpe.encode_pieces(parts)
+    if sum(map(len, ids)) <= 4 * max_tokens:  # ids are packed in four bytes each
         return []
+    ends, counts = units(bpe, parts, ids, max_tokens - overlap)
+    upto = [0, *accumulate(counts)]
     n = len(ends)
     starts = [0, *ends]
 
@@ -94,11 +97,14 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
         return max_tokens if first == 0 else max_tokens - overlap
 
     # Strength of the boundary before unit i.
-    strength = [PARAGRAPH] + [WORD if text[starts[i]].isspace() or text[starts[i] - 1].isspace() else TOKEN for i in range(1, n)]
+    space = [c.isspace() for c in map(text.__getitem__, starts[:-1])]
+    ended = [c.isspace() for c in map(text.__getitem__, (e - 1 for e in ends))]
+    strength = [PARAGRAPH, *[WORD if a or b else TOKEN for a, b in zip(space[1:], ended)]]
+    unit_at = dict(zip(starts, range(n)))
     for at, kind in boundaries(text):
-        i = bisect_left(starts, at)
-        if i < n and starts[i] == at:
-            strength[i] = max(strength[i], kind)
+        i = unit_at.get(at)
+        if i is not None and strength[i] < kind:
+            strength[i] = kind
 
     # Atomic segments as first units: sentences, or words of sentences over the limit, or units of such words.
     firsts = [0]
