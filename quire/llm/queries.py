@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import encode, leak, split
+from quire.llm import encode, leak, quality, split, truncate
+from quire.operators.diff import latest_version
 from quire.session import table
 
 
+def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and kind of every page."""
+    return quality.statistics(table(spark, sf_dir, "page_texts"), "page_id", "content", table(spark, sf_dir, "common_words"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_stats(spark, sf_dir).where("kind <> 'prose' and page_id is not null").select("page_id", "kind")
+
+
+def p4_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut region with the reason it counts as cut."""
+    return truncate.truncated(table(spark, sf_dir, "regions")).where("cut").select("region_id", "source", "label", "reason")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncate.truncated(table(spark, sf_dir, "regions")).where("cut").select("region_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncate.truncation_rates(table(spark, sf_dir, "regions"))
+
+
+def p4_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hidden field limit of each source that has one."""
+    rows = truncate.features(table(spark, sf_dir, "regions"))
+    return truncate.field_limits(latest_version(rows, ["region_id"], ["ingested_at"]))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -30,5 +59,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece = 0").select("doc_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p3_found": p3_found, "p3_stats": p3_stats, "p4_found": p4_found, "p4_cuts": p4_cuts, "p4_rates": p4_rates, "p4_limits": p4_limits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
