@@ -157,7 +157,7 @@ def partial(text: str, common: frozenset[str]) -> Partial:
     letters = [c for c in plain if c.isalpha()]
     s.letters, s.digits = len(letters), sum(map(str.isdecimal, plain))
     s.vowels = len(_VOWEL.findall(plain))
-    s.symbols = sum(not c.isalnum() and not c.isspace() for c in _LEADER.sub(" ", plain))
+    s.symbols = sum(not c.isalnum() and not c.isspace() and c not in "|-" for c in _LEADER.sub(" ", plain))
     lines = _BREAK.split(text)
     p.first = Line.of(lines[0])
     p.last = Line.of(lines[-1])
@@ -308,8 +308,8 @@ def _unpack(text: str) -> Partial:
 def statistics(df: DataFrame, key: str, text: str, common_words: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """(key, word_count, mean_word_length, symbol_ratio, punctuated_lines, common_words, kind), a row a key.
 
-    Words are runs of letters and digits; symbols the other visible characters without table tags and
-    dot leaders, as a share of all visible ones; lines are those with a visible character. Null, empty
+    Words are runs of letters and digits; symbols the other visible characters without table tags,
+    bars, hyphens and dot leaders, as a share of all visible ones; lines are those with a visible character. Null, empty
     and blank texts have counts and ratios of 0 and a null kind. Rows that repeat under a key count
     once; of different texts under one key one is taken, always the same. common_words holds a
     column `word`; it is read to the driver, and refused beyond a million words.
