@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import encode, leak, quality, split, truncate
+from quire.llm import descan, encode, leak, quality, split, truncate
 from quire.operators.diff import latest_version
 from quire.session import table
 
 
+def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's repaired text and the noise undone."""
+    return descan.repair(table(spark, sf_dir, "page_texts"), table(spark, sf_dir, "common_words"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = descan.repair(table(spark, sf_dir, "page_texts"), table(spark, sf_dir, "common_words"), with_text=False)
+    return pages.select("page_id", F.explode("kinds").alias("kind"))
+
+
 def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and kind of every page."""
     return quality.statistics(table(spark, sf_dir, "page_texts"), "page_id", "content", table(spark, sf_dir, "common_words"))
@@ -59,5 +70,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece = 0").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_stats": p3_stats, "p4_found": p4_found, "p4_cuts": p4_cuts, "p4_rates": p4_rates, "p4_limits": p4_limits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p3_found": p3_found, "p3_stats": p3_stats, "p4_found": p4_found, "p4_cuts": p4_cuts, "p4_rates": p4_rates, "p4_limits": p4_limits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
