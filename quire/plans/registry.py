@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import problems
+from quire.plans import layout_queries, problems
+
+_MODULES = (layout_queries, problems)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**problems.QUERIES}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.SQL}
+    return {k: f for m in _MODULES for k, f in m.SQL.items()}
