@@ -3,8 +3,8 @@
 A text is cut into atomic segments at every paragraph, line and sentence end. Adjacent pairs of
 segments lie in a heap, weakest boundary first (word, sentence, line, paragraph; of equal ones the
 pair of fewest tokens, then the leftmost), and are merged while their size plus the overlap with
-the piece before fits the limit. A segment over the limit is first broken at words, a word over it
-at tokens that end on a whole character. Every piece after the first begins with up to `overlap`
+the piece before fits the limit. A segment over the limit is first broken into phrases of whole words, a word
+over it at tokens that end on a whole character. Every piece after the first begins with up to `overlap`
 tokens of the end of the one before, from a word's beginning where there is one.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from quire.llm.bpe import VOCABULARY, Bpe, pieces, tokenizer
 
-MAX_TOKENS, OVERLAP = 512, 64
+MAX_TOKENS, OVERLAP, ATOM = 512, 64, 16
 TOKEN, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 NAMES = ("token", "word", "sentence", "line", "paragraph")
 
@@ -47,11 +47,12 @@ class Piece:
 def boundaries(text: str) -> Iterator[tuple[int, int]]:
     """(position, strength) of paragraph, line and sentence ends, in order."""
     for m in _BREAKS.finditer(text):
-        space = m.group("space")
+        space = m[1]
         if space is None:
             yield m.end(), SENTENCE
         else:
-            yield m.end(), PARAGRAPH if len(_LINE_END.findall(space)) > 1 else LINE
+            ends = space.count("\n") if "\r" not in space else len(_LINE_END.findall(space))
+            yield m.end(), PARAGRAPH if ends > 1 else LINE
 
 
 def units(bpe: Bpe, parts: list[str], ids: list[bytes], limit: int) -> tuple[list[int], list[int]]:
@@ -96,30 +97,35 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
         """Tokens of its own that a segment beginning at unit `first` may have."""
         return max_tokens if first == 0 else max_tokens - overlap
 
-    # Strength of the boundary before unit i.
-    space = [c.isspace() for c in map(text.__getitem__, starts[:-1])]
-    ended = [c.isspace() for c in map(text.__getitem__, (e - 1 for e in ends))]
-    strength = [PARAGRAPH, *[WORD if a or b else TOKEN for a, b in zip(space[1:], ended)]]
-    unit_at = dict(zip(starts, range(n)))
+    strong: dict[int, int] = {}
     for at, kind in boundaries(text):
-        i = unit_at.get(at)
-        if i is not None and strength[i] < kind:
-            strength[i] = kind
-
-    # Atomic segments as first units: sentences, or words of sentences over the limit, or units of such words.
-    firsts = [0]
-    for level in (SENTENCE, WORD, TOKEN):
-        bounds, out = [*firsts, n], []
+        i = bisect_left(starts, at)
+        if i < n and starts[i] == at and strong.get(i, 0) < kind:
+            strong[i] = kind
+
+    def strength(i: int) -> int:
+        """Of the boundary before unit i."""
+        return strong.get(i) or (WORD if text[starts[i]].isspace() or text[starts[i] - 1].isspace() else TOKEN)
+
+    # Atomic segments as first units: sentences; phrases of at least ATOM tokens in sentences over the
+    # limit; phrases that end at any unit in words over it.
+    firsts = [0, *sorted(strong.keys() - {0})]
+    for level in (WORD, TOKEN):
+        bounds, firsts = [*firsts, n], []
         for a, b in zip(bounds, bounds[1:]):
-            out.append(a)
-            if level == SENTENCE or upto[b] - upto[a] > room(a):
-                out.extend(i for i in range(a + 1, b) if strength[i] >= level)
-        firsts = out
+            firsts.append(a)
+            if upto[b] - upto[a] > room(a):
+                last = a
+                for i in range(a + 1, b):
+                    if upto[i] - upto[last] >= ATOM and strength(i) >= level:
+                        firsts.append(i)
+                        last = i
+    firsts = [a for a in firsts if a < n]
 
     # Segments as a linked list over their first units; the heap holds the boundary before `b`.
     after = dict(zip(firsts, [*firsts[1:], n]))
     before = dict(zip(firsts[1:], firsts))
-    heap = [(strength[b], upto[after[b]] - upto[before[b]], b) for b in firsts[1:]]
+    heap = [(strength(b), upto[after[b]] - upto[before[b]], b) for b in firsts[1:]]
     heapq.heapify(heap)
     while heap:
         _, size, b = heapq.heappop(heap)
@@ -131,9 +137,9 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
         after[a] = c
         if c < n:
             before[c] = a
-            heapq.heappush(heap, (strength[c], upto[after[c]] - upto[a], c))
+            heapq.heappush(heap, (strength(c), upto[after[c]] - upto[a], c))
         if a in before:
-            heapq.heappush(heap, (strength[a], upto[c] - upto[before[a]], a))
+            heapq.heappush(heap, (strength(a), upto[c] - upto[before[a]], a))
 
     out, a, last = [], 0, 0
     while a < n:
@@ -141,8 +147,8 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
         shared = a
         if a:
             fits = range(max(last, bisect_left(upto, upto[a] - overlap)), a)
-            shared = next((i for i in fits if strength[i] >= WORD), fits.start if len(fits) else a)
-        out.append(Piece(starts[shared], starts[b], upto[b] - upto[shared], upto[a] - upto[shared], NAMES[strength[b]] if b < n else "end"))
+            shared = next((i for i in fits if strength(i) >= WORD), fits.start if len(fits) else a)
+        out.append(Piece(starts[shared], starts[b], upto[b] - upto[shared], upto[a] - upto[shared], NAMES[strength(b)] if b < n else "end"))
         a, last = b, a
     return out
 
