@@ -121,7 +121,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGIONS_SQL = """
 regs AS (
   SELECT scan_id AS doc, page_index AS page, region_index::BIGINT * 10000000 + region_id AS idx, label, content, bbox_2d AS bbox
-  FROM (SELECT DISTINCT ON (region_id) * FROM (SELECT * FROM regions ORDER BY region_id, ingested_at DESC))
+  FROM (SELECT * FROM regions QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY ingested_at DESC) = 1)
 )"""
 
 

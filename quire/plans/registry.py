@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import layout_queries, problems
+from quire.plans import format_queries, layout_queries, problems
 
-_MODULES = (layout_queries, problems)
+_MODULES = (layout_queries, format_queries, problems)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
