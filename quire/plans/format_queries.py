@@ -28,7 +28,7 @@ f05_formula = _over_strings(T.formula)
 f06_bullet = _over_strings(T.bullet)
 f07_numbering = _over_strings(T.numbering)
 f08_newlines = _over_strings(T.double_newlines)
-p19_trim = _over_strings(T.trim)
+ref_p19_trim = _over_strings(T.trim)
 
 
 def f01_order(spark, d):
@@ -216,7 +216,7 @@ BLOCKS_SQL = f"{_R}, {normal_sql('regs', 'n').strip()}, {numbers_sql('n', 'm').s
 _PAGE_MD = f"SELECT doc, page, coalesce(string_agg(block, {NL} || {NL} ORDER BY idx), '') AS markdown FROM"
 
 SQL = {
-    "p19_trim": f"{_STRINGS} SELECT id, {trim_sql('content')} AS block FROM strings",
+    "ref_p19_trim": f"{_STRINGS} SELECT id, {trim_sql('content')} AS block FROM strings",
     "f01_order": f"{_R} SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY idx) - 1 AS INT) AS idx, label FROM regs",
     "f02_label": f"{_R} SELECT doc, page, idx AS key, {X.OUTPUT_SQL} AS out_label FROM regs",
     "f03_clean": f"{_STRINGS} SELECT id, {clean_sql('content')} AS block FROM strings",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.config import Layout
 from quire.operators import layout as L
+from quire.operators.polygon import polygons
 from quire.plans import fixtures as X
 
 P = ["page"]
@@ -60,6 +61,16 @@ def l05e_label(spark, d):
     return L.named(b).select("id", "cls", "label")
 
 
+def l06_polygon(spark, d):
+    """The best box of each page with an oval mask under it. No SQL: a kernel, tested by its properties."""
+    best = L.top_k(X.boxes(spark, d), P, 1, flat="id")
+    cell = lambda i, n: ((i % n if n else F.floor(i / 200)) + 0.5) * 4
+    px, py = (lambda i: cell(i, 200) * F.col("w") / 800), (lambda i: cell(i, 0) * F.col("h") / 800)
+    cx, cy, rx, ry = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) / 2, (F.col("y2") - F.col("y1")) / 2
+    oval = F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda i: F.pow((px(i) - cx) / rx, 2) + F.pow((py(i) - cy) / ry, 2) <= 1)
+    return polygons(best.withColumn("mask", oval)).select("page", "id", F.transform("polygon", lambda p: F.transform(p, lambda v: F.round(v, 3))).alias("polygon"))
+
+
 def l07_nms(spark, d):
     return L.nms(X.boxes(spark, d), P).select("page", "id", "cls", "score")
 
@@ -195,4 +206,4 @@ SQL = {
       {_large('single').strip()}, {_contain('fits').strip()}, {_CLAMP.format('contained')}, t AS (SELECT *, {X.TASK_SQL} AS task FROM clamped)
       SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY ord, id) - 1 AS INT) AS idx, task, {_MILLI} AS bbox2d FROM t WHERE task <> 'abandon'""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in sorted([*SQL, "l06_polygon"])}

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import format_queries, layout_queries, problems
+from quire.plans import format_queries, layout_queries, pipeline_queries, problems
 
-_MODULES = (layout_queries, format_queries, problems)
+_MODULES = (layout_queries, format_queries, pipeline_queries, problems)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p5_found(spark, sf_dir)
+    return format_queries.f14_documents(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
