@@ -96,11 +96,17 @@ def recognise(jobs: DataFrame, recognizer: Recognizer, batch_size: int = 4) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for _, group in rows.groupby(bucket, sort=False, dropna=False):
-                for a in range(0, len(group), batch_size):
-                    part = group.iloc[a : a + batch_size]
-                    found = texts(part)
-                    yield pd.DataFrame({"doc": part["doc"], "page": part["page"], "idx": part["idx"], "text": [x for x, _ in found], "error": [e for _, e in found]})
+            out = rows[["doc", "page", "idx"]].assign(text=None, error=None)
+            found: list[tuple[str | None, str | None]] = []
+            order: list[int] = []
+            for at in rows.groupby(bucket, sort=False, dropna=False).indices.values():
+                for a in range(0, len(at), batch_size):
+                    part = at[a : a + batch_size]
+                    found += texts(rows.iloc[part])
+                    order += part.tolist()
+            back = {i: f for i, f in zip(order, found)}
+            out["text"], out["error"] = [back[i][0] for i in range(len(rows))], [back[i][1] for i in range(len(rows))]
+            yield out
 
     together = jobs.select(*cols).repartition(*bucket, F.pmod(F.hash("doc"), F.lit(64))).sortWithinPartitions(*bucket, "doc", "page", "idx")
     schema = T.StructType([f for f in jobs.select("doc", "page", "idx").schema] + [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])

@@ -86,28 +86,33 @@ def named(dets: DataFrame, cls: str = "cls") -> DataFrame:
 def nms(dets: DataFrame, keys: Sequence[str], layout: Layout = Layout()) -> DataFrame:
     """Greedy suppression in order of score, ties by id.
 
-    A page is one array, which the model bounds at 300 detections; a page of more is cut into none:
-    it raises, as a page without bound can't be folded in one row. The fold keeps a box unless some
-    kept box overlaps it by `same_class_iou` within its class or `cross_class_iou` across classes;
-    areas include the border pixels.
+    A join within the page finds the pairs that overlap by `same_class_iou` within a class or
+    `cross_class_iou` across classes, areas with their border pixels; then a fold over each page's
+    ranks keeps a box unless a kept one before it suppresses it. All of it needs one shuffle, on the
+    page. The fold holds a page's ranks in one row; the model bounds a page at 300 detections, and a
+    page of more raises.
     """
-    box = F.struct(F.col("score").alias("s"), (-F.col("id")).alias("n"), F.col("cls").cast("int").alias("c"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    pages = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(box), asc=False).alias("boxes"))
+    by_score = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
+    box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    ranked = dets.select(*keys, "id", "cls", *box, F.row_number().over(by_score).alias("r"))
+    a = ranked.select(*keys, *[F.col(c).alias("a_" + c) for c in ("cls", "x1", "y1", "x2", "y2", "r")])
+
+    def area(p: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(p + "x2") - F.col(p + "x1") + 1) * F.greatest(F.lit(0.0), F.col(p + "y2") - F.col(p + "y1") + 1)
+
+    w = F.greatest(F.lit(0.0), F.least("x2", "a_x2") - F.greatest("x1", "a_x1") + 1)
+    h = F.greatest(F.lit(0.0), F.least("y2", "a_y2") - F.greatest("y1", "a_y1") + 1)
+    union = area("") + area("a_") - w * h
+    limit = F.when(F.col("cls") == F.col("a_cls"), F.lit(layout.same_class_iou)).otherwise(F.lit(layout.cross_class_iou))
+    clash = ranked.join(a, list(keys)).where((F.col("a_r") < F.col("r")) & (F.when(union > 0, w * h / union).otherwise(F.lit(0.0)) >= limit))
+    prior = clash.groupBy(*keys, "r").agg(F.collect_list("a_r").alias("prior"))
+    rows = ranked.select(*keys, "id", "r").join(prior, [*keys, "r"], "left")
+    pages = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "id", "prior"))).alias("boxes"))
     pages = pages.withColumn("boxes", F.when(F.size("boxes") <= dims.MAX_DETECTIONS, F.col("boxes")).otherwise(F.raise_error(F.lit("a page has more than 300 detections"))))
-
-    def area(b: Column) -> Column:
-        return F.greatest(F.lit(0.0), b["x2"] - b["x1"] + 1) * F.greatest(F.lit(0.0), b["y2"] - b["y1"] + 1)
-
-    def over(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1)
-        h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1)
-        union = area(a) + area(b) - w * h
-        limit = F.when(a["c"] == b["c"], F.lit(layout.same_class_iou)).otherwise(F.lit(layout.cross_class_iou))
-        return F.when(union > 0, w * h / union).otherwise(F.lit(0.0)) >= limit
-
-    empty = F.filter("boxes", lambda b: F.lit(False))
-    kept = F.aggregate("boxes", empty, lambda acc, b: F.when(F.exists(acc, lambda k: over(b, k)), acc).otherwise(F.concat(acc, F.array(b))))
-    ids = pages.select(*keys, F.explode(F.transform(kept, lambda b: -b["n"])).alias("id"))
+    none = F.array().cast("array<int>")
+    kept = F.aggregate("boxes", none, lambda acc, b: F.when(F.coalesce(F.exists(b["prior"], lambda p: F.array_contains(acc, p)), F.lit(False)), acc).otherwise(F.concat(acc, F.array(b["r"]))))
+    # The fold stands inside the generator, which runs it once a page; above it, it would run for each box.
+    ids = pages.select(*keys, F.explode(F.transform(kept, lambda r: F.get("boxes", r - 1)["id"])).alias("id"))
     return dets.join(ids, [*keys, "id"], "left_semi")
 
 
