@@ -230,7 +230,7 @@ def m16_filters(spark, d):
 
 
 def m16_penalty(spark, d):
-    return _vocabulary(spark, d).select("vec_id", "token", F.round(M.repetition_penalty(F.col("logit"), F.col("token") < 20), 6).alias("logit"))
+    return _vocabulary(spark, d).select("vec_id", "token", (F.round(M.repetition_penalty(F.col("logit"), F.col("token") < 20), 6) + 0.0).alias("logit"))
 
 
 def m17_stop(spark, d):
@@ -353,7 +353,7 @@ SQL = {
       c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p, token DESC ROWS UNBOUNDED PRECEDING) AS below, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM p)
       SELECT vec_id, token, round(p, 8) AS p FROM c WHERE round(below, 9) > 0.1 AND r <= 12""",
     "m16_penalty": """WITH v AS (SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS token FROM embeddings), l AS (SELECT vec_id, token, round(x::DOUBLE * 4, 4) AS logit FROM v)
-      SELECT vec_id, token, round(CASE WHEN token >= 20 THEN logit WHEN logit < 0 THEN logit * 1.1::DOUBLE ELSE logit / 1.1::DOUBLE END, 6) AS logit FROM l""",
+      SELECT vec_id, token, round(CASE WHEN token >= 20 THEN logit WHEN logit < 0 THEN logit * 1.1::DOUBLE ELSE logit / 1.1::DOUBLE END, 6) + 0.0::DOUBLE AS logit FROM l""",
     "m17_stop": f"""WITH {X.PAGES_SQL}, t AS (SELECT page_id, list_transform(range(0, 10), lambda i: CAST(page_id * (i + 1) % 11 AS INT)) AS t FROM pages),
       s AS (SELECT *, list_min(list_filter([list_position(t, 3), list_position(t, 7)], lambda p: p > 0)) AS first FROM t) SELECT page_id, t[1:least(8, coalesce(first - 1, 10))] AS ids FROM s""",
     "m19_snapshot": """WITH s AS (SELECT DISTINCT source AS model, stem AS name, n_bytes % 3 = 0 AS is_symlink, 'to/' || stem AS target, date_trunc('month', modified_at)::TIMESTAMP AS mtime FROM scans)

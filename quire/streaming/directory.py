@@ -10,9 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.sources.files import accepted
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def file_stream(spark: SparkSession, directory: str, max_files: int = 1000) -> DataFrame:
     """(path, modificationTime, length, content, name, stem, kind) of files as they arrive, a bounded number a batch."""
-    got = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(directory)
+    got = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", max_files).load(directory)
     return accepted(got)
 
 
