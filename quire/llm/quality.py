@@ -244,7 +244,7 @@ def finish(p: Partial, common: frozenset[str]) -> Sums:
 
 #: Bounds of the rules, as shares.
 PROSE_COMMON, TABLE_ROWS, TABLE_TAGS, LIST_ITEMS = 0.235, 0.5, 8, 0.5
-JUNK_SYMBOLS, JUNK_REPEATS, JUNK_HEX, JUNK_LONG, JUNK_VOWELS, JUNK_WORD = 0.4, 0.6, 0.75, 0.5, 0.18, 1.7
+JUNK_SYMBOLS, JUNK_REPEATS, JUNK_HEX, JUNK_LONG, JUNK_VOWELS, JUNK_WORD, JUNK_TORN = 0.4, 0.6, 0.75, 0.5, 0.18, 1.7, 2.6
 
 
 def kind(s: Sums) -> str | None:
@@ -257,6 +257,7 @@ def kind(s: Sums) -> str | None:
     mean, symbols = s.word_chars / s.words, s.symbols / seen
     if (
         (mean < JUNK_WORD and symbols > 0.15)
+        or (mean < JUNK_TORN and symbols > 0.25 and s.digits < 0.05 * s.letters)
         or symbols > JUNK_SYMBOLS
         or (s.words > 8 and s.repeats > JUNK_REPEATS * s.words)
         or s.hexes > JUNK_HEX * s.words

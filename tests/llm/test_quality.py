@@ -33,7 +33,7 @@ def test_kinds():
         "prose": [prose, "HEADER 3\n\n" + prose],
         "list": ["* dry hatch\n* open window\n* cold gate", "1) one unit\n2) tin cup\n3) red box", "Cold gate: 12\nDry hatch: yes\nLamp oil: -", "1 Dry hatch of Belum ........... 6\n2 Lamp oil ........ 19"],
         "table": ["| Gate | Lamp oil |\n| --- | --- |\n| Dorow | 4% |\n| Belum | 17 |", "Gate;Lamp\nDorow;12\nBelum;", "Gate\tLamp\nDorow\t12", "Gate      Lamp\nDorow       12\nBelum        3", "<table><tr><td>Gate</td><td>Lamp</td></tr><tr><td>1</td><td>2</td></tr></table>\n3"],
-        "junk": ["45x\n" * 30, "COPY DRAFT " * 20, "~ , _ . ; l ' j\n. | r I t", "=====\n-----", "zvnr rttrkz xtzrb jdqqq fns fwbkdtp hcggjbfjw", "9e ca 42 f7 4a 52 fb 3f 37 c1 5a f5"],
+        "junk": ["45x\n" * 30, "COPY DRAFT " * 20, "~ , _ . ; l ' j\n. | r I t", "=====\n-----", "zvnr rttrkz xtzrb jdqqq fns fwbkdtp hcggjbfjw", "9e ca 42 f7 4a 52 fb 3f 37 c1 5a f5", "Â©¬Ã© âÃÂœÂ ÂïœÃâ© ï»©Âï »œÃâŸ ©âœœ œŸ œÂ¬ ¿©Ââ¿Ÿœâ¬ ©ïâ¬Ÿ"],
     }
     for want, texts in cases.items():
         for t in texts:
