@@ -16,6 +16,21 @@ from quire import dims
 from quire.config import Layout
 
 
+#: The shapes a layout model gives per page: queries by classes, boxes, pairwise order, masks.
+SHAPES = {"logits": 300 * 25, "boxes": 300 * 4, "order": 300 * 300, "masks": 300 * 200 * 200}
+
+
+def shape_errors(preds: DataFrame, keys: Sequence[str], shapes: dict[str, int] = SHAPES) -> DataFrame:
+    """L1: (keys, error) for each flat array that isn't of its shape, null ones included."""
+    checks = [F.when(~F.coalesce(F.size(c) == n, F.lit(False)), F.lit(f"{c} must hold {n} values")) for c, n in shapes.items()]
+    return preds.select(*keys, F.explode(F.array_compact(F.array(*checks))).alias("error"))
+
+
+def class_names(config: dict[int, str] | None, model: dict[int, str] | None) -> dict[int, str]:
+    """L5f: names of classes from the options, else from the model, else the built-in ones."""
+    return config or model or dict(enumerate(dims.CLASSES))
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

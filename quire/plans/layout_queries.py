@@ -14,6 +14,13 @@ LAYOUT = Layout(class_thresholds={"image": 0.5, "table": 0.2, "reference": 0.15}
 BOX = ["page", "id", "cls", "score", "x1", "y1", "x2", "y2"]
 
 
+def l01_shapes(spark, d):
+    from quire.session import table
+
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 60)).when(F.col("vec_id") % 11 > 0, F.col("embedding")).alias("logits"))
+    return L.shape_errors(e, ["vec_id"], {"logits": 64})
+
+
 def l02_size_mask(spark, d):
     s = X.logits(spark, d)
     w, h = F.abs(F.col("logit")) / 20, (F.col("flat") % 7) / 700
@@ -176,6 +183,7 @@ _THRESHOLD = "score::FLOAT >= (CASE label WHEN 'image' THEN 0.5 WHEN 'table' THE
 _LOGITS = "WITH " + X.LOGITS_SQL.strip()
 
 SQL = {
+    "l01_shapes": "SELECT vec_id, 'logits must hold 64 values' AS error FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0",
     "l02_size_mask": f"{_LOGITS} SELECT page, flat, round(CASE WHEN abs(logit) / 20 > 1.0/200 AND (flat % 7) / 700.0 > 1.0/200 THEN logit ELSE -100 END, 6) AS masked FROM logits",
     "l03_topk": f"""{_LOGITS}, s AS (SELECT page, query, flat, round(1 / (1 + exp(-logit)), 9) AS score FROM logits),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, flat) - 1 AS INT) AS rank FROM s) SELECT * FROM r WHERE rank < 10""",

@@ -33,6 +33,17 @@ def s08_raster(spark, d):
     return p.select("page_id", M.raster_size(F.col("w").cast("double"), F.col("h").cast("double")).alias("ceiled"), M.raster_size(F.col("w").cast("double"), F.col("h").cast("double"), whole="round").alias("rounded"))
 
 
+def s10_empty(spark, d):
+    docs = table(spark, d, "scans").select(F.col("scan_id").alias("doc"), "stem").distinct()
+    return S.empty_documents(docs, X.regions(spark, d), "doc").select("doc", "stem", "error")
+
+
+def c01_markdown_files(spark, d):
+    """Newline-terminated Markdown by stem, as the sink writes it."""
+    names = table(spark, d, "scans").groupBy(F.col("scan_id").alias("doc")).agg(F.min("stem").alias("stem"))
+    return names.join(Q.f14_documents(spark, d), "doc").select("stem", F.concat(F.rtrim("markdown", F.lit("\n")), F.lit("\n")).alias("content"))
+
+
 def ref_p01_page_mismatch(spark, d):
     scans = table(spark, d, "scans").select(F.col("scan_id").alias("doc"), "page_count").distinct().where("page_count > 0")
     pages = scans.select("doc", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page"))
@@ -293,6 +304,8 @@ SQL = {
     "s07_page_cap": "WITH s AS (SELECT DISTINCT scan_id, kind, page_count FROM scans) SELECT scan_id, CAST(unnest(range(CASE WHEN kind = 'pdf' THEN least(coalesce(page_count, 0), 4) ELSE 1 END)) AS INT) AS page_index FROM s",
     "s08_raster": f"""WITH {X.PAGES_SQL}, s AS (SELECT *, least(200 / 72.0::DOUBLE, 3500.0::DOUBLE / greatest(w, h)) AS f FROM pages)
       SELECT page_id, [greatest(1, CAST(ceil(w * f) AS INT)), greatest(1, CAST(ceil(h * f) AS INT))] AS ceiled, [greatest(1, CAST(round(w * f) AS INT)), greatest(1, CAST(round(h * f) AS INT))] AS rounded FROM s""",
+    "s10_empty": f"WITH {X.REGIONS_SQL.strip()} SELECT DISTINCT scan_id AS doc, stem, 'the document has no pages' AS error FROM scans WHERE scan_id NOT IN (SELECT doc FROM regs WHERE doc IS NOT NULL)",
+    "c01_markdown_files": Q.SQL["f14_documents"].replace("SELECT doc, string_agg(markdown", "SELECT (SELECT min(stem) FROM scans WHERE scan_id = doc) AS stem, rtrim(string_agg(markdown").replace("ORDER BY page) AS markdown FROM pages GROUP BY doc", "ORDER BY page), chr(10)) || chr(10) AS content FROM pages WHERE doc IN (SELECT scan_id FROM scans) GROUP BY doc"),
     "ref_p01_page_mismatch": f"""WITH {X.REGIONS_SQL.strip()}, {_SCANPAGES}, a AS (SELECT doc, count(*) AS pages FROM scanpages GROUP BY doc), b AS (SELECT doc, count(DISTINCT page) AS detected FROM regs WHERE label <> 'seal' GROUP BY doc)
       SELECT doc, coalesce(pages, 0) AS pages, coalesce(detected, 0) AS detected FROM a FULL JOIN b USING (doc) WHERE coalesce(pages, 0) <> coalesce(detected, 0)""",
     "ref_p02_pair_pages": f"WITH {X.REGIONS_SQL.strip()}, {_SCANPAGES} SELECT doc, page, idx, label FROM regs SEMI JOIN scanpages USING (doc, page)",

@@ -40,7 +40,9 @@ def images(spark: SparkSession, directory: str) -> DataFrame:
     """Decoded images (path, width, height, channels, data as BGR rows). A file that can't be decoded has null sizes."""
     got = spark.read.format("image").option("dropInvalid", "false").load(directory)
     i = "image."
-    return got.select(F.col(i + "origin").alias("path"), F.nullif(F.col(i + "width"), F.lit(-1)).alias("width"), F.nullif(F.col(i + "height"), F.lit(-1)).alias("height"), F.col(i + "nChannels").alias("channels"), F.col(i + "data").alias("data"))
+    # The two sources write the scheme of local files with one slash or three.
+    origin = F.regexp_replace(i + "origin", "^file:/+", "file:/")
+    return got.select(origin.alias("path"), F.nullif(F.col(i + "width"), F.lit(-1)).alias("width"), F.nullif(F.col(i + "height"), F.lit(-1)).alias("height"), F.col(i + "nChannels").alias("channels"), F.col(i + "data").alias("data"))
 
 
 def page_numbers(documents: DataFrame, cap: int | None) -> DataFrame:

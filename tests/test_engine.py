@@ -84,3 +84,38 @@ def test_stream(spark, tmp_path):
     query = parse_stream(file_stream(spark, str(tmp_path / "in")), lambda batch, i: seen.extend(r.name for r in batch.select("name").collect()), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert seen == ["a.png"]
+
+
+def test_image_kernels():
+    import numpy as np
+
+    from quire.functions import images as I
+
+    image = np.arange(10 * 8 * 3, dtype=np.uint8).reshape(8, 10, 3)
+    assert (I.crop(image, (2, 1, 5, 4)) == image[1:4, 2:5]).all()
+    with pytest.raises(ValueError):
+        I.crop(image, (5, 5, 5, 9))
+    keep = I.inside([(0, 0), (4, 0), (4, 4), (0, 4)], 10, 8)
+    assert keep.sum() == 16 and keep[:4, :4].all()
+    part = I.crop_region(image, (2, 1, 8, 7), [(2, 1), (5, 1), (5, 4), (2, 4)])
+    assert (part[:3, :3] == image[1:4, 2:5]).all() and (part[3:] == 255).all() and (part[:, 3:] == 255).all()
+    assert (I.mask_white(image, [(0, 0), (1, 1)]) == image).all()
+    assert np.allclose(I.resize(image, 10, 8), image) and I.layout_input(image, 16).shape == (3, 16, 16)
+    assert np.allclose(I.normalise(np.full((1, 1, 3), 255, np.uint8), (0.5,) * 3, (0.5,) * 3), 1.0)
+    frames = np.arange(2 * 3 * 56 * 28).reshape(2, 3, 56, 28)
+    rows, grid = I.patchify(frames)
+    assert grid == (1, 4, 2) and rows.shape == (8, 3 * 2 * 14 * 14)
+    assert (rows[1].reshape(3, 2, 14, 14) == frames[:, :, :14, 14:28].transpose(1, 0, 2, 3)).all()
+    assert I.patchify(frames[:1])[1] == (1, 4, 2)
+
+
+def test_command(shared, tmp_path):
+    from quire.cli import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(adapters.png(4, 4, bytes(48)))
+    out, rep = str(tmp_path / "out"), str(tmp_path / "report.json")
+    assert main([str(tmp_path / "in"), out, "--report", rep], shared) == 0
+    assert (tmp_path / "out" / "a" / "a.md").read_text().startswith("Recognized text") and json.loads(open(rep).read())["documents"] == 1
+    (tmp_path / "in" / "b.pdf").write_bytes(b"fake-pdf")
+    assert main([str(tmp_path / "in"), out, "--no-layout"], shared) == 1
