@@ -327,12 +327,11 @@ def sidecar_tables(df: DataFrame) -> dict[str, DataFrame]:
 def sidecar_children(df: DataFrame) -> DataFrame:
     """One row per child record: (sidecar_id, child, page_index, item), distinct.
 
-    The bodies are read once: a figure finds its region among the regions of its own sidecar by
-    one aggregation over (sidecar_id, page_index, item), not by a join of two readings.
+    The bodies are read once and where they lie: one aggregation over (sidecar_id, page_index, item)
+    links each figure with the regions of its own sidecar, and makes sidecars that came again count once.
     """
-    once = df.select("sidecar_id", "body").dropDuplicates(["sidecar_id", "body"])
     f, at = F.col("fields"), F.col("ordinals")
-    rows = children(once, "sidecar_id", "body").select(
+    rows = children(df, "sidecar_id", "body").select(
         F.col("record_id").alias("sidecar_id"),
         "child",
         F.when(F.col("child").isin("page", "region"), at[0]).when(F.col("child") == "figure", f["pageIndex"].try_cast("double").cast("int")).otherwise(-1).alias("page_index"),
