@@ -79,7 +79,7 @@ def features(regions: DataFrame) -> DataFrame:
         (content != "").alias("filled"),
         F.array(*[c.cast("int") for c in lengths(whole).values()]).alias("sizes"),
         content.rlike("\ufffd$").alias("torn"),
-        content.rlike(r"^\p{Ll}").alias("begins_low"),
+        content.rlike(r"^\p{Ll}(?![.)]\s)").alias("begins_low"),
         end.rlike(_DOTS).alias("dots"),
         (end.rlike(_END) & ~end.rlike(_OPEN_DOT)).alias("ends_well"),
         (F.regexp_count(end, F.lit(r"[(“«„]")) > F.regexp_count(end, F.lit(r"[)”»“]"))).alias("opened"),
@@ -120,7 +120,7 @@ def truncated(regions: DataFrame) -> DataFrame:
     Columns region_id, source, label, cut (boolean), reason ('limit', 'marked', 'sentence', 'table',
     'bytes' or null). Null and empty contents are no rows. Regions whose source is null have no limit
     but their endings are inspected. Regions without scan, page or region order follow none. A sentence
-    runs on where the next text region, on the page or the pages after, begins with a small letter; the
+    runs on where the next text region, on the page or the pages after, begins with a small letter that isn't a list's; the
     pages of a scan are linked by a summary of one row a page, so a scan of any length is no hot spot.
     """
     rows = latest_version(features(regions), ["region_id"], ["ingested_at"])
