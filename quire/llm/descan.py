@@ -389,7 +389,7 @@ def paragraphs(lines: list[tuple[int, str]], all_lines: list[str]) -> list[int]:
 
 # --- pages ------------------------------------------------------------------------------------
 
-_PAGES = T.StructType(
+_SHAPE = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
         T.StructField("scan_id", T.LongType()),
@@ -400,9 +400,14 @@ _PAGES = T.StructType(
 
 
 def _pages(df: DataFrame) -> DataFrame:
-    """One row a page: of differing texts under one id always the same one, first by page index."""
-    picked = df.select(*[F.col(f.name).cast(f.dataType) for f in _PAGES]).where("page_id is not null")
-    return picked.groupBy("page_id").agg(F.min(F.struct("scan_id", "page_index", "content")).alias("x")).select("page_id", "x.*")
+    """Rows of pages with a digest of their text, `text_key`, by which marks find the text they were made from."""
+    picked = df.select(*[F.col(f.name).cast(f.dataType) for f in _SHAPE]).where("page_id is not null")
+    return picked.withColumn("text_key", F.xxhash64("content"))
+
+
+def _one_each(pages: DataFrame) -> DataFrame:
+    """One row a page: of differing texts under one id always the same one, first by scan and page index."""
+    return pages.groupBy("page_id").agg(F.min(F.struct("scan_id", "page_index", "content", "text_key")).alias("x")).select("page_id", "x.*")
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
@@ -430,27 +435,27 @@ def lexicon(pages: DataFrame, most: int = LEXICON_WORDS) -> dict[str, int]:
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, headers, numbers): for each page the lines that are running headers or footers, and those that are its number.
+    """(page_id, text_key, headers, numbers): for each page the lines that are running headers or footers, and those that are its number.
 
     A folded edge line is a header where two or more pages of the scan have it. Where page numbers of a
     scan go on with its page index, others are none; where there is no such pair of pages, a number
     counts unless it is a bare one of four digits, like a year.
     """
-    schema = "page_id long, scan_id long, page_index int, line int, folded string, number int, offset int, plain boolean"
+    schema = "page_id long, text_key long, scan_id long, page_index int, line int, folded string, number int, offset int, plain boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for page_id, scan_id, index, text in zip(b["page_id"], b["scan_id"], b["page_index"], b["content"]):
+            for page_id, key, scan_id, index, text in zip(b["page_id"], b["text_key"], b["scan_id"], b["page_index"], b["content"]):
                 e = edges(text)
                 for i in edge_lines(e):
                     f = fold(e.lines[i])
                     if len(f) > 3:
-                        out.append((page_id, scan_id, index, i, f, None, None, None))
+                        out.append((page_id, key, scan_id, index, i, f, None, None, None))
                 for i, n in e.numbers.items():
                     plain = e.lines[i].strip()
-                    out.append((page_id, scan_id, index, i, None, n, None if pd.isna(index) else n - int(index), plain.isdigit() or plain.isalpha()))
-            frame = pd.DataFrame(out, columns=["page_id", "scan_id", "page_index", "line", "folded", "number", "offset", "plain"])
+                    out.append((page_id, key, scan_id, index, i, None, n, None if pd.isna(index) else n - int(index), plain.isdigit() or plain.isalpha()))
+            frame = pd.DataFrame(out, columns=["page_id", "text_key", "scan_id", "page_index", "line", "folded", "number", "offset", "plain"])
             for c in ("number", "offset", "page_index", "scan_id"):
                 frame[c] = frame[c].astype("Int64")
             frame["plain"] = frame["plain"].astype("boolean")
@@ -460,13 +465,13 @@ def running_lines(pages: DataFrame) -> DataFrame:
     # Pages of a scan per folded line, and per difference of page number and index, counted partly in the map.
     shared = marks.where("folded is not null").groupBy("scan_id", "folded").agg(F.count_distinct("page_id").alias("pages")).where("pages > 1")
     steady = marks.where("offset is not null").groupBy("scan_id", "offset").agg(F.count_distinct("page_id").alias("pages"))
-    headers = marks.where("folded is not null").join(shared, ["scan_id", "folded"]).groupBy("page_id").agg(F.collect_set("line").alias("headers"))
+    headers = marks.where("folded is not null").join(shared, ["scan_id", "folded"]).groupBy("page_id", "text_key").agg(F.collect_set("line").alias("headers"))
     best = steady.groupBy("scan_id").agg(F.max("pages").alias("best"))
     numbers = marks.where("number is not null").join(steady, ["scan_id", "offset"], "left").join(best, "scan_id", "left")
     steady_scan = F.coalesce(F.col("best") > 1, F.lit(False))
     alone = ~steady_scan & (~F.col("plain") | (F.col("number") < 1000))
-    numbers = numbers.where(alone | F.coalesce(F.col("pages") > 1, F.lit(False))).groupBy("page_id").agg(F.collect_set("line").alias("numbers"))
-    return headers.join(numbers, "page_id", "full")
+    numbers = numbers.where(alone | F.coalesce(F.col("pages") > 1, F.lit(False))).groupBy("page_id", "text_key").agg(F.collect_set("line").alias("numbers"))
+    return headers.join(numbers, ["page_id", "text_key"], "full")
 
 
 def repair(df: DataFrame, common_words: DataFrame, *, with_text: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -480,8 +485,9 @@ def repair(df: DataFrame, common_words: DataFrame, *, with_text: bool = True, le
     """
     pages = _pages(df)
     counts = lexicon(pages, lexicon_words)
-    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().limit(1_000_000).toLocalIterator())
-    marked = pages.join(running_lines(pages), "page_id", "left").select("page_id", "content", "headers", "numbers")
+    common = quality.word_set(common_words)
+    # Words and running lines are taken from the rows as they lie; only this join moves texts.
+    marked = _one_each(pages).join(running_lines(pages), ["page_id", "text_key"], "left").select("page_id", "content", "headers", "numbers")
     schema = "page_id long, kinds array<string>, repaired string, n_hyphens int, n_misreads int, n_splits int, n_merges int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

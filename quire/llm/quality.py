@@ -306,6 +306,14 @@ def _unpack(text: str) -> Partial:
     return Partial(Sums(**d.pop("sums")), first=Line(**d.pop("first")), last=Line(**d.pop("last")), **d)
 
 
+def word_set(common_words: DataFrame, most: int = 1_000_000) -> frozenset[str]:
+    """The distinct words of a list of frequent words, lower case. A list of over `most` is refused."""
+    words = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().limit(most + 1).toLocalIterator())
+    if len(words) > most:
+        raise ValueError("common_words is a list of frequent words; it has over a million")
+    return words
+
+
 def statistics(df: DataFrame, key: str, text: str, common_words: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """(key, word_count, mean_word_length, symbol_ratio, punctuated_lines, common_words, kind), a row a key.
 
@@ -315,9 +323,7 @@ def statistics(df: DataFrame, key: str, text: str, common_words: DataFrame, *, c
     once; of different texts under one key one is taken, always the same. common_words holds a
     column `word`; it is read to the driver, and refused beyond a million words.
     """
-    words = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().limit(1_000_001).toLocalIterator())
-    if len(words) > 1_000_000:
-        raise ValueError("common_words is a list of frequent words; it has over a million")
+    words = word_set(common_words)
     kind_of_key = df.schema[key].dataType
     value = F.regexp_replace(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), r"\r\n?", "\n")
     rows = df.select(F.col(f"`{key}`").alias("key"), value.alias("text"))
