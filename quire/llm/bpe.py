@@ -84,26 +84,29 @@ class Bpe:
     """Encoder and decoder of a rank file: one line a token, base64 of its bytes and its id."""
 
     #: Most transitions, compatible pairs and pieces kept by a worker.
-    STATES, PAIRS, PIECES = 600_000, 500_000, 300_000
+    NONE = 1 << 30
+    STATES, PAIRS, PIECES = 200_000, 400_000, 300_000
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        #: Trie of the tokens: node * 256 + byte to node; at a node its token (-1 if none) and whether it has children.
+        #: Trie of the tokens: node * 256 + byte to node; at a node its token, NONE if there is none, and
+        #: the token's complement where no longer token begins so.
         self.trie: dict[int, int] = {}
-        self.token_at, self.inner = [-1], [True]
+        token_at, inner = [-1], [True]
         for t, i in self.ranks.items():
             node = 0
             for byte in t:
-                self.inner[node] = True
-                child = self.trie.setdefault(node << 8 | byte, len(self.token_at))
-                if child == len(self.token_at):
-                    self.token_at.append(-1)
-                    self.inner.append(False)
+                inner[node] = True
+                child = self.trie.setdefault(node << 8 | byte, len(token_at))
+                if child == len(token_at):
+                    token_at.append(self.NONE)
+                    inner.append(False)
                 node = child
-            self.token_at[node] = i
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+            token_at[node] = i
+        self.at = [t if more else ~t for t, more in zip(token_at, inner)]
+        self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self._reset()
@@ -127,11 +130,14 @@ class Bpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
-        got = self.halves.get(token)
-        if got is None:
-            got = self.halves[token] = tuple(self.merge(token, 2))
-        return got
+    def _spine(self, token: bytes, half: int) -> list[tuple[bytes, int]]:
+        """A token, its first (half 0) or last (1) half, the half of that and so on, each with the rank
+        of the merge that made it, -1 for a single byte."""
+        out = []
+        while len(token) > 1:
+            out.append((token, self.ranks[token]))
+            token = self.merge(token, 2)[half]
+        return [*out, (token, -1)]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave tokens a and b apart when b follows a within a piece.
@@ -145,41 +151,50 @@ class Bpe:
             return got
         if len(self.pairs) >= self.PAIRS:
             self.pairs.clear()
-        ranks, x, y, before, got = self.ranks, self.tokens[a], self.tokens[b], sys.maxsize, True
+        xs, ys = self.spines[1].get(a), self.spines[0].get(b)
+        if xs is None:
+            xs = self.spines[1][a] = self._spine(self.tokens[a], 1)
+        if ys is None:
+            ys = self.spines[0][b] = self._spine(self.tokens[b], 0)
+        ranks, before, i, j, got = self.ranks, sys.maxsize, 0, 0, True
         while True:
+            (x, x_age), (y, y_age) = xs[i], ys[j]
             if ranks.get(x + y, sys.maxsize) < before:
                 got = False
                 break
-            age_x = ranks[x] if len(x) > 1 else -1
-            age_y = ranks[y] if len(y) > 1 else -1
-            if age_x < 0 and age_y < 0:
+            if x_age > y_age:
+                before = x_age
+                i += 1
+            elif y_age < 0:
                 break
-            if age_x > age_y:
-                before, x = age_x, self._halves(x)[1]
             else:  # of two equal merges the left one comes first
-                before, y = age_y + 1, self._halves(y)[0]
+                before = y_age + 1
+                j += 1
         self.pairs[a << 32 | b] = got
         return got
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Determinise one transition: the next state, and the tokens settled by this byte."""
-        trie, token_at, inner, pairs, prev = self.trie, self.token_at, self.inner, self.pairs, state.prev
+        trie, at, pairs, prev, none = self.trie, self.at, self.pairs, state.prev, self.NONE
         n = state.read + 1
         live, common, newest = [], -1, None
         for node, path, tokens in state.live:  # from the longest candidate to the shortest
             node = trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if newest is None and (token := token_at[node]) >= 0:
+            token = at[node]
+            if token >= 0:
+                live.append((node, path, tokens))
+                common &= path
+            else:
+                token = ~token
+            if newest is None and token != none:
                 left = tokens[-1] if tokens else prev
                 fits = left < 0 or pairs.get(left << 32 | token)
                 if fits is None:
                     fits = self.compatible(left, token)
                 if fits:
                     newest = 0, path | 1 << n, (*tokens, token)
-            if inner[node]:
-                live.append((node, path, tokens))
-                common &= path
         live.append(newest)
         cut = (common & newest[1]).bit_length() - 1
         if cut <= 0:
@@ -202,7 +217,11 @@ class Bpe:
         own, so none is made for it."""
         for node, _, tokens in state.live:
             node = self.trie.get(node << 8 | byte)
-            if node is not None and (token := self.token_at[node]) >= 0:
+            if node is None:
+                continue
+            token = self.at[node]
+            token = token if token >= 0 else ~token
+            if token != self.NONE:
                 left = tokens[-1] if tokens else state.prev
                 if left < 0 or self.compatible(left, token):
                     return (*tokens, token)
