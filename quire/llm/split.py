@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 from quire.llm.bpe import VOCABULARY, Bpe, pieces, tokenizer
 
 MAX_TOKENS, OVERLAP, ATOM = 512, 64, 16
+SIZE = 4  # bytes of a packed id
 TOKEN, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 NAMES = ("token", "word", "sentence", "line", "paragraph")
 
-_BREAKS = re.compile(r"(?P<space>[^\S\r\n]*(?:\r\n?|\n)\s*)|[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*")
+_BREAKS = re.compile(r"([\r\n]\s*)|[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*")
 _LINE_END = re.compile(r"\r\n?|\n")
 
 
@@ -56,16 +57,18 @@ def boundaries(text: str) -> Iterator[tuple[int, int]]:
 
 
 def units(bpe: Bpe, parts: list[str], ids: list[bytes], limit: int) -> tuple[list[int], list[int]]:
-    """Character ends and token counts of the smallest parts a cut may lie between: the tokenizer's
-    own pieces, which encode alike wherever they stand, and parts of those longer than the limit."""
-    if max(map(len, ids)) <= 4 * limit:
-        return list(accumulate(map(len, parts))), [len(x) // 4 for x in ids]
+    """Character ends and sizes of the smallest parts a cut may lie between: the tokenizer's own pieces,
+    which encode alike wherever they stand, and parts of those longer than the limit. Sizes and limit
+    are bytes of packed ids, SIZE a token."""
+    sizes = list(map(len, ids))
+    if max(sizes) <= limit:
+        return list(accumulate(map(len, parts))), sizes
     ends, counts, at = [], [], 0
     for part, own in zip(parts, ids):
-        if len(own) // 4 <= limit:
+        if len(own) <= limit:
             at += len(part)
             ends.append(at)
-            counts.append(len(own) // 4)
+            counts.append(len(own))
             continue
         own, raw, n = array("i", own), b"", 0
         for i, token in enumerate(own):
@@ -75,7 +78,7 @@ def units(bpe: Bpe, parts: list[str], ids: list[bytes], limit: int) -> tuple[lis
             if following & 0xC0 != 0x80:  # the next token doesn't go on within a character
                 at += len(raw.decode("utf-8", "surrogatepass"))
                 ends.append(at)
-                counts.append(n)
+                counts.append(n * SIZE)
                 raw, n = b"", 0
     return ends, counts
 
@@ -86,16 +89,17 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
         return []
     parts = pieces(text)
     ids = bpe.encode_pieces(parts)
-    if sum(map(len, ids)) <= 4 * max_tokens:  # ids are packed in four bytes each
+    most, shared_most = max_tokens * SIZE, overlap * SIZE
+    if sum(map(len, ids)) <= most:
         return []
-    ends, counts = units(bpe, parts, ids, max_tokens - overlap)
-    upto = [0, *accumulate(counts)]
+    ends, sizes = units(bpe, parts, ids, most - shared_most)
+    upto = [0, *accumulate(sizes)]
     n = len(ends)
     starts = [0, *ends]
 
     def room(first: int) -> int:
-        """Tokens of its own that a segment beginning at unit `first` may have."""
-        return max_tokens if first == 0 else max_tokens - overlap
+        """Size of its own that a segment beginning at unit `first` may have."""
+        return most if first == 0 else most - shared_most
 
     strong: dict[int, int] = {}
     for at, kind in boundaries(text):
@@ -117,38 +121,40 @@ def split(bpe: Bpe, text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVER
             if upto[b] - upto[a] > room(a):
                 last = a
                 for i in range(a + 1, b):
-                    if upto[i] - upto[last] >= ATOM and strength(i) >= level:
+                    if upto[i] - upto[last] >= ATOM * SIZE and strength(i) >= level:
                         firsts.append(i)
                         last = i
     firsts = [a for a in firsts if a < n]
 
     # Segments as a linked list over their first units; the heap holds the boundary before `b`.
+    bond = {i: strength(i) for i in firsts}
     after = dict(zip(firsts, [*firsts[1:], n]))
     before = dict(zip(firsts[1:], firsts))
-    heap = [(strength(b), upto[after[b]] - upto[before[b]], b) for b in firsts[1:]]
+    heap = [(bond[b], upto[after[b]] - upto[a], b) for a, b in zip(firsts, firsts[1:]) if upto[after[b]] - upto[a] <= room(a)]
     heapq.heapify(heap)
     while heap:
         _, size, b = heapq.heappop(heap)
         a = before.get(b)
-        if a is None or upto[after[b]] - upto[a] != size or size > room(a):
-            continue  # merged since, of another size by now, or too large for good
+        if a is None or upto[after[b]] - upto[a] != size:
+            continue  # merged since, or of another size by now
         c = after.pop(b)
         del before[b]
         after[a] = c
         if c < n:
             before[c] = a
-            heapq.heappush(heap, (strength(c), upto[after[c]] - upto[a], c))
-        if a in before:
-            heapq.heappush(heap, (strength(a), upto[c] - upto[before[a]], a))
+            if (size := upto[after[c]] - upto[a]) <= room(a):  # a pair too large stays so
+                heapq.heappush(heap, (bond[c], size, c))
+        if a and (size := upto[c] - upto[before[a]]) <= room(before[a]):
+            heapq.heappush(heap, (bond[a], size, a))
 
     out, a, last = [], 0, 0
     while a < n:
         b = after[a]
         shared = a
         if a:
-            fits = range(max(last, bisect_left(upto, upto[a] - overlap)), a)
+            fits = range(max(last, bisect_left(upto, upto[a] - shared_most)), a)
             shared = next((i for i in fits if strength(i) >= WORD), fits.start if len(fits) else a)
-        out.append(Piece(starts[shared], starts[b], upto[b] - upto[shared], upto[a] - upto[shared], NAMES[strength(b)] if b < n else "end"))
+        out.append(Piece(starts[shared], starts[b], (upto[b] - upto[shared]) // SIZE, (upto[a] - upto[shared]) // SIZE, NAMES[bond[b]] if b < n else "end"))
         a, last = b, a
     return out
 
