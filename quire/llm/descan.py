@@ -16,7 +16,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import product
 
 import pandas as pd
@@ -124,19 +123,16 @@ def edge_lines(e: Edges) -> list[int]:
 
 def core(token: str) -> tuple[int, int]:
     """Where the word lies in a token, punctuation around it left out."""
-    a, b = 0, len(token)
-    while a < b and token[a] in _LEAD:
-        a += 1
-    while b > a and token[b - 1] in _TRAIL:
-        b -= 1
-    return a, b
+    rest = token.lstrip(_LEAD)
+    a = len(token) - len(rest)
+    return a, a + len(rest.rstrip(_TRAIL))
 
 
 def is_word(text: str) -> bool:
-    return len(text) > 0 and all(c.isalpha() or c in "-'’" for c in text) and any(map(str.isalpha, text))
+    letters = text.replace("-", "").replace("'", "").replace("’", "")
+    return letters.isalpha()
 
 
-@lru_cache(maxsize=200_000)
 def readings(word: str, most: int = 2) -> tuple[tuple[str, int], ...]:
     """(what may have been printed, confusions undone) for a lower-case word; the odd characters all undone."""
     spots = []
@@ -186,6 +182,7 @@ class Lexicon:
                     grams[text[i - k : i]][text[i]] += 1
         self.grams = {h: (sum(c.values()), dict(c)) for h, c in grams.items()}
         self.memo: dict[str, float] = {}
+        self.read: dict[str, tuple[float, str, int]] = {}
 
     def known(self, word: str) -> bool:
         return self.counts.get(word, 0) > 1
@@ -254,11 +251,20 @@ def tokens(lines: list[tuple[int, str]]) -> list[Token]:
 
 
 def _best(lex: Lexicon, text: str) -> tuple[float, str, int]:
-    """(cost, text, characters corrected) of the best reading of one token."""
+    """(cost, text, characters corrected) of the best reading of one token, remembered as tokens recur."""
+    got = lex.read.get(text)
+    if got is None:
+        if len(lex.read) > 200_000:
+            lex.read.clear()
+        got = lex.read[text] = _read_token(lex, text)
+    return got
+
+
+def _read_token(lex: Lexicon, text: str) -> tuple[float, str, int]:
     a, b = core(text)
     word = text[a:b]
     low = word.lower()
-    if not word or lex.known(low) and is_word(low):
+    if not word or lex.known(low):
         return (lex.cost(low) if word else 1.0), text, 0
     if _CITE.search(text) or not any(map(str.isalpha, word)) or sum(map(str.isalpha, word)) < 2:
         # A bracket or bar may have replaced a letter at the token's edge; a bare number has no letters.
@@ -296,9 +302,9 @@ def _like(word: str, shape: str) -> str:
 
 def decode(stream: list[Token], lex: Lexicon) -> Reading:
     """The cheapest reading of a token stream (Viterbi over its positions)."""
-    n = len(stream)
+    n, read = len(stream), lex.read
     best: list[tuple[float, tuple | None]] = [(0.0, None), *[(math.inf, None)] * n]
-    plain = [_best(lex, t.text) for t in stream]
+    plain = [read.get(t.text) or _best(lex, t.text) for t in stream]
 
     def offer(i: int, j: int, cost: float, out: list[str], h: int, m: int, s: int, g: int) -> None:
         if best[i][0] + cost < best[j][0]:
@@ -319,9 +325,11 @@ def decode(stream: list[Token], lex: Lexicon) -> Reading:
             offer(i, i + 1, cost + 12.0, [text], 0, m, 0, 0)
             continue
         offer(i, i + 1, cost, [text], 1 if t.hyphen else 0, m, 0, 0)
+        if cost <= 12:  # a known word, or one whose cost leaves no room for a split or merge
+            continue
         a, b = core(t.text)
         low = t.text[a:b].lower()
-        if low.isalpha() and not lex.known(low) and cost > 12:
+        if low.isalpha() and not lex.known(low):
             for k in range(2, len(low) - 1):
                 x, y = low[:k], low[k:]
                 if lex.counts.get(x, 0) > 20 and lex.counts.get(y, 0) > 20:
