@@ -35,7 +35,9 @@ _PUNCT = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*\s*$")
 _GAP = re.compile(r"\S {3,}(?=\S)")
 _COMMA = re.compile(r"[^\s,],(?=[^\s,]|$)|,(?=,|$)")
 _HEX = re.compile(r"(?:[0-9a-f]{2}|[0-9a-f]{8})", re.I)
-_VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæå]", re.I)
+#: What is taken out to count the rest.
+_NOT_LETTER, _NOT_DIGIT, _NOT_SYMBOL = re.compile(r"[\W\d_]+"), re.compile(r"\D+"), re.compile(r"(?:[^\W_]|[\s|-])+")
+_NOT_VOWEL = re.compile(r"[^aeiouyäöüáéíóúàèìòùâêîôûëïœæå]+", re.I)
 
 
 @dataclass
@@ -134,14 +136,16 @@ def _add_words(p: Partial, words: list[str], common: frozenset[str]) -> None:
     """Whole words that follow those of p."""
     s, seen = p.sums, p.late + [w.lower() for w in words]
     start = len(p.late)
+    sizes = list(map(len, words))
+    s.common += sum(map(common.__contains__, seen[start:]))
+    s.hexes += sum(1 for w, n in zip(words, sizes) if (n == 2 or n == 8) and _HEX.fullmatch(w))
     for i in range(start, len(seen)):
-        w = seen[i]
-        s.common += w in common
-        s.hexes += bool(_HEX.fullmatch(w))
-        s.repeats += w in seen[max(0, i - 3) : i]
+        if seen[i] in seen[max(0, i - 3) : i]:
+            s.repeats += 1
     s.words += len(words)
-    s.word_chars += sum(map(len, words))
-    s.long_chars += sum(len(w) for w in words if len(w) > 24)
+    s.word_chars += sum(sizes)
+    if sizes and max(sizes) > 24:
+        s.long_chars += sum(n for n in sizes if n > 24)
     p.early = (p.early + seen[start:])[:3]
     p.late = seen[-3:]
 
@@ -153,11 +157,11 @@ def partial(text: str, common: frozenset[str]) -> Partial:
         return p
     s = p.sums
     plain = _TAG.sub(" ", text)
-    s.chars, s.spaces = len(text), sum(map(str.isspace, text))
-    letters = [c for c in plain if c.isalpha()]
-    s.letters, s.digits = len(letters), sum(map(str.isdecimal, plain))
-    s.vowels = len(_VOWEL.findall(plain))
-    s.symbols = sum(not c.isalnum() and not c.isspace() and c not in "|-" for c in _LEADER.sub(" ", plain))
+    s.chars = len(text)
+    s.spaces = s.chars - sum(map(len, text.split()))
+    s.letters, s.digits = len(_NOT_LETTER.sub("", plain)), len(_NOT_DIGIT.sub("", plain))
+    s.vowels = len(_NOT_VOWEL.sub("", plain))
+    s.symbols = len(_NOT_SYMBOL.sub("", _LEADER.sub(" ", plain)))
     lines = _BREAK.split(text)
     p.first = Line.of(lines[0])
     p.last = Line.of(lines[-1])
