@@ -69,14 +69,15 @@ def _roman(text: str) -> int:
     return total
 
 
+#: Characters as the strokes they may be misread in; a misread form and what was printed come out alike.
+_STROKES = str.maketrans(
+    {"ﬁ": "fi", "ﬂ": "fi", "€": "e", "¢": "e", "@": "a", "и": "n", "0": "o", "+": "t", "5": "s", "ſ": "s", "(": "c", "9": "g", "6": "b", "8": "b", "1": "i", "|": "i", "!": "i", "l": "i", "d": "ci", "u": "ii", "h": "ii", "m": "rn", "w": "vv"}
+)
+
+
 def fold(line: str) -> str:
     """A line without numbers, case and white space, confusable characters made equal."""
-    text = re.sub(r"(?<!\S)[\d|./-]+(?!\S)", " ", line.lower())
-    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("€", "e"), ("¢", "e"), ("@", "a"), ("и", "n"), ("0", "o"), ("+", "t"), ("5", "s"), ("ſ", "s"), ("(", "c"), ("9", "g"), ("6", "b"), ("8", "b")):
-        text = text.replace(a, b)
-    text = re.sub(r"[1|!l]", "i", text)
-    for a, b in (("ci", "d"), ("ii", "u"), ("h", "u"), ("rn", "m"), ("vv", "w")):
-        text = text.replace(a, b)
+    text = re.sub(r"(?<!\S)[\d|./-]+(?!\S)", " ", line.lower()).translate(_STROKES)
     return re.sub(r"[\W_]+", "", text)
 
 

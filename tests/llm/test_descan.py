@@ -28,7 +28,8 @@ def test_page_number(line, number):
 
 
 def test_fold_ignores_numbers_and_misreads():
-    assert D.fold("2   REPORT ON THE MILL") == D.fold("Rep0rt on tl1e mi!l   13") or D.fold("2   REPORT ON THE MILL") == D.fold("Rep0rt on tlie mi!l   13")
+    assert D.fold("2   REPORT ON THE MILL") == D.fold("Rep0rt on tlie mi!l   13") == D.fold("REP0RT ON THE RNILL")
+    assert D.fold("Chapter of culture and wood") == D.fold("Cliapter of ciilture ancl vvoocl")
     assert D.fold("Dorow mill | 118 | desk-39") == D.fold("D0r0w mi|l | 119 | desk-39")
     assert D.fold("Mill of Dorow") != D.fold("Barn of Dorow")
 
