@@ -19,7 +19,9 @@ from quire.operators.diff import latest_version
 LEAST_TEXTS, LEAST_SHARE, PILE = 5, 0.02, 4.0
 
 #: Labels of running text (a sentence must end) and of headings and the like (it need not).
-PROSE = ("text", "abstract", "reference_content", "vision_footnote", "vertical_text", "content", "algorithm", "footnote")
+PROSE = ("text", "abstract", "reference_content", "vision_footnote", "vertical_text", "content")
+#: A label that says nothing about the kind of text: it may be prose or a heading, a caption or a seal.
+VAGUE, HEADING_CHARS = "content", 70
 
 #: Kinds of length, by name.
 CODINGS = ("chars", "utf8", "utf16", "html", "json_ascii", "json", "crlf", "utf8_crlf")
@@ -27,6 +29,7 @@ CODINGS = ("chars", "utf8", "utf16", "html", "json_ascii", "json", "crlf", "utf8
 _END = r"""[.!?。！？][\p{Pf}\p{Pe}"'’”»)\]]*$"""
 _DOTS = r"(?:\.\.\.|…)$"
 _ITEM = r"(?:[-*•·–]|\d{1,3}[.)]|\(\d{1,3}\)|[A-Za-z][.)])\s"
+_CAPTION = r"(?i)^\s*(?:#|(?:figure|fig|table|abbildung|abb|tabelle|tableau|figura|tabla)\.?\s*\p{Nd})"
 #: A dot after a number or a single capital that begins a word doesn't end a sentence.
 _OPEN_DOT = r"(?:^|\s)(?:\p{Nd}{1,3}|\p{Lu})\.$"
 
@@ -78,6 +81,7 @@ def features(regions: DataFrame) -> DataFrame:
         tabular.alias("tabular"),
         (content != "").alias("filled"),
         F.array(*[c.cast("int") for c in lengths(whole).values()]).alias("sizes"),
+        ((F.col("label") != VAGUE) | (~end.rlike(_CAPTION) & (end.rlike(r"[.!?][\p{Pf}\p{Pe}\"']*\s+\S") | (F.char_length(end) > HEADING_CHARS)))).alias("sentences"),
         content.rlike("\ufffd$").alias("torn"),
         content.rlike(r"^\p{Ll}(?![.)]\s)").alias("begins_low"),
         end.rlike(_DOTS).alias("dots"),
@@ -118,7 +122,8 @@ def truncated(regions: DataFrame) -> DataFrame:
     """The latest version of every text and table region with `cut` and `reason`.
 
     Columns region_id, source, label, cut (boolean), reason ('limit', 'marked', 'sentence', 'table',
-    'bytes' or null). Null and empty contents are no rows. Regions whose source is null have no limit
+    'bytes' or null). Null and empty contents are no rows. Regions labelled 'content' count as prose where
+    they hold more than one sentence or more than a heading's length. Regions whose source is null have no limit
     but their endings are inspected. Regions without scan, page or region order follow none. A sentence
     runs on where the next text region, on the page or the pages after, begins with a small letter that isn't a list's; the
     pages of a scan are linked by a summary of one row a page, so a scan of any length is no hot spot.
@@ -126,9 +131,10 @@ def truncated(regions: DataFrame) -> DataFrame:
     rows = latest_version(features(regions), ["region_id"], ["ingested_at"])
     limits = field_limits(rows).select("source", "coding", "limit_length")
 
-    begins = F.when(F.col("label") == "text", F.coalesce("begins_low", F.lit(False)))
+    # A region of vague label goes on with a sentence or says nothing.
+    begins = F.when(F.col("label") == "text", F.coalesce("begins_low", F.lit(False))).when((F.col("label") == VAGUE) & F.col("begins_low"), F.lit(True))
     on_page = Window.partitionBy("scan_id", "page_index").orderBy(F.desc("region_index"), F.desc("region_id")).rowsBetween(Window.unboundedPreceding, -1)
-    pages = rows.where("label = 'text'").groupBy("scan_id", "page_index").agg(F.min_by(begins, F.struct("region_index", "region_id")).alias("first_low"))
+    pages = rows.where(begins.isNotNull()).groupBy("scan_id", "page_index").agg(F.min_by(begins, F.struct("region_index", "region_id")).alias("first_low"))
     spine = rows.select("scan_id", "page_index").distinct().join(pages, ["scan_id", "page_index"], "left")
     ahead = Window.partitionBy("scan_id").orderBy(F.desc("page_index")).rowsBetween(Window.unboundedPreceding, -1)
     after = spine.select("scan_id", "page_index", F.last("first_low", ignorenulls=True).over(ahead).alias("page_low"))
@@ -145,7 +151,7 @@ def truncated(regions: DataFrame) -> DataFrame:
         F.when(F.expr("torn"), "bytes")
         .when(F.col("dots") & near_limit, "marked")
         .when(at_limit & ~F.col("dots") & (~F.col("ends_well") | F.col("opened")), "limit")
-        .when(F.col("list") | F.col("dots") | F.col("ends_well") | runs_on, None)
+        .when(F.col("list") | F.col("dots") | F.col("ends_well") | runs_on | ~F.col("sentences"), None)
         .otherwise("sentence")
     )
     table_cut = F.when(F.col("torn"), "bytes").when(F.col("table_end") == "open", "table").when(at_limit & ~F.col("table_end").eqNullSafe("closed"), "limit")
