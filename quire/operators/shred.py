@@ -104,9 +104,8 @@ def rebuild(columns: dict[tuple[str, ...], Levels], root: Node, table: tuple[str
     """
     out: dict[tuple[int, ...], dict[str, Any]] = {}
     for leaf in leaves(root):
-        if leaf.path[: len(table)] != table or any(n.repeated for n in leaf.nodes[len(table) :]):
-            if leaf.path[: len(table)] != table:
-                continue
+        if leaf.path[: len(table)] != table:
+            continue
         chain = leaf.nodes[: len(table)]
         own_rep, own_def = sum(n.repeated for n in chain), len(chain)
         at = [-1] * own_rep
