@@ -31,7 +31,7 @@ _BREAK = re.compile(r"\r\n?|\n")
 _LEADER = re.compile(r"\.{4,}|…{2,}")
 _TAG = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b[^>]*>", re.I)
 _ITEM = re.compile(r"\s*(?:[-*•·▪◦–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[\d{1,3}\])\s")
-_PUNCT = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*\s*$")
+_ENDS, _CLOSERS = tuple(".!?:;。！？…"), "\"'”’»)]"
 _GAP = re.compile(r"\S {3,}(?=\S)")
 _COMMA = re.compile(r"[^\s,],(?=[^\s,]|$)|,(?=,|$)")
 _HEX = re.compile(r"(?:[0-9a-f]{2}|[0-9a-f]{8})", re.I)
@@ -54,8 +54,14 @@ class Line:
 
     @classmethod
     def of(cls, text: str) -> "Line":
-        cells = text.count("\t") + text.count(";") - text.count("; ") + len(_COMMA.findall(text)) + len(_GAP.findall(text.strip()))
-        return cls(text[:KEEP], text[-KEEP:], len(text), text.count("|"), cells, len(_TAG.findall(text)), len(_LEADER.findall(text)))
+        cells = text.count("\t") + text.count(";") - text.count("; ")
+        if "," in text:
+            cells += len(_COMMA.findall(text))
+        if "   " in text:
+            cells += len(_GAP.findall(text.strip()))
+        tags = len(_TAG.findall(text)) if "<" in text else 0
+        leaders = len(_LEADER.findall(text)) if "..." in text or "……" in text else 0
+        return cls(text[:KEEP], text[-KEEP:], len(text), text.count("|"), cells, tags, leaders)
 
     def join(self, other: "Line") -> "Line":
         """This part followed by the other. What spans the border is found in the ends kept."""
@@ -125,7 +131,7 @@ def _close_line(s: Sums, line: Line) -> None:
     if not line.length or not (line.head.strip() or line.tail.strip()):
         return
     s.lines += 1
-    s.punctuated += bool(_PUNCT.search(line.tail))
+    s.punctuated += line.tail.rstrip().rstrip(_CLOSERS).endswith(_ENDS)
     s.items += bool(_ITEM.match(line.head))
     s.rows += line.pipes >= 2 or line.cells >= 1 or line.tags >= 1
     s.tags += line.tags
@@ -156,12 +162,12 @@ def partial(text: str, common: frozenset[str]) -> Partial:
     if not text:
         return p
     s = p.sums
-    plain = _TAG.sub(" ", text)
+    plain = _TAG.sub(" ", text) if "<" in text else text
     s.chars = len(text)
     s.spaces = s.chars - sum(map(len, text.split()))
     s.letters, s.digits = len(_NOT_LETTER.sub("", plain)), len(_NOT_DIGIT.sub("", plain))
     s.vowels = len(_NOT_VOWEL.sub("", plain))
-    s.symbols = len(_NOT_SYMBOL.sub("", _LEADER.sub(" ", plain)))
+    s.symbols = len(_NOT_SYMBOL.sub("", _LEADER.sub(" ", plain) if "..." in plain or "……" in plain else plain))
     lines = _BREAK.split(text)
     p.first = Line.of(lines[0])
     p.last = Line.of(lines[-1])
@@ -189,7 +195,7 @@ def merge(a: Partial, b: Partial, common: frozenset[str]) -> Partial:
         return a
     if not a.sums.chars:
         return b
-    out = Partial(sums=Sums(**asdict(a.sums)), early=list(a.early), late=list(a.late))
+    out = Partial(sums=Sums(**vars(a.sums)), early=list(a.early), late=list(a.late))
     # Lines: the two that meet are one.
     met = a.last.join(b.first) if a.breaks else a.first.join(b.first)
     if not a.breaks:
@@ -228,7 +234,7 @@ def merge(a: Partial, b: Partial, common: frozenset[str]) -> Partial:
 
 def finish(p: Partial, common: frozenset[str]) -> Sums:
     """The sums of a whole text: what touches the borders is whole now."""
-    q = Partial(sums=Sums(**asdict(p.sums)), early=[], late=[])
+    q = Partial(sums=Sums(**vars(p.sums)), early=[], late=[])
     _close_line(q.sums, p.first)
     if p.breaks:
         _close_line(q.sums, p.last)
