@@ -8,7 +8,7 @@ box itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,21 +184,26 @@ def polygon(box: tuple[float, float, float, float], mask: np.ndarray, page: tupl
     return [(x + x1, y + y1) for x, y in found]
 
 
-def polygons(dets: DataFrame, mask: str = "mask", side: int = 200) -> DataFrame:
+def polygons(dets: DataFrame, mask: str | Callable[[tuple[float, ...], tuple[float, float]], np.ndarray] = "mask", side: int = 200) -> DataFrame:
     """Adds `polygon` to detections with a box, the page's size and a flat square mask of booleans.
 
-    A null or wrongly sized mask gives the box. Only the needed columns go to Python.
+    mask is the column's name, or makes the square mask of a box and a page's size within the kernel, a row
+    at a time, so that no column holds it. A null or wrongly sized mask gives the box. Only the needed
+    columns go to Python.
     """
+    named = isinstance(mask, str)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for m, *box, w, h in zip(rows[mask], rows["x1"], rows["y1"], rows["x2"], rows["y2"], rows["w"], rows["h"]):
-                flat = np.zeros(0, bool) if m is None else np.asarray(m, bool)
+            for m, *box, w, h in zip(rows[mask] if named else [None] * len(rows), rows["x1"], rows["y1"], rows["x2"], rows["y2"], rows["w"], rows["h"]):
+                if not named:
+                    m = mask(tuple(box), (w, h))
+                flat = np.zeros(0, bool) if m is None else np.asarray(m, bool).ravel()
                 grid = flat.reshape(side, side) if flat.size == side * side else np.zeros((0, 0), bool)
                 out.append([[float(x), float(y)] for x, y in polygon(tuple(box), grid, (w, h))])
-            yield rows.drop(columns=mask).assign(polygon=out)
+            yield (rows.drop(columns=mask) if named else rows).assign(polygon=out)
 
     kept = dets.drop("polygon")
-    fields = [f for f in kept.schema if f.name != mask]
+    fields = [f for f in kept.schema if not named or f.name != mask]
     return kept.mapInPandas(run, T.StructType([*fields, T.StructField("polygon", T.ArrayType(T.ArrayType(T.DoubleType())))]))

@@ -146,3 +146,22 @@ def test_polygon_falls_back_to_the_box(spark):
     assert G.polygon((5, 5, 5, 9), empty, (800, 800)) == [(5, 5), (5, 5), (5, 9), (5, 9)]
     df = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 5.0, 10, 10, None), (2, 1.0, 1.0, 5.0, 5.0, 10, 10, [True])], "id int, x1 double, y1 double, x2 double, y2 double, w int, h int, mask array<boolean>")
     assert {len(r.polygon) for r in G.polygons(df).collect()} == {4}
+
+
+def test_every_box_has_its_polygon(spark):
+    from pyspark.sql import functions as F
+
+    from quire.plans import fixtures as X
+    from quire.plans.layout_queries import l06_polygon
+
+    sf = "/root/testdata/sf0.001"
+    boxes = X.boxes(spark, sf).cache()
+    got = {(r.page, r.id): r.polygon for r in l06_polygon(spark, sf).collect()}
+    assert set(got) == {(r.page, r.id) for r in boxes.select("page", "id").collect()} and all(len(p) >= 4 for p in got.values())
+    # Masks given as a column of 40,000 values lead to the same polygons.
+    x, y = (lambda i: (i % 200 + 0.5) * 4 * F.col("w") / 800), (lambda i: (F.floor(i / 200) + 0.5) * 4 * F.col("h") / 800)
+    inside = lambda i: F.pow((x(i) - (F.col("x1") + F.col("x2")) / 2) / ((F.col("x2") - F.col("x1")) / 2), 2) + F.pow((y(i) - (F.col("y1") + F.col("y2")) / 2) / ((F.col("y2") - F.col("y1")) / 2), 2) <= 1
+    some = boxes.where("id % 50 = 3").withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(39_999)), inside))
+    for r in G.polygons(some).collect():
+        assert [[round(v, 3) for v in p] for p in r.polygon] == got[r.page, r.id]
+    boxes.unpersist()
