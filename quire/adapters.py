@@ -126,4 +126,37 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
 
 
 #: Encoders by format: (rgb bytes, width, height, quality) to file bytes. HEIC and JPEG come from outside.
-ENCODERS: dict[str, Callable[[bytes, int, int, float], bytes]] = {"png": lambda rgb, w, h, quality: png(w, h, rgb)}
+Encoder = Callable[[bytes, int, int, float], bytes]
+ENCODERS: dict[str, Encoder] = {"png": lambda rgb, w, h, quality: png(w, h, rgb)}
+
+
+def encode_figures(figures: DataFrame, encoder: Encoder | None, quality: float) -> DataFrame:
+    """Adds `data` and `problem` to figures with `box` in the pixels of their page, w, h and its `rgb` rows.
+
+    Only the rows under the box go to Python. A figure without a box or with rows that don't fill the page
+    fails as a crop; one without an encoder, or whose encoder raises, as an encoding; none fails the run.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out: list[tuple[bytes | None, str | None]] = []
+            for band, box, w in zip(rows["_band"], rows["box"], rows["w"]):
+                if band is None:
+                    out.append((None, "crop"))
+                    continue
+                try:
+                    x1, y1, x2, y2 = (int(v) for v in box)
+                    w = int(w)
+                    rgb = b"".join(band[(y * w + x1) * 3 : (y * w + x2) * 3] for y in range(y2 - y1))
+                    out.append((encoder(rgb, x2 - x1, y2 - y1, quality), None) if encoder else (None, "encode"))
+                except Exception:  # noqa: BLE001 - whatever the encoder raises is the figure's problem
+                    out.append((None, "encode"))
+            made = rows.drop(columns="_band")
+            made["data"], made["problem"] = [d for d, _ in out], [p for _, p in out]
+            yield made
+
+    whole = F.length("rgb") == F.col("w").cast("long") * F.col("h") * 3
+    at, n = F.col("box")[1] * F.col("w") * 3 + 1, (F.col("box")[3] - F.col("box")[1]) * F.col("w") * 3
+    cut = figures.withColumn("_band", F.when(whole & F.col("box").isNotNull(), F.substring("rgb", at, n))).drop("rgb")
+    schema = T.StructType([f for f in cut.drop("_band").schema] + [T.StructField("data", T.BinaryType()), T.StructField("problem", T.StringType())])
+    return cut.mapInPandas(run, schema)

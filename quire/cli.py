@@ -15,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quire import adapters
 from quire.config import Bundle, Config, ParseOptions
 from quire.engine import Engine
 from quire.session import local_session
@@ -26,7 +27,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("--no-layout", action="store_true", help="recognise whole pages")
-    p.add_argument("--bundle", action="store_true", help="link figures by path")
+    p.add_argument("--bundle", action="store_true", help="link figures by path and write them")
     p.add_argument("--max-pages", type=int, help="pages of a PDF at most")
     p.add_argument("--report", help="write timings and counts as JSON")
     return p.parse_args(argv)
@@ -41,15 +42,24 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     """The exit code: 1 where a document failed."""
     args, began = arguments(argv), time.time()
     spark = spark or local_session("*")
-    config = Config(enable_layout=not args.no_layout, bundle=Bundle(enabled=args.bundle, figure_format="jpeg", figure_naming="upstream_cropped", figures_dir="imgs"))
+    kind = "jpeg" if "jpeg" in adapters.ENCODERS else "png"
+    config = Config(enable_layout=not args.no_layout, bundle=Bundle(enabled=args.bundle, figure_format=kind, figure_naming="upstream_cropped", figures_dir="imgs"))
     listing = files.natural_order(files.scan(spark, args.input, with_content=False)).select(F.col("pos").cast("long").alias("doc"), "path", "stem", "kind")
-    sizes = files.images(spark, args.input).select("path", F.col("width").alias("w"), F.col("height").alias("h"))
+    found = files.images(spark, args.input)
+    sizes = found.select("path", F.col("width").alias("w"), F.col("height").alias("h"))
     known = listing.join(sizes, "path", "left")
-    pages = known.where("w is not null").select("doc", F.lit(0).alias("page"), "w", "h")
+    pages = known.where("w is not null").select("doc", F.lit(0).alias("page"), "path", "w", "h")
+    if args.bundle:
+        pages = pages.join(files.with_rgb(found).select("path", "rgb"), "path")
+    pages = pages.drop("path")
     parsed = Engine(spark, config).parse(pages, ParseOptions(max_pages=args.max_pages))
     text = F.to_json("pages") if "pages" in parsed.columns else F.lit("[]")
-    docs = known.join(parsed, "doc", "left").select("stem", "markdown", text.alias("json"), F.when(F.col("markdown").isNull(), "no pages could be loaded").alias("failure"))
+    bundled = "figures" in parsed.columns
+    docs = known.join(parsed, "doc", "left").select("stem", "markdown", *["figures"] * bundled, text.alias("json"), F.when(F.col("markdown").isNull(), "no pages could be loaded").alias("failure"))
     written = sinks.export_files(docs.where("failure is null"), args.output)
+    if bundled:
+        lost = sinks.export_figures(docs, args.output).groupBy("stem").agg(F.min("error").alias("lost"))
+        written = written.join(lost, "stem", "left").select("stem", F.coalesce("error", "lost").alias("error"))
     problems = written.unionByName(docs.where("failure is not null").select("stem", F.col("failure").alias("error")))
     outcome = problems.agg(F.count("*").alias("n"), F.count("error").alias("bad")).collect()[0]
     if args.report:

@@ -23,12 +23,17 @@ class Engine:
     document: doc, markdown, pages, warnings, metadata and, with bundles on, figures and sidecar. Options
     are checked before anything is planned; failures of single regions become warnings. Recognised regions
     are written once to the session's checkpoint folder, as Markdown, JSON, warnings and counters all read
-    them and recognition must not run for each.
+    them and recognition must not run for each; encoded figures likewise.
+
+    Figures are cropped from the pages' `rgb` (rows of 8-bit pixels). One that can't be cropped or encoded
+    keeps its marker in the Markdown, and a warning says so. Where pages have no such column, figures are
+    linked and listed without bytes for a caller that holds the images, with a warning each.
     """
 
-    def __init__(self, spark: SparkSession, config: Config = Config(), detector: adapters.Detector | None = None, recognizer: adapters.Recognizer | None = None):
+    def __init__(self, spark: SparkSession, config: Config = Config(), detector: adapters.Detector | None = None, recognizer: adapters.Recognizer | None = None, encoders: dict[str, adapters.Encoder] = adapters.ENCODERS):
         self.spark, self.config = spark, config.check()
         self.detector, self.recognizer = detector or adapters.StubDetector(), recognizer or adapters.StubRecognizer()
+        self.encoders = encoders
 
     def _texts(self, jobs: DataFrame) -> DataFrame:
         found = adapters.recognise(jobs, self.recognizer, self.config.performance.batch_size)
@@ -46,6 +51,15 @@ class Engine:
         jobs = J.make_jobs(found.where("crop is not null"), self.config.prompts)
         return J.merge_results(found, self._texts(jobs)).drop("crop")
 
+    def figures(self, rows: DataFrame, pages: DataFrame) -> DataFrame:
+        """Figures of formatted rows with box, data and problem (null: made; pixels, crop, encode)."""
+        c = self.config.bundle
+        found = B.figures(rows, c).join(pages.select("doc", "page", "w", "h", *[x for x in ("rgb",) if x in pages.columns]), ["doc", "page"])
+        found = found.withColumn("box", J.pixel_box(F.col("bbox"), F.col("w"), F.col("h")))
+        if "rgb" in pages.columns:
+            return adapters.encode_figures(found, self.encoders.get(c.figure_format), c.quality)
+        return found.withColumn("data", F.lit(None).cast("binary")).withColumn("problem", F.when(F.col("box").isNull(), "crop").otherwise("pixels"))
+
     def parse(self, pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
         options.check()
         caps = [c for c in (options.max_pages, self.config.default_max_pages) if c is not None]
@@ -60,18 +74,34 @@ class Engine:
         regions = self.regions(pages).checkpoint()
         rows = O.blocks(regions)
         shown = O.placeholders(rows)
-        if B.wanted(self.config, options):
+        bundled, made = B.wanted(self.config, options), None
+        if bundled:
             # Figures take their paths by joining on the region, before the document is put together.
-            figures = B.figures(rows, self.config.bundle).select("doc", "page", "idx", "relative_path", "alt_text")
+            made = self.figures(rows, pages).checkpoint()
+            markers = shown.groupBy("doc").agg(F.sum(F.regexp_count("block", F.lit(B.MARKER))).alias("markers"))
+            counts = markers.join(made.groupBy("doc").agg(F.count("*").alias("n")), "doc", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            figures = made.where("problem is null or problem = 'pixels'").select("doc", "page", "idx", "relative_path", "alt_text")
             linked = F.concat(F.lit("!["), F.col("alt_text"), F.lit("]("), F.col("relative_path"), F.lit(")"))
             shown = shown.join(figures, ["doc", "page", "idx"], "left").withColumn("block", F.when(F.col("relative_path").isNotNull(), linked).otherwise(F.col("block")))
         out = O.document_markdown(O.page_markdown(shown)).join(O.page_results(rows), "doc")
         both = regions.select("doc", "page", "idx", F.explode(F.array(F.struct(F.lit(1).alias("stage"), F.col("crop_warning").alias("warning")), F.struct(F.lit(2).alias("stage"), "warning"))).alias("w"))
-        out = out.join(B.collect_warnings(both.select("doc", "w.stage", "page", "idx", "w.warning")), "doc", "left")
+        warned = both.select("doc", "w.stage", "page", "idx", "w.warning")
+        if bundled:
+            warned = warned.unionByName(made.select("doc", F.lit(3).alias("stage"), "page", "idx", B.figure_warning(F.col("problem")).alias("warning")))
+            mismatch = B.count_mismatch(F.col("markers"), F.col("n"))
+            warned = warned.unionByName(counts.select("doc", F.lit(4).alias("stage"), F.lit(0).alias("page"), F.lit(0).alias("idx"), mismatch.alias("warning")))
+        out = out.join(B.collect_warnings(warned), "doc", "left")
         if not options.include_markdown:
             out = out.withColumn("markdown", F.lit(""))
         if options.include_diagnostics:
             jobs = J.make_jobs(regions.where("width is not null"), self.config.prompts)
             stats = J.counters(regions).join(J.scheduler_stats(J.batches(J.buckets(jobs), self.config.performance.batch_size)), "doc", "left")
             out = out.join(B.metadata(stats, self.config, options), "doc", "left")
+        if bundled:
+            out = out.join(B.figure_assets(made, self.config.bundle), "doc", "left")
+            out = out.withColumn("figures", F.coalesce("figures", F.array().cast(out.schema["figures"].dataType)))
+            words = [F.coalesce("warnings", F.array().cast("array<string>")), F.col("metadata")] if options.include_diagnostics else [F.array().cast("array<string>"), F.create_map().cast("map<string,string>")]
+            # Stage timings (D1) aren't kept.
+            sidecar = B.sidecar_json(B.sidecar_pages(F.col("pages")), B.figure_records(F.col("figures")), words[0], F.create_map().cast("map<string,double>"), words[1], self.config.bundle)
+            out = out.withColumn("sidecar", sidecar)
         return out

@@ -47,6 +47,46 @@ def figures(rows: DataFrame, bundle: Bundle = Bundle()) -> DataFrame:
     return c.select("doc", "page", "idx", "ordinal", "page_ordinal", F.col("out_label").alias("label"), "bbox", alt.alias("alt_text"), name.alias("file_name"), F.concat(F.lit(bundle.figures_dir + "/"), name).alias("relative_path"))
 
 
+def figure_warning(problem: Column) -> Column:
+    """The warning of a figure that isn't made: pixels, crop or encode."""
+    what = F.when(problem == "pixels", "pixels missing").otherwise(F.concat(problem, F.lit(" failed")))
+    return F.when(problem.isNotNull(), F.concat(F.lit("bundle.figure "), what, F.lit(": page="), F.col("page").cast("string"), F.lit(" region="), F.col("idx").cast("string")))
+
+
+def figure_assets(made: DataFrame, bundle: Bundle = Bundle()) -> DataFrame:
+    """(doc, figures): records of figures with box and data, in order of the document; failed ones have none."""
+    asset = F.struct(
+        "ordinal",
+        F.col("page").alias("page_index"),
+        F.col("idx").alias("region_index"),
+        "label",
+        F.col("bbox").alias("bbox_2d"),
+        "alt_text",
+        "file_name",
+        "relative_path",
+        (F.col("box")[2] - F.col("box")[0]).alias("width_px"),
+        (F.col("box")[3] - F.col("box")[1]).alias("height_px"),
+        F.lit(MIME[bundle.figure_format]).alias("mime_type"),
+        sha256(F.col("data")).alias("sha256"),
+        "data",
+    )
+    kept = F.when(F.col("problem").isNull() | (F.col("problem") == "pixels"), asset)
+    listed = made.groupBy("doc").agg(F.sort_array(F.collect_list(kept)).alias("figures"))
+    return listed.withColumn("figures", F.transform("figures", lambda f: f.dropFields("ordinal")))
+
+
+def figure_records(figures: Column) -> Column:
+    """Records of the sidecar: without bytes, keys in alphabetical order."""
+    names = {"altText": "alt_text", "bbox2D": "bbox_2d", "fileName": "file_name", "heightPX": "height_px", "label": "label", "mimeType": "mime_type", "pageIndex": "page_index", "regionIndex": "region_index", "relativePath": "relative_path", "sha256": "sha256", "widthPX": "width_px"}
+    return F.transform(figures, lambda f: F.struct(*[f[c].alias(k) for k, c in names.items()]))
+
+
+def sidecar_pages(pages: Column) -> Column:
+    """Pages of the sidecar: regions with keys in alphabetical order; null content or box is left out."""
+    region = lambda r: F.struct(r["bbox_2d"].alias("bbox2D"), r["content"].alias("content"), r["index"].alias("index"), r["label"].alias("label"))
+    return F.transform(pages, lambda p: F.struct(F.transform(p, region).alias("regions")))
+
+
 def sha256(data: Column) -> Column:
     """Hex digest of bytes."""
     return F.sha2(data, 256)
@@ -67,9 +107,13 @@ def rewrite_markers(markdown: Column, paths: Column) -> Column:
 
 def marker_mismatch(markdown: Column, paths: Column) -> Column:
     """The warning of B6 where markers and figures differ in number, else null."""
-    n = F.regexp_count(markdown, F.lit(MARKER))
-    text = F.concat(F.lit("bundle.figure marker count mismatch: markers="), n.cast("string"), F.lit(" figures="), F.size(paths).cast("string"))
-    return F.when(n != F.size(paths), text)
+    return count_mismatch(F.regexp_count(markdown, F.lit(MARKER)), F.size(paths))
+
+
+def count_mismatch(markers: Column, figures: Column) -> Column:
+    """The same from the two numbers."""
+    text = F.concat(F.lit("bundle.figure marker count mismatch: markers="), markers.cast("string"), F.lit(" figures="), figures.cast("string"))
+    return F.when(markers != figures, text)
 
 
 def sidecar_json(pages: Column, figure_records: Column, warnings: Column, timings: Column, metadata: Column, bundle: Bundle = Bundle()) -> Column:

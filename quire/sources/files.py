@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,25 @@ def images(spark: SparkSession, directory: str) -> DataFrame:
     return got.select(origin.alias("path"), F.nullif(F.col(i + "width"), F.lit(-1)).alias("width"), F.nullif(F.col(i + "height"), F.lit(-1)).alias("height"), F.col(i + "nChannels").alias("channels"), F.col(i + "data").alias("data"))
 
 
+def with_rgb(got: DataFrame) -> DataFrame:
+    """Decoded images with `rgb` in place of channels and data: rows of plain RGB, grey spread, alpha dropped; null where not decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for rows in batches:
+            out = []
+            for data, n, w, h in zip(rows["data"], rows["channels"], rows["width"], rows["height"]):
+                if data is None or n not in (1, 3, 4) or len(data) != w * h * n:
+                    out.append(None)
+                    continue
+                bgr = np.frombuffer(data, np.uint8).reshape(-1, int(n))
+                out.append((np.repeat(bgr, 3, axis=1) if n == 1 else bgr[:, 2::-1]).tobytes())
+            yield rows.drop(columns=["channels", "data"]).assign(rgb=out)
+
+    return got.mapInPandas(run, "path string, width int, height int, rgb binary")
+
+
 def page_numbers(documents: DataFrame, cap: int | None) -> DataFrame:
     """`page_index` of each page to raster: of a PDF those under the cap, of an image the one.
 

@@ -57,3 +57,34 @@ def export_files(docs: DataFrame, directory: str) -> DataFrame:
             yield pd.DataFrame({"stem": rows["stem"], "error": errors})
 
     return docs.select("stem", "markdown", "json").mapInPandas(run, "stem string, error string")
+
+
+def export_figures(docs: DataFrame, directory: str) -> DataFrame:
+    """(stem, error): figures with data as files under <stem>/<relative_path>, written as export_files does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        for rows in batches:
+            errors = []
+            for stem, path, data in zip(rows["stem"], rows["relative_path"], rows["data"]):
+                try:
+                    if not stem or "/" in stem or stem in (".", ".."):
+                        raise ValueError(f"not a file name: {stem!r}")
+                    if os.path.isabs(path) or ".." in path.split("/"):
+                        raise ValueError(f"not a path under the folder: {path!r}")
+                    target = os.path.join(directory, stem, path)
+                    base = os.path.dirname(target)
+                    os.makedirs(base, exist_ok=True)
+                    part = os.path.join(base, f".{uuid.uuid4().hex}")
+                    with open(part, "wb") as f:
+                        f.write(data)
+                    os.replace(part, target)
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    errors.append(str(e))
+            yield pd.DataFrame({"stem": rows["stem"], "error": errors})
+
+    figures = docs.select("stem", F.explode("figures").alias("f")).select("stem", "f.relative_path", "f.data")
+    return figures.where("data is not null").mapInPandas(run, "stem string, error string")

@@ -119,3 +119,39 @@ def test_command(shared, tmp_path):
     assert (tmp_path / "out" / "a" / "a.md").read_text().startswith("Recognized text") and json.loads(open(rep).read())["documents"] == 1
     (tmp_path / "in" / "b.pdf").write_bytes(b"fake-pdf")
     assert main([str(tmp_path / "in"), out, "--no-layout"], shared) == 1
+
+
+def test_bundle_makes_figures_and_sidecar(shared):
+    import hashlib
+
+    rgb = bytes(i % 251 for i in range(50 * 40 * 3))
+    given = shared.createDataFrame([(1, 0, 50, 40, rgb), (1, 1, 50, 40, None), (2, 0, 50, 40, rgb[:9])], "doc long, page int, w int, h int, rgb binary")
+    got = {r.doc: r for r in Engine(shared, Config(bundle=Bundle(enabled=True, figure_format="png"))).parse(given).collect()}
+    one = got[1]
+    assert [(f.page_index, f.region_index, f.relative_path) for f in one.figures] == [(0, 1, "figures/page_0001_region_0002.png"), (0, 2, "figures/page_0001_region_0003.png")]
+    for f in one.figures:
+        x1, y1, x2, y2 = (v * n // 1000 for v, n in zip(f.bbox_2d, (50, 40, 50, 40)))
+        assert (f.width_px, f.height_px) == (x2 - x1, y2 - y1) and f.sha256 == hashlib.sha256(f.data).hexdigest()
+        assert bytes(f.data) == adapters.png(x2 - x1, y2 - y1, b"".join(rgb[(y * 50 + x1) * 3 : (y * 50 + x2) * 3] for y in range(y1, y2)))
+    # A figure that isn't made keeps its marker, with a warning.
+    assert one.warnings == ["bundle.figure crop failed: page=1 region=1", "bundle.figure crop failed: page=1 region=2"] and "(figures/page_0001_region_0002.png)" in one.markdown and one.markdown.count("bbox=[") == 2
+    assert got[2].figures == [] and got[2].markdown.count("bbox=[") == 2
+    side = json.loads(one.sidecar)
+    assert side["schemaVersion"] == 1 and len(side["pages"]) == 2 and side["diagnostics"]["warnings"] == one.warnings and side["diagnostics"]["metadata"] == one.metadata
+    assert [r["index"] for r in side["pages"][0]["regions"]] == [0, 1, 2] and side["pages"][0]["regions"][0]["content"].startswith("Recognized")
+    assert [(f["sha256"], f["mimeType"]) for f in side["figures"]] == [(f.sha256, "image/png") for f in one.figures] and "data" not in side["figures"][0]
+    assert all(list(x) == sorted(x) for x in (side, side["figures"][0], side["pages"][0]["regions"][0]))
+    no_codec = Engine(shared, Config(bundle=Bundle(enabled=True))).parse(given.where("doc = 1 and page = 0")).collect()[0]
+    assert no_codec.figures == [] and no_codec.warnings[0] == "bundle.figure encode failed: page=0 region=1" and no_codec.markdown.count("bbox=[") == 2
+
+
+def test_command_writes_the_figures_it_links(shared, tmp_path):
+    import re
+
+    from quire.cli import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(adapters.png(40, 40, bytes(4800)))
+    assert main([str(tmp_path / "in"), str(tmp_path / "out"), "--bundle"], shared) == 0
+    links = re.findall(r"\((imgs/[^)]*)\)", (tmp_path / "out" / "a" / "a.md").read_text())
+    assert len(links) == 2 and all((tmp_path / "out" / "a" / x).read_bytes().startswith(b"\x89PNG") for x in links)
