@@ -117,7 +117,7 @@ def signed_area(points: list[Point]) -> float:
 
 
 def oriented(points: list[Point]) -> list[Point]:
-    """L6f: the direction in which convex corners count as such below."""
+    """L6f: the direction of a positive area."""
     return points[::-1] if signed_area(points) < 0 else points
 
 
@@ -177,7 +177,7 @@ def polygon(box: tuple[float, float, float, float], mask: np.ndarray, page: tupl
     outline = hull(boundary(largest_component(resize(part, x2 - x1, y2 - y1))))
     if len(outline) < 3:
         return rectangle(box)
-    outline = oriented(outline)
+    outline = oriented(outline)[::-1]  # convex corners count as such where the area is negative
     found = corners(simplify(outline, EPSILON * perimeter(outline)))
     if len(found) < 4:
         return rectangle(box)

@@ -140,6 +140,15 @@ def test_largest_component_takes_diagonals_and_first_of_equal_ones():
     assert G.largest_component(mask).tolist() == [[True, False, False, False], [False, True, False, False], [False] * 4, [False] * 4]
 
 
+def test_polygon_follows_the_mask():
+    ys, xs = np.ogrid[:200, :200]
+    points = G.polygon((0, 0, 200, 200), ((ys - 100) / 90) ** 2 + ((xs - 100) / 60) ** 2 <= 1, (200, 200))
+    assert len(points) > 8 and G.signed_area(points) < 0
+    assert all(0.95 < ((y - 100) / 90) ** 2 + ((x - 100) / 60) ** 2 < 1.05 for x, y in points)
+    diamond = abs(ys - 100) + abs(xs - 100) <= 50
+    assert sorted(G.polygon((0, 0, 200, 200), diamond, (200, 200))) == [(50, 100), (100, 50), (100, 150), (150, 100)]
+
+
 def test_polygon_falls_back_to_the_box(spark):
     empty = np.zeros((200, 200), bool)
     assert G.polygon((1.7, 2.2, 9.9, 8.1), empty, (800, 800)) == [(1, 2), (9, 2), (9, 8), (1, 8)]
