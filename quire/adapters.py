@@ -18,13 +18,21 @@ from pyspark.sql import types as T
 
 
 class Recognizer(Protocol):
-    """Texts of a batch of equal task, prompt and image size, in order. May raise for the batch."""
+    """Texts of a batch of equal task, prompt and image size, in order. May raise for the batch.
+
+    The batch has the region's box in pixels as `crop` and its `polygon` in thousandths of the page, null where
+    there is none, for a recogniser that holds the images (`quire.functions.images.crop_region` masks by it, P6).
+    """
 
     def recognize(self, batch: pd.DataFrame) -> list[str]: ...
 
 
 class Detector(Protocol):
-    """Detections of pages: rows of page keys, cls, score, x1, y1, x2, y2, ord, polygon."""
+    """Detections of pages: rows of page keys, cls, score, x1, y1, x2, y2, ord.
+
+    A detector that also gives some of OPTIONAL names them in its attribute `optional`: mask_logits or mask, a
+    flat square over the page, or polygon, points in the page's pixels, which goes before a mask where it isn't null.
+    """
 
     def detect(self, pages: pd.DataFrame) -> pd.DataFrame: ...
 
@@ -65,10 +73,13 @@ class StubDetector:
 
 DETECTIONS = "doc long, page int, id long, cls int, score double, x1 double, y1 double, x2 double, y2 double, w int, h int, ord int"
 
+OPTIONAL = {"mask_logits": "array<double>", "mask": "array<boolean>", "polygon": "array<array<double>>"}
+
 
 def detect(pages: DataFrame, detector: Detector) -> DataFrame:
     """Detections of (doc, page, w, h, ...) pages; the detector runs on Arrow batches where pages lie."""
-    return pages.mapInPandas(lambda batches: (detector.detect(b) for b in batches), DETECTIONS)
+    more = [f"{c} {kind}" for c, kind in OPTIONAL.items() if c in getattr(detector, "optional", ())]
+    return pages.mapInPandas(lambda batches: (detector.detect(b) for b in batches), ", ".join([DETECTIONS, *more]))
 
 
 def recognise(jobs: DataFrame, recognizer: Recognizer, batch_size: int = 4) -> DataFrame:
@@ -108,7 +119,8 @@ def recognise(jobs: DataFrame, recognizer: Recognizer, batch_size: int = 4) -> D
             out["text"], out["error"] = [back[i][0] for i in range(len(rows))], [back[i][1] for i in range(len(rows))]
             yield out
 
-    together = jobs.select(*cols).repartition(*bucket, F.pmod(F.hash("doc"), F.lit(64))).sortWithinPartitions(*bucket, "doc", "page", "idx")
+    extra = [c for c in ("crop", "polygon") if c in jobs.columns]
+    together = jobs.select(*cols, *extra).repartition(*bucket, F.pmod(F.hash("doc"), F.lit(64))).sortWithinPartitions(*bucket, "doc", "page", "idx")
     schema = T.StructType([f for f in jobs.select("doc", "page", "idx").schema] + [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
     return together.mapInPandas(run, schema)
 

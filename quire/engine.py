@@ -39,13 +39,24 @@ class Engine:
         found = adapters.recognise(jobs, self.recognizer, self.config.performance.batch_size)
         return found.withColumn("text", trim(F.col("text")))
 
+    def _outlined(self, dets: DataFrame) -> DataFrame:
+        """Polygons of masks, for detections that pass their threshold; a polygon given by the detector stays."""
+        if "mask_logits" in dets.columns:
+            bits = L.mask_bits(F.col("mask_logits"), self.config.layout.pre_threshold)
+            dets = dets.withColumn("mask", F.coalesce("mask", bits) if "mask" in dets.columns else bits).drop("mask_logits")
+        if "mask" not in dets.columns:
+            return dets
+        dets = L.class_threshold(dets, self.config.layout)
+        if "polygon" not in dets.columns:
+            return polygons(dets)
+        return polygons(dets.withColumnRenamed("polygon", "given")).withColumn("polygon", F.coalesce("given", "polygon")).drop("given")
+
     def regions(self, pages: DataFrame) -> DataFrame:
-        """Recognised regions: doc, page, idx, label, task, bbox, width, height, content, crop_warning, warning."""
-        dets = L.named(adapters.detect(pages, self.detector))
-        if "mask" in dets.columns:
-            dets = polygons(dets)
+        """Recognised regions: doc, page, idx, label, task, bbox, width, height, content, crop_warning, warning, polygon (in thousandths; null where the detector gives neither mask nor polygon)."""
+        dets = self._outlined(L.named(adapters.detect(pages, self.detector)))
         found = L.postprocess(dets, O.PAGE, self.config.layout).withColumnRenamed("bbox2d", "bbox")
-        found = found.select("doc", "page", "idx", "label", "task", "bbox", F.lit(None).cast("string").alias("content"), J.pixel_box(F.col("bbox"), F.col("w"), F.col("h")).alias("crop"))
+        outline = L.milli_polygon(F.col("polygon"), F.col("w"), F.col("h")) if "polygon" in found.columns else F.lit(None).cast("array<array<int>>")
+        found = found.select("doc", "page", "idx", "label", "task", "bbox", outline.alias("polygon"), F.lit(None).cast("string").alias("content"), J.pixel_box(F.col("bbox"), F.col("w"), F.col("h")).alias("crop"))
         found = J.crop_failures(found).withColumnRenamed("warning", "crop_warning")
         found = found.withColumn("width", F.col("crop")[2] - F.col("crop")[0]).withColumn("height", F.col("crop")[3] - F.col("crop")[1])
         jobs = J.make_jobs(found.where("crop is not null"), self.config.prompts)

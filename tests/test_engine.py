@@ -121,6 +121,47 @@ def test_command(shared, tmp_path):
     assert main([str(tmp_path / "in"), out, "--no-layout"], shared) == 1
 
 
+def test_masks_and_polygons_reach_the_regions(shared):
+    # Defined here, as workers don't import this module.
+    class Outlines(adapters.StubDetector):
+        """The stub's boxes with an oval mask, or a triangle for the last."""
+
+        def __init__(self, *optional):
+            self.optional = optional
+
+        def detect(self, pages):
+            import numpy as np
+
+            found = adapters.StubDetector.detect(self, pages)
+            at = np.arange(200)
+            oval = ((at[:, None] - 100) / 90) ** 2 + ((at - 100) / 90) ** 2 <= 1
+            if "mask" in self.optional:
+                found["mask"] = [oval.ravel().tolist()] * len(found)
+            if "mask_logits" in self.optional:
+                found["mask_logits"] = [np.where(oval, 3.0, -3.0).ravel().tolist()] * len(found)
+            if "polygon" in self.optional:
+                found["polygon"] = [[[x1, y1], [x2, y1], [x2, y2]] if cls == 3 else None for cls, x1, y1, x2, y2 in zip(found["cls"], found["x1"], found["y1"], found["x2"], found["y2"])]
+            return found
+
+    class SeesPolygons(adapters.StubRecognizer):
+        def recognize(self, batch):
+            return [f"points {0 if p is None else len(p)} in {len(c)}" for p, c in zip(batch["polygon"], batch["crop"])]
+
+    one = pages(shared).where("doc = 2")
+
+    def found(*optional):
+        return {r.idx: r for r in Engine(shared, detector=Outlines(*optional), recognizer=SeesPolygons()).regions(one).collect()}
+
+    plain, masks, logits, both = found(), found("mask"), found("mask_logits"), found("mask", "polygon")
+    assert len(plain) == 3 and all(r.polygon is None for r in plain.values()) and plain[0].content == "points 0 in 4"
+    assert {i: r.polygon for i, r in masks.items()} == {i: r.polygon for i, r in logits.items()}
+    for i, r in masks.items():
+        x1, y1, x2, y2 = r.bbox
+        assert len(r.polygon) > 3 and all(x1 - 1 <= x <= x2 + 1 and y1 - 1 <= y <= y2 + 1 for x, y in r.polygon) and r.bbox == plain[i].bbox
+    assert masks[0].content == f"points {len(masks[0].polygon)} in 4" and masks[0].polygon != [[0, 0], [1000, 0], [1000, 260], [0, 260]]
+    assert [len(both[i].polygon) for i in range(3)] == [len(masks[0].polygon), len(masks[1].polygon), 3]
+
+
 def test_bundle_makes_figures_and_sidecar(shared):
     import hashlib
 
