@@ -107,6 +107,10 @@ class Engine:
         if options.include_diagnostics:
             jobs = J.make_jobs(regions.where("width is not null"), self.config.prompts)
             stats = J.counters(regions).join(J.scheduler_stats(J.batches(J.buckets(jobs), self.config.performance.batch_size)), "doc", "left")
+            stats = stats.join(pages.groupBy("doc").agg(F.count_distinct("page").alias("pages")), "doc")
+            if bundled:
+                listed = made.where("problem is null or problem = 'pixels'").groupBy("doc").agg(F.count("*").alias("figures"))
+                stats = stats.join(listed, "doc", "left")
             out = out.join(B.metadata(stats, self.config, options), "doc", "left")
         if bundled:
             out = out.join(B.figure_assets(made, self.config.bundle), "doc", "left")

@@ -136,7 +136,11 @@ def prompt_hash(prompt: str) -> Column:
 
 
 def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """(doc, metadata): a map of strings from counters and scheduler statistics (see jobs) and options."""
+    """(doc, metadata): a map of 36 strings from counters and scheduler statistics (see jobs) and options.
+
+    stats also has `pages` and, where figures were made, `figures`. There is one path from masks to contours and
+    no dump of rendered pages, so what the reference says of these is fixed.
+    """
 
     def word(x: object) -> str:
         return "nil" if x is None else str(x).lower() if isinstance(x, bool) else str(x)
@@ -145,6 +149,7 @@ def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOpti
     fixed = {
         "layoutEnabled": config.enable_layout,
         "markdownBundleEnabled": config.bundle.enabled,
+        "markdownBundleGenerated": wanted(config, options),
         "maxConcurrentRecognitions": config.max_concurrent_recognitions,
         "maxPagesOption": options.max_pages,
         "defaultMaxPages": config.default_max_pages,
@@ -157,8 +162,14 @@ def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOpti
         "pdfRenderConcurrency": config.performance.render_concurrency,
         "ocrPreprocessConcurrency": config.performance.preprocess_concurrency,
         "bundleEncodeConcurrency": config.performance.encode_concurrency,
+        "layoutPostprocessFastPath": True,
+        "pageRenderDebugDump": None,
+        "pageRenderDebugCount": 0,
     }
     counted = {
+        "pageCount": "pages",
+        "markdownBundleFigureCount": "figures",
+        "layoutDetectionCount": "detections",
         "detectionCount": "detections",
         "skipRegionCount": "skip_count",
         "recognitionTextJobCount": "text_count",
@@ -170,6 +181,8 @@ def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOpti
         "inferenceMaxBatchSize": "max_batch",
         "inferenceQueuedJobCount": "queued",
     }
+    if "figures" not in stats.columns:
+        stats = stats.withColumn("figures", F.lit(0))
     entries = [x for k, v in fixed.items() for x in (F.lit(k), F.lit(word(v)))]
     entries += [x for k, c in counted.items() for x in (F.lit(k), F.coalesce(F.col(c), F.lit(0)).cast("string"))]
     entries += [F.lit("inferenceAverageBatchSize"), F.format_string("%.2f", F.bround(F.coalesce("mean_batch", F.lit(0.0)), 2))]

@@ -175,9 +175,15 @@ def b07_sidecar(spark, d):
     return pages.select("doc", json.alias("sidecar"))
 
 
+def whole_metadata(spark, d):
+    """(doc, metadata) with every key; d02_metadata has those of its SQL."""
+    units = _units(spark, d)
+    stats = J.counters(units).join(units.groupBy("doc").agg(F.count_distinct("page").alias("pages")), "doc")
+    return B.metadata(stats.join(J.scheduler_stats(J.batches(J.buckets(X.jobs(spark, d)), 4)), "doc", "left"), Config())
+
+
 def d02_metadata(spark, d):
-    stats = J.counters(_units(spark, d)).join(J.scheduler_stats(J.batches(J.buckets(X.jobs(spark, d)), 4)), "doc", "left")
-    m = B.metadata(stats, Config()).select("doc", F.explode("metadata").alias("key", "value"))
+    m = whole_metadata(spark, d).select("doc", F.explode("metadata").alias("key", "value"))
     return m.where(F.col("key").isin("detectionCount", "recognitionJobCount", "inferenceBatchCount", "inferenceAverageBatchSize", "pdfDPI", "maxPagesOption", "textPromptHash"))
 
 

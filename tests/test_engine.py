@@ -196,3 +196,24 @@ def test_command_writes_the_figures_it_links(shared, tmp_path):
     assert main([str(tmp_path / "in"), str(tmp_path / "out"), "--bundle"], shared) == 0
     links = re.findall(r"\((imgs/[^)]*)\)", (tmp_path / "out" / "a" / "a.md").read_text())
     assert len(links) == 2 and all((tmp_path / "out" / "a" / x).read_bytes().startswith(b"\x89PNG") for x in links)
+
+
+def test_whole_metadata(shared):
+    from hashlib import sha256
+
+    from quire.plans.pipeline_queries import whole_metadata
+
+    want = {
+        "layoutEnabled": "true", "markdownBundleEnabled": "true", "markdownBundleGenerated": "true", "markdownBundleFigureCount": "2", "pageCount": "2", "layoutDetectionCount": "6", "maxConcurrentRecognitions": "1",
+        "maxPagesOption": "7", "defaultMaxPages": "nil", "effectiveMaxPages": "7", "pdfDPI": "200", "pdfMaxRenderedLongSide": "3500", "inferenceBatchSize": "4", "inferenceBatchMaxWaitMs": "8", "inferenceMaxInflightJobs": "1",
+        "pdfRenderConcurrency": "2", "ocrPreprocessConcurrency": "4", "bundleEncodeConcurrency": "2", "layoutPostprocessFastPath": "true", "recognitionJobCount": "2", "recognitionTextJobCount": "2", "recognitionTableJobCount": "0",
+        "recognitionFormulaJobCount": "0", "skipRegionCount": "4", "detectionCount": "6", "inferenceBucketCount": "1", "inferenceBatchCount": "1", "inferenceMaxBatchSize": "2", "inferenceAverageBatchSize": "2.00", "inferenceQueuedJobCount": "2",
+        "pageRenderDebugDump": "nil", "pageRenderDebugCount": "0",
+    }
+    for name, prompt in (("noLayout", dims.PAGE_PROMPT), *((t, dims.PROMPTS[t]) for t in ("text", "table", "formula"))):
+        want[name + "PromptHash"] = sha256(prompt.encode()).hexdigest()[:16]
+    given = shared.createDataFrame([(1, 0, 50, 40, bytes(6000)), (1, 1, 50, 40, None)], "doc long, page int, w int, h int, rgb binary")
+    got = Engine(shared, Config(bundle=Bundle(enabled=True, figure_format="png"))).parse(given, ParseOptions(max_pages=7)).collect()
+    assert got[0].metadata == want and len(want) == 36
+    found = whole_metadata(shared, "/root/testdata/sf0.001").collect()
+    assert found and all(set(r.metadata) == set(want) and int(r.metadata["pageCount"]) > 0 for r in found)
