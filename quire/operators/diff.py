@@ -9,6 +9,7 @@ fields that differ.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -53,9 +54,9 @@ def diff_copies(
     Defined cases: null equals null only, in keys and fields; '' is not null. Equal rows cancel
     one against one; with multiset=False repeats within a side count once. Empty inputs give no
     rows on either side beyond what the other side has. Columns other than keys and fields are
-    not read, whatever their names. Keys with more than `block` leftover rows on a side are
-    paired block by block in field order: the number of one-sided rows stays exact, the pairing
-    is of minimum cost within each block.
+    not read, whatever their names. Keys with more than `block` leftover rows on a side first pair
+    rows that differ in one field, then in two; the rest is paired block by block in field order:
+    the number of one-sided rows stays exact, the pairing is of minimum cost within each block.
     """
     ks, fs = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
@@ -70,17 +71,20 @@ def diff_copies(
         net = F.max(F.when(F.col("sign") > 0, 1).otherwise(0)) - F.max(F.when(F.col("sign") < 0, 1).otherwise(0))
     left_over = both.groupBy(*ks, *fs).agg(net.cast("long").alias("net")).where("net <> 0")
 
-    # Repeats of a leftover row become rows of their own, so that each is paired.
-    rows = left_over.select(*ks, *fs, (F.col("net") > 0).alias("is_left"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("net"))).alias("copy"))
-    place = F.row_number().over(Window.partitionBy(*ks, "is_left").orderBy(*fs))
+    left_over = _near_pairs(left_over, ks, fs, block)
+    # Repeats of a leftover row become rows of their own, so that each is paired; `near` is the mask of one that is.
+    rows = left_over.select(*ks, *fs, "is_left", "near", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    rows = rows.withColumn("paired", F.col("near") > 0)
+    place = F.row_number().over(Window.partitionBy(*ks, "is_left", "paired").orderBy(*fs))
     blocks = (
         rows.withColumn("block", F.floor((place - 1) / F.lit(block)))
-        .groupBy(*ks, "block")
+        .groupBy(*ks, "paired", "block")
         .agg(
-            F.collect_list(F.when(F.col("is_left"), F.struct(*fs))).alias("ls"),
-            F.collect_list(F.when(~F.col("is_left"), F.struct(*fs))).alias("rs"),
+            F.collect_list(F.when(F.col("is_left") & ~F.col("paired"), F.struct(*fs))).alias("ls"),
+            F.collect_list(F.when(~F.col("is_left") & ~F.col("paired"), F.struct(*fs))).alias("rs"),
+            F.collect_list(F.when(F.col("paired"), F.col("near"))).alias("near"),
         )
-        .select(*ks, F.size("ls").alias("nl"), F.size("rs").alias("nr"), _masks(len(fields)).alias("masks"))
+        .select(*ks, F.size("ls").alias("nl"), F.size("rs").alias("nr"), "near", _masks(len(fields)).alias("masks"))
     )
     schema = T.StructType([*[f for f in blocks.schema if f.name != "masks"], T.StructField("pairs", T.ArrayType(T.IntegerType()))])
     paired = blocks.mapInPandas(_assign_masks, schema)
@@ -90,6 +94,7 @@ def diff_copies(
         *ks,
         F.explode(
             F.concat(
+                F.transform("near", lambda m: F.struct(F.lit("changed").alias("status"), m.alias("mask"))),
                 F.transform("pairs", lambda m: F.struct(F.lit("changed").alias("status"), m.alias("mask"))),
                 F.array_repeat(F.struct(F.lit("only_left").alias("status"), F.lit(0).alias("mask")), F.col("nl") - n_pairs),
                 F.array_repeat(F.struct(F.lit("only_right").alias("status"), F.lit(0).alias("mask")), F.col("nr") - n_pairs),
@@ -101,6 +106,34 @@ def diff_copies(
     return found.select(*named, F.col("x.status").alias("status"), F.array_compact(F.array(*flags)).alias("diffs"))
 
 
+def _near_pairs(left_over: DataFrame, ks: Sequence[str], fs: Sequence[str], block: int) -> DataFrame:
+    """Leftover rows as (keys, fields, is_left, near, n): of keys with more than `block` on a side, those that differ from a row of
+    the other side in one field, then in two, are paired: near is the mask of the left row's pair. Others have 0.
+
+    Each step takes rows that agree in all other fields by multiplicity, in order of the fields let go: a window
+    counts both sides, no rows are joined. As equal rows are gone before, and pairs of one field before those of
+    two, a pair differs in exactly the fields let go. Steps go on by one shuffle each, in the order of the fields.
+    """
+    many = Window.partitionBy(*ks)
+    l, r = F.sum(F.greatest("net", F.lit(0))).over(many), F.sum(F.greatest(-F.col("net"), F.lit(0))).over(many)
+    rows = left_over.withColumn("hot", F.greatest(l, r) > block).withColumn("n", F.abs("net")).withColumn("is_left", F.col("net") > 0)
+    rows = rows.withColumn("done", F.array().cast("array<struct<mask:int,n:bigint>>"))
+    for free in [c for size in (1, 2) if size < len(fs) for c in itertools.combinations(range(len(fs)), size)]:
+        alike = [*ks, *[f for i, f in enumerate(fs) if i not in free]]
+        w = Window.partitionBy(*alike)
+        before = Window.partitionBy(*alike, "is_left").orderBy(*[fs[i] for i in free]).rowsBetween(Window.unboundedPreceding, -1)
+        both = F.least(F.sum(F.when(F.col("is_left"), F.col("n")).otherwise(0)).over(w), F.sum(F.when(~F.col("is_left"), F.col("n")).otherwise(0)).over(w))
+        rows = rows.withColumn("both", both).withColumn("gone", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        took = F.when(F.col("hot"), F.greatest(F.lit(0), F.least(F.col("n"), F.col("both") - F.col("gone")))).otherwise(0).cast("long")
+        mask = sum(1 << i for i in free)
+        rows = rows.withColumn("took", took)
+        one = F.array(F.struct(F.lit(mask).alias("mask"), F.col("took").alias("n")))
+        rows = rows.withColumn("done", F.when(F.col("is_left") & (F.col("took") > 0), F.concat("done", one)).otherwise(F.col("done")))
+        rows = rows.withColumn("n", F.col("n") - F.col("took")).drop("took", "both", "gone")
+    items = F.concat("done", F.array(F.struct(F.lit(0).alias("mask"), "n")))
+    return rows.select(*ks, *fs, "is_left", F.explode(items).alias("d")).select(*ks, *fs, "is_left", F.col("d.mask").alias("near"), F.col("d.n").alias("n")).where("n > 0")
+
+
 def _masks(n_fields: int) -> Column:
     """For each left and right row of a block, a bit for each field that differs."""
 

@@ -43,6 +43,15 @@ def test_hot_key_in_blocks_keeps_counts(spark):
     assert sum(s == "changed" for _, s, _ in got) == 300 and sum(s == "only_left" for _, s, _ in got) == 200
 
 
+def test_hot_key_pairs_rows_that_differ_in_few_fields(spark):
+    rng = random.Random(3)
+    left = [(1, str(rng.random()), "s", i) for i in range(500)] + [(1, "twice", "s", -1)] * 2
+    right = [(1, a, "t", i) for _, a, _, i in left[:200]] + [(1, a, "t", i + 1000) for _, a, _, i in left[200:300]] + [(1, "twice", "u", -1)]
+    schema = "k int, a string, b string, c int"
+    got = rows(diff_copies(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], ["a", "b", "c"], block=16))
+    assert [got.count((1, s, d)) for s, d in (("changed", ("b",)), ("changed", ("b", "c")), ("only_left", ()))] == [201, 100, 201] and len(got) == 502
+
+
 def test_latest_version(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, None, "c"), (2, None, "d"), (None, 1, "e"), (1, 7, "b")], "k int, v int, rank string")
     got = {(r.k, r.v, r["rank"]) for r in latest_version(df, ["k"], ["v"]).collect()}
