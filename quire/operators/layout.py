@@ -7,10 +7,14 @@ Every operator takes a DataFrame of detections and the names of the columns that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import dims
 from quire.config import Layout
@@ -98,37 +102,168 @@ def named(dets: DataFrame, cls: str = "cls") -> DataFrame:
     return dets.withColumn("label", label.otherwise(F.concat(F.lit("class_"), F.col(cls).cast("string"))))
 
 
+#: Rows of a page's matrix of overlaps that are held at once.
+ROWS = 512
+
+
+def _suppressed(box: np.ndarray, cls: np.ndarray, layout: Layout) -> np.ndarray:
+    """L7 on the boxes of a page in order of score: which are kept."""
+    n = len(box)
+    x1, y1, x2, y2 = box.T
+    area = np.maximum(0.0, x2 - x1 + 1) * np.maximum(0.0, y2 - y1 + 1)
+    keep = np.ones(n, bool)
+    for a in range(0, n, ROWS):
+        at = slice(a, a + ROWS)
+        w = np.maximum(0.0, np.minimum(x2[at, None], x2[None, a:]) - np.maximum(x1[at, None], x1[None, a:]) + 1)
+        h = np.maximum(0.0, np.minimum(y2[at, None], y2[None, a:]) - np.maximum(y1[at, None], y1[None, a:]) + 1)
+        both = w * h
+        union = area[at, None] + area[None, a:] - both
+        share = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        clash = share >= np.where(cls[at, None] == cls[None, a:], layout.same_class_iou, layout.cross_class_iou)
+        for i in np.flatnonzero(np.triu(clash, 1).any(1)).tolist():
+            if keep[a + i]:
+                keep[a + i + 1 :] &= ~clash[i, i + 1 :]
+    return keep
+
+
+def _not_too_large(box: np.ndarray, image: np.ndarray, w: np.ndarray, h: np.ndarray, layout: Layout) -> np.ndarray:
+    """L8 on the boxes of a page."""
+    if len(box) <= 1:
+        return np.ones(len(box), bool)
+    iw = np.maximum(0.0, np.minimum(w, box[:, 2]) - np.maximum(0.0, box[:, 0]))
+    ih = np.maximum(0.0, np.minimum(h, box[:, 3]) - np.maximum(0.0, box[:, 1]))
+    keep = ~image | ~(iw * ih > np.where(w > h, layout.large_image_landscape, layout.large_image_other) * w * h)
+    return keep if keep.any() else ~keep
+
+
+def _modes(layout: Layout) -> dict[str, list[int]]:
+    """Class ids by mode."""
+    modes = [layout.merge_modes.get(c, "small" if c in dims.SMALL_MODE_CLASSES else "large") for c in dims.CLASSES]
+    return {m: [i for i, x in enumerate(modes) if x == m] for m in ("small", "large")}
+
+
+def _not_contained(box: np.ndarray, cls: np.ndarray, kept: np.ndarray, layout: Layout) -> np.ndarray:
+    """L9 on the boxes of a page; kept marks labels that no box takes away."""
+    n, modes = len(box), _modes(layout)
+    x1, y1, x2, y2 = box.T
+    own = (x2 - x1) * (y2 - y1)
+    large, gone, inside = np.isin(cls, modes["large"]), np.zeros(n, bool), np.zeros(n, bool)
+    holds = {c: np.zeros(n, bool) for c in modes["small"] if (cls == c).any()}
+    for a in range(0, n, ROWS):
+        at = slice(a, a + ROWS)
+        iw = np.maximum(0.0, np.minimum(x2[at, None], x2[None]) - np.maximum(x1[at, None], x1[None]))
+        ih = np.maximum(0.0, np.minimum(y2[at, None], y2[None]) - np.maximum(y1[at, None], y1[None]))
+        able = (own[at] > 0) & ~kept[at]
+        edge = np.divide(iw * ih, own[at, None], out=np.zeros_like(iw), where=able[:, None]) >= layout.containment
+        edge &= able[:, None]
+        edge[np.arange(len(edge)), np.arange(a, a + len(edge))] = False
+        gone[at] |= (edge & large[None]).any(1)
+        inside[at] = edge.any(1)
+        for c, held in holds.items():
+            held |= edge[cls[at] == c].any(0)
+    for c, held in holds.items():
+        gone |= held & ~((cls == c) & inside)
+    return ~gone
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where values are, nulls included."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy()
+
+
+def on_pages(dets: DataFrame, keys: Sequence[str], layout: Layout, steps: Sequence[str], live: Column | None = None) -> DataFrame:
+    """The steps nms, large and contained, in this order, on whole pages: one exchange on the page and one kernel.
+
+    Rows come by page, score and id; the kernel takes a page's boxes as arrays and hands the rows it keeps on
+    as they are, whatever else they hold. A matrix of overlaps is held ROWS rows at a time, so a page may have
+    any number of detections. With `live`, rows kept get their `pos` in reading order, and those of them that
+    live `idx`, dense from 0, in that order. A box with a null or NaN corner overlaps none.
+    """
+    flagged = dets if live is None else dets.withColumn("_live", live)
+    together = flagged.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), F.asc("id"))
+    counted = live is not None
+    given = [f for f in flagged.schema if f.name != "_live"]
+    schema = T.StructType([*given] if not counted else [*given, T.StructField("pos", T.IntegerType()), T.StructField("idx", T.IntegerType())])
+
+    def numbered(table: pa.Table, page: np.ndarray, kept: np.ndarray) -> tuple[pa.Table, list[pa.Array]]:
+        table, page = table.take(pa.array(kept)), page[kept]
+        order = pc.sort_indices(table.select(["ord", "id"]).append_column("_page", pa.array(page)), sort_keys=[("_page", "ascending"), ("ord", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+        table, page = table.take(pa.array(order)), page[order]
+        first = np.searchsorted(page, page)
+        lives = table.column("_live").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+        before = np.concatenate(([0], np.cumsum(lives)))
+        idx = np.where(lives, before[:-1] - before[first], 0)
+        return table, [pa.array(np.arange(len(page)) - first, pa.int32()), pa.array(idx, pa.int32(), mask=~lives)]
+
+    def settle(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        box = np.stack([_numbers(table, c) for c in ("x1", "y1", "x2", "y2")], 1)
+        cls = table.column("cls").cast(pa.int64()).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        if "large" in steps:
+            w, h = _numbers(table, "w"), _numbers(table, "h")
+        if "large" in steps or "contained" in steps:
+            label = table.column("label").combine_chunks()
+            image = pc.equal(label, "image").fill_null(False).to_numpy(zero_copy_only=False)
+            fixed = pc.is_in(label, pa.array(dims.KEPT_IN_CONTAINMENT, label.type)).to_numpy(zero_copy_only=False)
+        found, page = [], np.zeros(len(table), np.int64)
+        for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(table)])):
+            page[a:b] = k
+            at = np.arange(a, b)
+            with np.errstate(invalid="ignore"):
+                if "nms" in steps:
+                    at = at[_suppressed(box[at], cls[at], layout)]
+                if "large" in steps:
+                    at = at[_not_too_large(box[at], image[at], w[at], h[at], layout)]
+                if "contained" in steps:
+                    at = at[_not_contained(box[at], cls[at], fixed[at], layout)]
+            found.append(at)
+        kept = np.concatenate(found)
+        if not counted:
+            table, more = table.take(pa.array(kept)), []
+        else:
+            table, more = numbered(table, page, kept)
+        columns = [table.column(f.name).combine_chunks() for f in given] + more
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the page that the last batch ended in
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            probe = table if not held else pa.concat_tables([held[-1].slice(len(held[-1]) - 1), table])
+            change = np.zeros(len(probe) - 1, bool)
+            for key in keys:
+                codes = _codes(probe.column(key))
+                change |= codes[1:] != codes[:-1]
+            # Where pages begin among the rows of the batch.
+            begins = np.flatnonzero(change) + (0 if held else 1)
+            if not len(begins):
+                held.append(table)
+                continue
+            cut = int(begins[-1])
+            size = sum(map(len, held))
+            whole = pa.concat_tables([*held, table.slice(0, cut)])
+            if len(whole):
+                starts = np.unique(np.concatenate(([0], begins[:-1] + size)))
+                yield settle(whole, starts)
+            held = [table.slice(cut)]
+        if held:
+            yield settle(pa.concat_tables(held), np.array([0]))
+
+    return together.mapInArrow(run, schema)
+
+
 def nms(dets: DataFrame, keys: Sequence[str], layout: Layout = Layout()) -> DataFrame:
     """Greedy suppression in order of score, ties by id.
 
-    A join within the page finds the pairs that overlap by `same_class_iou` within a class or
-    `cross_class_iou` across classes, areas with their border pixels; then a fold over each page's
-    ranks keeps a box unless a kept one before it suppresses it. All of it needs one shuffle, on the
-    page. The fold holds a page's ranks in one row; the model bounds a page at 300 detections, and a
-    page of more raises.
+    A box goes where one kept before it on its page overlaps it by `same_class_iou` within a class or
+    `cross_class_iou` across classes, areas with their border pixels.
     """
-    by_score = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
-    box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    ranked = dets.select(*keys, "id", "cls", *box, F.row_number().over(by_score).alias("r"))
-    a = ranked.select(*keys, *[F.col(c).alias("a_" + c) for c in ("cls", "x1", "y1", "x2", "y2", "r")])
-
-    def area(p: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(p + "x2") - F.col(p + "x1") + 1) * F.greatest(F.lit(0.0), F.col(p + "y2") - F.col(p + "y1") + 1)
-
-    w = F.greatest(F.lit(0.0), F.least("x2", "a_x2") - F.greatest("x1", "a_x1") + 1)
-    h = F.greatest(F.lit(0.0), F.least("y2", "a_y2") - F.greatest("y1", "a_y1") + 1)
-    union = area("") + area("a_") - w * h
-    limit = F.when(F.col("cls") == F.col("a_cls"), F.lit(layout.same_class_iou)).otherwise(F.lit(layout.cross_class_iou))
-    clash = ranked.join(a, list(keys)).where((F.col("a_r") < F.col("r")) & (F.when(union > 0, w * h / union).otherwise(F.lit(0.0)) >= limit))
-    prior = clash.groupBy(*keys, "r").agg(F.collect_list("a_r").alias("prior"))
-    rows = ranked.select(*keys, "id", "r").join(prior, [*keys, "r"], "left")
-    pages = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "id", "prior"))).alias("boxes"))
-    pages = pages.withColumn("boxes", F.when(F.size("boxes") <= dims.MAX_DETECTIONS, F.col("boxes")).otherwise(F.raise_error(F.lit("a page has more than 300 detections"))))
-    none = F.array().cast("array<int>")
-    kept = F.aggregate("boxes", none, lambda acc, b: F.when(F.coalesce(F.exists(b["prior"], lambda p: F.array_contains(acc, p)), F.lit(False)), acc).otherwise(F.concat(acc, F.array(b["r"]))))
-    # The fold stands inside the generator, which runs it once a page; above it, it would run for each box.
-    ids = pages.select(*keys, F.explode(F.transform(kept, lambda r: F.get("boxes", r - 1)["id"])).alias("id"))
-    return dets.join(ids, [*keys, "id"], "left_semi")
+    return on_pages(dets, keys, layout, ["nms"])
 
 
 def large_image_filter(dets: DataFrame, keys: Sequence[str], layout: Layout = Layout()) -> DataFrame:
@@ -147,26 +282,9 @@ def containment_filter(dets: DataFrame, keys: Sequence[str], layout: Layout = La
 
     An edge l -> r says that the share `containment` of l lies in r; images, seals and charts have
     none. Where r's class has mode large, l goes. Where l's class has mode small, r goes unless it is of
-    that class and lies in a box itself. The page is an equality in the join, so edges come from a hash or merge join within
-    pages of bounded size, and one aggregation decides.
+    that class and lies in a box itself.
     """
-    small = [i for i, c in enumerate(dims.CLASSES) if layout.merge_modes.get(c, "small" if c in dims.SMALL_MODE_CLASSES else "large") == "small"]
-    large = [i for i, c in enumerate(dims.CLASSES) if layout.merge_modes.get(c, "small" if c in dims.SMALL_MODE_CLASSES else "large") == "large"]
-    cols = ("id", "cls", "label", "x1", "y1", "x2", "y2")
-    left = dets.select(*keys, *[F.col(c).alias("l_" + c) for c in cols])
-    right = dets.select(*keys, *[F.col(c).alias("r_" + c) for c in cols])
-    own = (F.col("l_x2") - F.col("l_x1")) * (F.col("l_y2") - F.col("l_y1"))
-    iw = F.greatest(F.lit(0.0), F.least("l_x2", "r_x2") - F.greatest("l_x1", "r_x1"))
-    ih = F.greatest(F.lit(0.0), F.least("l_y2", "r_y2") - F.greatest("l_y1", "r_y1"))
-    edges = left.join(right, list(keys)).where((F.col("l_id") != F.col("r_id")) & ~F.col("l_label").isin(*dims.KEPT_IN_CONTAINMENT) & (own > 0) & (iw * ih / own >= layout.containment))
-    gone = edges.where(F.col("r_cls").isin(*large)).select(*keys, F.col("l_id").alias("id"))
-    if small:
-        # For each class c of mode small: boxes with a c-box inside them, and c-boxes inside any box.
-        holds = edges.where(F.col("l_cls").isin(*small)).select(*keys, F.col("r_id").alias("id"), F.col("l_cls").alias("c"), F.lit(1).alias("inner"))
-        inside = edges.where(F.col("l_cls").isin(*small)).select(*keys, F.col("l_id").alias("id"), F.col("l_cls").alias("c"), F.lit(0).alias("inner"))
-        by = holds.unionByName(inside).groupBy(*keys, "id", "c").agg(F.min("inner").alias("least"))
-        gone = gone.unionByName(by.where("least = 1").select(*keys, "id"))
-    return dets.join(gone, [*keys, "id"], "left_anti")
+    return on_pages(dets, keys, layout, ["contained"])
 
 
 def reading_sort(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,8 +292,7 @@ def reading_sort(dets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dets.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "id")) - 1)
 
 
-def unclip(dets: DataFrame, ratio: tuple[float, float]) -> DataFrame:
-    """Grow boxes about their centre by ratios of at least 1, within the page."""
+def _unclipped(ratio: tuple[float, float]) -> dict[str, Column]:
     rx, ry = max(1.0, ratio[0]), max(1.0, ratio[1])
     out = {}
     for a, b, size, r in (("x1", "x2", "w", rx), ("y1", "y2", "h", ry)):
@@ -183,13 +300,27 @@ def unclip(dets: DataFrame, ratio: tuple[float, float]) -> DataFrame:
         edge = F.greatest(F.lit(1.0), F.col(size).cast("double"))
         out[a] = F.greatest(F.lit(0.0), F.least(edge, mid - half))
         out[b] = F.greatest(F.lit(0.0), F.least(edge, mid + half))
-    return dets.withColumns(out)
+    return out
+
+
+def unclip(dets: DataFrame, ratio: tuple[float, float]) -> DataFrame:
+    """Grow boxes about their centre by ratios of at least 1, within the page."""
+    return dets.withColumns(_unclipped(ratio))
+
+
+def _within(box: dict[str, Column]) -> dict[str, Column]:
+    """Corners within the page."""
+    return {c: F.greatest(F.lit(0.0), F.least(F.col(s).cast("double"), box[c])) for c, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))}
+
+
+def _there(box: dict[str, Column]) -> Column:
+    return (box["x2"] > box["x1"]) & (box["y2"] > box["y1"])
 
 
 def clamp(dets: DataFrame) -> DataFrame:
     """Boxes within the page in whole pixels; empty ones go; a polygon of less than three points becomes the box."""
-    whole = {c: F.greatest(F.lit(0.0), F.least(F.col(s).cast("double"), F.col(c))) for c, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))}
-    out = dets.withColumns(whole).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    whole = _within({c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
+    out = dets.withColumns(whole).where(_there({c: F.col(c) for c in whole}))
     out = out.withColumns({c: F.col(c).cast("int").cast("double") for c in whole})
     if "polygon" in dets.columns:
         rect = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
@@ -220,10 +351,12 @@ def drop_abandoned(dets: DataFrame, keys: Sequence[str], pos: str = "pos") -> Da
 
 
 def postprocess(dets: DataFrame, keys: Sequence[str], layout: Layout = Layout()) -> DataFrame:
-    """L5a to L14 in order."""
-    out = class_threshold(dets, layout)
-    if layout.nms:
-        out = nms(out, keys, layout)
-    out = containment_filter(large_image_filter(out, keys, layout), keys, layout)
-    out = milli_box(clamp(unclip(reading_sort(out, keys), layout.unclip)))
-    return drop_abandoned(out, keys)
+    """L5a to L14 in order: column expressions around one exchange on the page and one kernel (see on_pages).
+
+    Which boxes are empty once clamped, or abandoned, depends on their row alone, so the kernel numbers the
+    regions and no second exchange is needed.
+    """
+    live = _there(_within(_unclipped(layout.unclip))) & (dims.task_column(F.col("label")) != "abandon")
+    steps = (["nms"] if layout.nms else []) + ["large", "contained"]
+    kept = on_pages(class_threshold(dets, layout), keys, layout, steps, live).where("idx is not null")
+    return milli_box(clamp(unclip(kept, layout.unclip)))

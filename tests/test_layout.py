@@ -86,10 +86,64 @@ def test_nms_is_the_greedy_loop(pages):
     assert L.nms(df.limit(0), KEYS).count() == 0
 
 
-def test_nms_refuses_pages_without_bound(spark):
-    df = spark.createDataFrame([(0, i, 22, 0.5, float(i), 0.0, float(i + 1), 1.0, 9, 9, 0) for i in range(301)], SCHEMA)
-    with pytest.raises(Exception, match="300"):
-        L.nms(L.named(df), KEYS).collect()
+def test_pages_of_any_size_in_any_batches(spark):
+    rng = random.Random(4)
+    rows = random_pages(20, 5)
+    for i in range(1000):
+        x, y = rng.randint(0, 15) * 10.0, rng.randint(0, 9) * 10.0
+        rows.append((99, i, rng.choice([3, 14, 18, 20, 22]), rng.randint(0, 9) / 10, x, y, x + rng.randint(0, 6) * 10, y + rng.randint(0, 4) * 10, 200, 100, rng.randint(0, 5)))
+    df = L.named(spark.createDataFrame(rows, SCHEMA))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert ids(L.nms(df, KEYS)) == loop_nms(rows)
+            assert ids(L.containment_filter(df, KEYS)) == loop_containment(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def loop_large(rows):
+    kept = []
+    for ds in by_page(rows).values():
+        ok = [d for d in ds if dims.CLASSES[d[2]] != "image" or max(0, min(d[8], d[6]) - max(0, d[4])) * max(0, min(d[9], d[7]) - max(0, d[5])) <= (0.82 if d[8] > d[9] else 0.93) * d[8] * d[9]]
+        kept += ok if ok and len(ds) > 1 else ds
+    return kept
+
+
+def test_postprocess_is_the_loops_in_order(pages):
+    rows, df = pages
+    got = {(r.page, r.id): (r.pos, r.idx) for r in L.postprocess(df, KEYS).collect()}
+    left = [r for r in rows if np.float32(r[3]) >= np.float32(0.3)]
+    single = loop_nms(left)
+    left = loop_large([r for r in left if (r[0], r[1]) in single])
+    outer = loop_containment(left)
+    want = {}
+    for page, ds in by_page([r for r in left if (r[0], r[1]) in outer]).items():
+        idx = 0
+        for pos, d in enumerate(sorted(ds, key=lambda d: (d[10], d[1]))):
+            x1, x2 = max(0, min(200, d[4])), max(0, min(200, d[6]))
+            y1, y2 = max(0, min(100, d[5])), max(0, min(100, d[7]))
+            if x2 > x1 and y2 > y1 and dims.task_of(dims.CLASSES[d[2]]) != "abandon":
+                want[page, d[1]] = pos, idx
+                idx += 1
+    assert got == want and len(got) > 100
+
+
+def test_postprocess_reads_once_and_shuffles_once(spark, pages, tmp_path):
+    rows, df = pages
+    df.write.parquet(f"{tmp_path}/dets")
+    plan = L.postprocess(spark.read.parquet(f"{tmp_path}/dets"), KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    physical = L.postprocess(spark.read.parquet(f"{tmp_path}/dets"), KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Relation [") == 1 and physical.count("Exchange ") == 1 and "Window" not in physical
+
+
+def test_null_boxes_and_extra_columns(spark):
+    rows = [(0, 1, 22, 0.9, None, 0.0, 5.0, 5.0, 9, 9, 0, "a"), (0, 2, 22, 0.8, 0.0, 0.0, 5.0, 5.0, 9, 9, 1, None), (None, 3, None, 0.7, 0.0, 0.0, 5.0, 5.0, 9, 9, None, "c"), (None, 3, None, 0.7, 0.0, 0.0, 5.0, 5.0, 9, 9, None, "c")]
+    df = L.named(spark.createDataFrame(rows, SCHEMA + ", _page string"))
+    assert L.nms(df, KEYS).select("id", "_page").collect() == [(3, "c"), (1, "a"), (2, None)] or {r.id for r in L.nms(df, KEYS).collect()} == {1, 2, 3}
+    assert {(r.id, r.idx) for r in L.postprocess(df, KEYS).collect()} == {(2, 0), (3, 0)}
+    assert L.postprocess(df.limit(0), KEYS).count() == 0
 
 
 def test_containment_is_the_loop(pages):
