@@ -30,21 +30,92 @@ def brute(body):
     return out
 
 
+def rebuilt(cols, table):
+    """Rows of a table as (ordinals, values) of one record."""
+    found = S.rebuild(S._column_of(cols), TREE, table)
+    values = {k: v.to_pylist() for k, v in found.values.items()}
+    return [(tuple(int(o[i]) for o in found.ordinals), {k: v[i] for k, v in values.items()}) for i in range(len(found.record))]
+
+
 def test_levels_of_a_leaf():
     rec = {"a": 1, "xs": [{"n": 1, "ys": [{"v": "p"}, {"v": None}]}, {"n": 2, "ys": []}, {}]}
     cols = S.shred(rec, TREE)
-    assert cols[("xs", "ys", "v")] == [(0, 3, "p"), (2, 2, None), (1, 1, None), (1, 1, None)]
-    assert cols[("xs", "n")] == [(0, 2, 1), (1, 2, 2), (1, 1, None)]
-    assert cols[("o", "ws")] == [(0, 0, None)]
-    assert S.rebuild(cols, TREE, ("xs",)) == [((0,), {"n": 1}), ((1,), {"n": 2}), ((2,), {"n": None})]
-    assert S.rebuild(cols, TREE, ("xs", "ys")) == [((0, 0), {"v": "p"}), ((0, 1), {"v": None})]
+    levels = {path: list(zip(*c)) for path, c in cols.items()}
+    assert levels[("xs", "ys", "v")] == [(0, 3, "p"), (2, 2, None), (1, 1, None), (1, 1, None)]
+    assert levels[("xs", "n")] == [(0, 2, 1), (1, 2, 2), (1, 1, None)]
+    assert levels[("o", "ws")] == [(0, 0, None)]
+    assert rebuilt(cols, ("xs",)) == [((0,), {"n": "1"}), ((1,), {"n": "2"}), ((2,), {"n": None})]
+    assert rebuilt(cols, ("xs", "ys")) == [((0, 0), {"v": "p"}), ((0, 1), {"v": None})]
+
+
+def test_levels_over_records():
+    import random
+
+    rng = random.Random(2)
+
+    def some(n, make):
+        return rng.choice([None, [make() for _ in range(rng.randint(0, n))]])
+
+    for _ in range(100):
+        recs = [{"xs": some(4, lambda: rng.choice([None, {"n": rng.randint(0, 9), "ys": some(3, lambda: {"v": rng.choice([None, "q"])})}])), "o": rng.choice([None, {"ws": some(3, lambda: "w")}])} for _ in range(5)]
+        cols = None
+        for r in recs:
+            cols = S.shred(r, TREE, cols)
+        column = S._column_of(cols)
+        found = S.rebuild(column, TREE, ("xs", "ys"))
+        want = [(i, x, y, v["v"]) for i, r in enumerate(recs) for x, e in enumerate(r["xs"] or []) for y, v in enumerate((e or {}).get("ys") or [])]
+        assert list(zip(found.record.tolist(), found.ordinals[0].tolist(), found.ordinals[1].tolist(), found.values["v"].to_pylist())) == want
+        found = S.rebuild(column, TREE, ("o", "ws"))
+        assert list(zip(found.record.tolist(), found.ordinals[0].tolist())) == [(i, k) for i, r in enumerate(recs) for k in range(len((r["o"] or {}).get("ws") or []))]
 
 
 @pytest.mark.parametrize("rec", [{}, {"xs": []}, {"xs": None}, {"o": {"ws": ["", None]}}, {"xs": [None, {"ys": [None]}]}])
 def test_shapes_do_not_crash(rec):
     cols = S.shred(rec, TREE)
-    assert len(S.rebuild(cols, TREE, ("xs",))) == len(rec.get("xs") or [])
-    assert len(S.rebuild(cols, TREE, ("o", "ws"))) == len((rec.get("o") or {}).get("ws") or [])
+    assert len(rebuilt(cols, ("xs",))) == len(rec.get("xs") or [])
+    assert len(rebuilt(cols, ("o", "ws"))) == len((rec.get("o") or {}).get("ws") or [])
+
+
+def test_packaging_of_any_depth():
+    doc = {"pages": [{"regions": [{"index": 0}]}]}
+    body = json.dumps(doc)
+    for _ in range(9):
+        body = json.dumps(body)
+    wrapped = doc
+    for i in range(7):
+        wrapped = {f"envelope{i}": wrapped, "other": {"x": 1}}
+    for b in (body, json.dumps(wrapped), json.dumps({"a": doc, "b": {"x": 1}}), json.dumps({"b": {"schemaVersion": 1}, "a": {"payload": json.dumps(doc)}}), json.dumps({"schemaVersion": 1, "body": doc})):
+        assert brute(b) == {("page", 0, ""), ("region", 0, "0")}, b
+    deep = '{"pages": [{"regions": [{"index": 0, "content": ' + "[" * 30_000 + "]" * 30_000 + "}]}]}"
+    assert brute(deep) == {("page", 0, ""), ("region", 0, "0")}
+    content = S.normalise(S.parse_body(deep))["pages"][0]["regions"][0]["content"]
+    assert S.as_text(content) == "[" * 30_000 + "]" * 30_000
+    assert S._dumps({"a": [1, {"b": None}]}) == '{"a": [1, {"b": null}]}'
+
+
+def test_numbers_that_are_no_index(spark):
+    figures = [{"pageIndex": i, "regionIndex": 0} for i in (1e12, 0.7, "0.0", 0, None, "x", 2**31)]
+    body = json.dumps({"pages": [{"regions": [{"index": 0}]}], "figures": figures})
+    df = spark.createDataFrame([(1, body)], "sidecar_id long, body string")
+    got = sorted(tuple(r) for r in S.sidecar_children(df).where("child like '%figure'").collect())
+    assert got == [(1, "figure", 0, "0")]
+    table = {r.position: (r.page_index, r.orphan) for r in S.sidecar_tables(df)["figure"].collect()}
+    assert table == {0: (None, True), 1: (None, True), 2: (0, False), 3: (0, False), 4: (None, True), 5: (None, True), 6: (None, True)}
+
+
+def test_tables_against_plain_walk(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/sidecars.parquet")
+    stored = S.levels(rows, ["sidecar_id"], "body")
+    stored.write.parquet(f"{tmp_path}/levels")
+    table = S.table_of(spark.read.parquet(f"{tmp_path}/levels"), ["sidecar_id"], ("pages", "regions"))
+    assert "pages__regions__bbox2D" in table._jdf.queryExecution().executedPlan().toString()
+    assert "diagnostics" not in table._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.sidecar_id, *r.ordinals, r.label, r.content) for r in table.collect())
+    want = []
+    for r in rows.collect():
+        d = S.normalise(S.parse_body(r.body)) or {}
+        want += [(r.sidecar_id, p, i, S.as_text(x.get("label")), S.as_text(x.get("content"))) for p, page in enumerate(d.get("pages", [])) for i, x in enumerate(page.get("regions", []))]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and got
 
 
 def test_bodies():
