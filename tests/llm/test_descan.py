@@ -12,7 +12,7 @@ def lex():
 
 
 def read(lex, *lines):
-    return D.decode(D.tokens(list(enumerate(lines))), lex)
+    return D.decode(list(enumerate(lines)), lex)
 
 
 def text(r):
@@ -76,3 +76,81 @@ def test_repair(spark):
     assert got[12].repaired == "The mill was opened by the council in the town, and it was noted. The sediment was low, and the river of the town was modern at the time when it was noted. The table was by the barn."
     assert all(got[i].kinds == [] for i in (20, 21, 22, 23, 24)) and got[20].repaired == ""
     assert D.repair(df.limit(0), common).count() == 0
+
+
+def test_words_with_many_odd_characters():
+    lex = D.Lexicon({**WORDS, "elephantess": 9, "close": 900, "dose": 20, "flat": 500, "fiat": 5})
+    assert D._best(lex, "€l€ph@nt€s5")[1:] == ("elephantess", 5)
+    assert D.confusions("€l€ph@nt€s5", "elephantess") == 5 and D.confusions("dose", "close") is None and D.confusions("close", "dose") == 1
+    assert lex.known("fiat")  # alike in strokes, but no letter l is misread as i
+    assert D._best(lex, "clii")[2] == 0
+    assert D._best(lex, "N@r5t@nb€rg")[1] == "Narstanberg"
+
+
+def test_joint_segmentation(lex):
+    assert text(read(lex, "the rnill")) == "the mill"
+    assert lex.segments("themillby")[1] == lex.segments("thernillby")[1] == ["the", "mill", "by"] and lex.segments("norston") is None
+    more = D.Lexicon({**WORDS, "formation": 50, "for": 500})
+    assert text(read(more, "the for mation was low")) == "the formation was low"
+
+
+def test_running_lines_reach_the_edge():
+    assert D.running({0: 3, 2: 4, 1: 40, 5: 38}) == {3, 4, 40}
+    e = D.edges("REPORT OF THE MILL\nsecond line\n\nbody\n\nfoot\n- 4 -")
+    assert D.edge_lines(e) == [(0, 0), (2, 1), (1, 5)]
+
+
+def test_paragraphs_of_made_pages():
+    """Boundaries found against those made, over widths, indentation, blank lines and hyphenation."""
+    import random
+    import textwrap
+
+    rng, hit, found, made = random.Random(12), 0, 0, 0
+    bag = "the mill was opened by council in town it noted at time and river low over sediment modern barn pattern table surveyor when of a to light".split()
+    for page in range(150):
+        width, style = rng.choice([48, 64, 80]), rng.choice(["blank", "indent", "plain"])
+        lines, truth = [], set()
+        for k in range(rng.randint(2, 6)):
+            sentences = [" ".join(rng.choice(bag) for _ in range(rng.randint(6, 16))).capitalize() + "." for _ in range(rng.randint(2, 5))]
+            wrapped = textwrap.wrap(" ".join(sentences), width)
+            if style == "blank" and lines:
+                lines.append("")
+            truth.add(len(lines))
+            lines += ["   " + wrapped[0] if style == "indent" else wrapped[0], *wrapped[1:]]
+        body = [(i, x) for i, x in enumerate(lines) if x.strip()]
+        got = set(D.paragraphs(body, lines))
+        hit, found, made = hit + len(got & truth), found + len(got), made + len(truth)
+    assert hit / found > 0.95 and hit / made > 0.9, (hit / found, hit / made)
+    long = [(i, "The mill was open and low.") for i in range(20_000)]
+    assert D.paragraphs(long, [x for _, x in long])[0] == 0
+
+
+def test_paragraphs_are_of_least_cost():
+    import itertools
+
+    def cost(firsts, lines, every):
+        total, n = 0.0, len(lines)
+        width = sorted(len(x.rstrip()) for _, x in lines)[int(0.8 * (n - 1))] or 1
+        for k in range(1, n):
+            before, here = lines[k - 1][1].rstrip(), lines[k][1].strip()
+            ended = before[-1:] in ".!?:"
+            gap = any(not every[i].strip() for i in range(lines[k - 1][0] + 1, lines[k][0]))
+            lack = max(0.0, (width - len(before) - len(here.split()[0]) - 1) / width)
+            if k in firsts:
+                total += 2.0 + 6.0 * here[:1].islower() + 3.0 * (before[-1:] == "-") + 1.5 * (not ended) + 0.25 * (k - 1 in firsts)
+            else:
+                total += 4.0 * gap * (2.0 if ended else 0.75) + 6.0 * lack * (1.5 if ended else 0.7)
+        return total + 0.25 * (n - 1 in firsts)
+
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        every = [rng.choice(["The mill was open.", "and the river was low", "Short.", "", "A line of the same length as others it"]) for _ in range(8)]
+        body = [(i, x) for i, x in enumerate(every) if x]
+        if not body:
+            continue
+        n = len(body)
+        best = min(cost({0, *c}, body, every) for r in range(n) for c in itertools.combinations(range(1, n), r))
+        at = {i: k for k, (i, _) in enumerate(body)}
+        assert abs(cost({at[i] for i in D.paragraphs(body, every)}, body, every) - best) < 1e-9

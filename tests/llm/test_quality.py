@@ -3,20 +3,18 @@ import re
 
 from quire.llm import quality as Q
 
-COMMON = frozenset("the of and was in a at to by".split())
+COMMON = Q.Common("the of and was in a at to by".split())
 
 
 def sums(text):
-    return Q.finish(Q.partial(text, COMMON), COMMON)
+    return Q.sums(text, COMMON, 1 << 30)
 
 
-def chunked(text, sizes):
-    total = Q.Partial()
-    while text:
-        m = re.match(Q.CUT.format(sizes()), text)
-        total = Q.merge(total, Q._unpack(Q._pack(Q.partial(m.group(), COMMON))), COMMON)
-        text = text[m.end() :]
-    return Q.finish(total, COMMON)
+def chunked(text, size):
+    parts = list(Q.cuts(text, size))
+    assert "".join(parts) == text and all(len(x) >= size for x in parts[:-1])
+    packed = [Q._unpack(Q._pack(Q.partial(x, COMMON))) for x in parts]
+    return Q.finish(Q.combine(packed, COMMON), COMMON)
 
 
 def test_chunks_give_the_sums_of_the_whole():
@@ -24,7 +22,18 @@ def test_chunks_give_the_sums_of_the_whole():
     parts = ["the", "  ", "\n", "word", " ", ".", "<td>", "...... ", "a", "| x |", "\t", "naïve", "(1) ", "12", "was ", "\n\n", "-", ", "]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
-        assert chunked(text, lambda: rng.choice([1, 2, 5, 30])) == sums(text), text
+        for size in (1, 2, 5, 30):
+            assert chunked(text, size) == sums(text), text
+
+
+def test_borders_far_from_their_ends():
+    # However long the white space, closing marks, tags or runs of dots at a border of chunks are.
+    for text in ("A line ends here." + " " * 100, " " * 90 + "- item one\n" + " " * 300 + "2) item two", " " * 90 + "text" + " " * 90, "end." + ")" * 500 + "\nnext", '<td style="' + "a b " * 100 + '">cell</td>', "x" + " " * 400 + "y", "a" + "." * 400 + "b", "a" * 700 + "\n" + "b c" * 200):
+        for size in (1, 7, 64, 200):
+            assert chunked(text, size) == sums(text), (text, size)
+    assert sums("A line ends here." + " " * 100).punctuated == 1
+    assert sums(" " * 90 + "- item one\n" + " " * 90 + "2) item two").items == 2
+    assert sums(" " * 90 + "text" + " " * 90).lines == 1
 
 
 def test_kinds():
@@ -46,8 +55,10 @@ def test_statistics(spark):
     rows = [(1, None, 9), (2, "", 9), (3, " \n", 9), (4, "The mill, at noon.\nOpen", 9), (4, "The mill, at noon.\nOpen", 9), (5, long, 9), (5, long, 9), (None, "the of", 9)]
     df = spark.createDataFrame(rows, "page_id long, content string, kind int")
     words = spark.createDataFrame([("the",), ("At",), (None,)], "word string")
-    got = {r.page_id: r for r in Q.statistics(df, "page_id", "content", words, chunk=1000).collect()}
+    got = {r.page_id: r for r in Q.statistics(df, "page_id", "content", words, chunk=100, spread=1000).collect()}
     assert len(got) == 6
+    whole = {r.page_id: r for r in Q.statistics(df, "page_id", "content", words).collect()}
+    assert got == whole
     assert got[1].word_count == got[2].word_count == got[3].word_count == 0 and got[1].kind is None
     assert (got[4].word_count, got[4].mean_word_length, got[4].punctuated_lines, got[4].common_words) == (5, 3.4, 0.5, 0.4)
     assert (got[5].word_count, got[5].mean_word_length) == (16000, 3.5)
