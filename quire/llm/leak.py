@@ -1,19 +1,22 @@
 """Evaluation passages inside a training corpus.
 
-Every window of `run` words of an item is represented by its rarest n-gram in the corpus, counted
-over all documents. A document that holds one of these seeds is aligned with the item around it by
-Smith-Waterman over words, which scores edited and partial copies, and the longest run of equal
-words through a seed is measured exactly. A document and an item that share `run` consecutive words
-share that window's seed, so no such pair is missed.
-
-The items are the stated query set: their seeds go to every worker in blocks of bounded size, each
-block against all documents; beyond one block's words another pass follows. The documents are never
-shuffled: of them only n-gram counts, in number bounded by the items' n-grams, and the pairs found
-leave the map.
+Seeds are n-grams of four words, next to each other or with a word left out in the middle, so that a copy
+with every third word changed still has some. Of every WINDOW neighbouring n-grams of an item the one
+rarest in the corpus, counted over all documents, is a seed. A document that holds a seed is aligned with
+the item by Smith-Waterman over words around the diagonals of its seeds, and the alignment's score decides
+whether the passage leaked, edited or not. A document and an item that share `run` consecutive words share
+a seed in them and reach the score of `run` matches, so no such pair is missed; the longest run of equal
+words is then measured exactly.
+
+The items are the stated query set: their seeds go to every worker in blocks of bounded size, each block
+against all documents, which are read once to count and once to align; beyond one block's words another two
+passes follow. The documents are never shuffled: of them only n-gram counts, in number bounded by the items'
+n-grams, and the pairs found leave the map.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -25,9 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a run that counts as a leak, words of a seed, words of items that one pass handles.
-RUN, SEED, BLOCK_WORDS = 12, 5, 400_000
+#: Words of a run that counts as a leak, n-grams of which the rarest is a seed, words of items that one pass handles.
+RUN, WINDOW, BLOCK_WORDS = 12, 2, 2_000_000
+#: Words of a seed by their distance from its first.
+SHAPES = ((0, 1, 2, 3), (0, 1, 3, 4))
+SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An item of fewer than RUN words leaked where the alignment has this share of its own score.
+WHOLE = 0.8
 
 _WORD = re.compile(r"[^\W_]+")
 _LINE_HYPHEN = re.compile("(?<=[^\\W_])[-‐\xad][^\\S\r\n\x85  ]*(?:\r\n?|[\n\x85  ])\\s*(?=[^\\W_])")
@@ -50,51 +58,58 @@ def words(text: str | None) -> list[str]:
 class Items:
     """A block of items as word ids, with the hashes of their n-grams."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int = SEED):
-        self.n = n
+    def __init__(self, items: list[tuple[int, list[str]]]):
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
-        self.items = [(i, np.array([number(w, len(self.vocabulary)) for w in ws], np.int64)) for i, ws in items]
-        grams = [hashes(ids, n) for _, ids in self.items]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        self.of_item = grams
+        self.items = [(i, np.array([number(w, len(self.vocabulary)) for w in ws], np.int32)) for i, ws in items]
+        self.grams = np.unique(np.concatenate([hashes(ids, x) for _, ids in self.items for x in range(len(SHAPES))] or [np.zeros(0, np.uint64)]))
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, gram numbers) of the items' n-grams among word ids, -1 being a foreign word."""
-        n = self.n
-        if len(ids) < n or not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        foreign = np.concatenate(([0], np.cumsum(ids < 0)))
-        at = np.flatnonzero(foreign[n:] == foreign[:-n])
-        code = hashes(ids, n)[at]
-        k = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
-        hit = self.grams[k] == code
-        return at[hit], k[hit]
-
-    def seeds(self, counts: np.ndarray, run: int) -> dict[int, list[tuple[int, int]]]:
-        """gram number -> (item's position in the block, word position): the rarest gram of each window
-        of `run` words, the leftmost of equally rare ones; of all words for an item of fewer."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, codes in enumerate(self.of_item):
-            if not len(codes):
+        at, number = [], []
+        for x, shape in enumerate(SHAPES):
+            n = len(ids) - shape[-1]
+            if n <= 0 or not len(self.grams):
                 continue
-            number = np.searchsorted(self.grams, codes)
-            rarity = counts[number]
-            width = min(run - self.n + 1, len(codes))
-            chosen = {s + int(np.argmin(rarity[s : s + width])) for s in range(len(codes) - width + 1)}
-            for q in sorted(chosen):
-                out[int(number[q])].append((k, q))
-        return dict(out)
-
-
-def hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n consecutive ids. Matches are verified word by word later."""
-    if len(ids) < n:
-        return np.zeros(0, np.uint64)
+            known = ids >= 0
+            own = known[:n].copy()
+            for k in shape[1:]:
+                own &= known[k : n + k]
+            p = np.flatnonzero(own)
+            code = hashes(ids, x, p)
+            k = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+            hit = self.grams[k] == code
+            at.append(p[hit])
+            number.append(k[hit])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(at), np.concatenate(number)
+
+    def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gram numbers in order, items' positions in the block, word positions): of each WINDOW neighbouring
+        n-grams of a shape the rarest, the leftmost of equally rare ones; of all where an item has fewer."""
+        out = []
+        for k, (_, ids) in enumerate(self.items):
+            for x in range(len(SHAPES)):
+                number = np.searchsorted(self.grams, hashes(ids, x))
+                if not len(number):
+                    continue
+                rarity, width = counts[number], min(WINDOW, len(number))
+                chosen = np.unique(np.lib.stride_tricks.sliding_window_view(rarity, width).argmin(1) + np.arange(len(number) - width + 1))
+                out.append(np.stack([number[chosen], np.full(len(chosen), k), chosen]))
+        all_of = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        all_of = all_of[:, np.argsort(all_of[0], kind="stable")]
+        return all_of[0], all_of[1], all_of[2]
+
+
+def hashes(ids: np.ndarray, shape: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the n-gram of a shape at every position, or at those given. Seeds are verified by the alignment later."""
+    n = max(0, len(ids) - SHAPES[shape][-1])
+    at = np.arange(n) if at is None else at
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids) - n + 1, np.uint64)
-        for i in range(n):
-            h = (h ^ ids[i : len(ids) - n + 1 + i].astype(np.uint64)) * _MIX
+        h = np.full(len(at), shape + 1, np.uint64)
+        for k in SHAPES[shape]:
+            h = (h ^ ids[at + k].astype(np.uint64)) * _MIX
             h ^= h >> np.uint64(29)
     return h
 
@@ -130,15 +145,15 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, best_match
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
-    """Length of the run of equal words through doc[p] and item[q]."""
-    back = min(p, q)
-    before = doc[p - back : p] == item[q - back : q]
-    ahead = min(len(doc) - p, len(item) - q)
-    after = doc[p : p + ahead] == item[q : q + ahead]
-    down = int(np.argmin(before[::-1])) if not before.all() else back
-    up = int(np.argmin(after)) if not after.all() else ahead
-    return down + up
+def longest_run(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> int:
+    """Length of the longest run of equal words on the diagonals (position in the document less that in the item)."""
+    run, best = np.zeros(len(diagonals), np.int64), 0
+    for q in range(len(item)):
+        p = diagonals + q
+        there = (p >= 0) & (p < len(doc))
+        run = np.where(there & (doc[np.clip(p, 0, len(doc) - 1)] == item[q]), run + 1, 0)
+        best = max(best, int(run.max()))
+    return best
 
 
 def _ids(vocabulary: dict[str, int], batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int]]]:
@@ -149,10 +164,10 @@ def _ids(vocabulary: dict[str, int], batch: pa.RecordBatch) -> Iterator[tuple[np
         joined.extend([get(w, -1) for w in words(value.as_py())])
         joined.append(-1)
         if len(joined) > 2_000_000:
-            yield np.array(joined, np.int64), starts
+            yield np.array(joined, np.int32), starts
             joined, starts = [], []
     if starts:
-        yield np.array(joined, np.int64), starts
+        yield np.array(joined, np.int32), starts
 
 
 def _counts(df: DataFrame, block: Items) -> np.ndarray:
@@ -173,16 +188,17 @@ def _counts(df: DataFrame, block: Items) -> np.ndarray:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, *, run: int = RUN, n: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_key, item_key, run_words, score, matched_words, item_words), a row for each pair that shares a seed.
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, *, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_key, item_key, run_words, score, matched_words, item_words, leaked), a row for each pair that shares a seed.
 
-    run_words is the longest run of equal words through any seed, exact where it is at least `run`;
-    score the best local alignment around the seeds (match 2, mismatch and gap -1) as a share of the
-    item's own; matched_words the words equal in it. Null and empty texts, and items of fewer than n
-    words, are in no pair. Items that repeat under a key give the best row of the key, as documents do.
+    score is that of the best local alignment around the seeds (match 2, mismatch and gap -1) as a share of the
+    item's own; matched_words the words equal in it; leaked says that it reaches that of `run` equal words, or
+    of most of an item that has fewer words. run_words is the longest run of equal words on a diagonal of a
+    seed, exact where it is at least `run`. Null and empty texts, and items of fewer than four words, are in no
+    pair. Items that repeat under a key give the best row of the key, as documents do.
     """
-    if not n <= run:
-        raise ValueError("a seed can't be longer than a run")
+    if run < WINDOW + SHAPES[0][-1]:
+        raise ValueError("a run must hold a window of seeds")
     dk, ik = docs.schema[doc_key].dataType, items.schema[item_key].dataType
     corpus = docs.select(F.col(f"`{doc_key}`").alias("doc_key"), F.col(f"`{doc_text}`").cast("string").alias("text")).where("text is not null and doc_key is not null")
     queries = items.select(F.col(f"`{item_key}`").alias("item_key"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null and item_key is not null")
@@ -194,21 +210,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_k
             T.StructField("score", T.DoubleType()),
             T.StructField("matched_words", T.IntegerType()),
             T.StructField("item_words", T.IntegerType()),
+            T.StructField("leaked", T.BooleanType()),
         ]
     )
     found = None
     for chunk in _blocks(queries, block_words):
-        block = Items(chunk, n)
+        block = Items(chunk)
         if not len(block.grams):
             continue
-        seeds = block.seeds(_counts(corpus, block), run)
-        part = corpus.mapInArrow(_aligner(block, seeds), schema)
+        seeds = block.seeds(_counts(corpus, block))
+        part = corpus.mapInArrow(_aligner(block, seeds, run), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
-    best = found.groupBy("doc_key", "item_key").agg(
-        F.max("run_words").alias("run_words"), F.max("score").alias("score"), F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words")
-    )
+    best = found.groupBy("doc_key", "item_key").agg(*[F.max(c).alias(c) for c in schema.names[2:]])
     return best.withColumnsRenamed({"doc_key": doc_key, "item_key": item_key})
 
 
@@ -226,48 +241,80 @@ def _blocks(queries: DataFrame, block_words: int) -> Iterator[list[tuple[int, li
         yield chunk
 
 
-def _aligner(block: Items, seeds: dict[int, list[tuple[int, int]]]):
-    is_seed = np.zeros(len(block.grams), bool)
-    is_seed[list(seeds)] = True
-
+def _aligner(block: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, done, out = batch.column(0), 0, []
             for ids, starts in _ids(block.vocabulary, batch):
-                at, gram = block.hits(ids)
-                keep = is_seed[gram]
-                at, gram = at[keep], gram[keep]
-                doc = np.searchsorted(starts, at, "right") - 1
-                pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for p, g, d in zip(at.tolist(), gram.tolist(), doc.tolist()):
-                    for k, q in seeds[g]:
-                        pairs[d, k].append((p - starts[d], q))
-                ends = [*starts[1:], len(ids)]
-                for (d, k), where in pairs.items():
+                for d, k, diagonals in _pairs(block, seeds, ids, starts):
                     item_key, item = block.items[k]
-                    own = ids[starts[d] : ends[d] - 1]
-                    where = [(p, q) for p, q in where if (own[p : p + block.n] == item[q : q + block.n]).all()]
-                    if not where:
+                    own = ids[starts[d] : (starts[d + 1] if d + 1 < len(starts) else len(ids)) - 1]
+                    score, matched = max(smith_waterman(item, own[a:b]) for a, b in _windows(diagonals, len(item), len(own)))
+                    if not score:  # hashes that clash
                         continue
-                    longest = max(longest_run(own, item, p, q) for p, q in where)
-                    score, matched = max(smith_waterman(item, own[a:b]) for a, b in _windows(where, len(item), len(own)))
-                    out.append((keys[done + d].as_py(), item_key, longest, score / (MATCH * len(item)), matched, len(item)))
+                    leaked = score >= MATCH * min(least, max(SEED, WHOLE * len(item)))
+                    out.append((keys[done + d].as_py(), item_key, longest_run(own, item, diagonals), score / (MATCH * len(item)), matched, len(item), leaked))
                 done += len(starts)
             if out:
                 cols = list(zip(*out))
-                kinds = [batch.schema.field(0).type, None, pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_key", "item_key", "run_words", "score", "matched_words", "item_words"])
+                kinds = [batch.schema.field(0).type, None, pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
+                names = ["doc_key", "item_key", "run_words", "score", "matched_words", "item_words", "leaked"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
     return run
 
 
-def _windows(where: list[tuple[int, int]], item_words: int, doc_words: int) -> list[tuple[int, int]]:
+def _pairs(block: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, starts: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, item, diagonals of their seeds), each pair once.
+
+    Positions of a seed in a document by those in an item are a diagonal each; words that repeat have many on
+    few diagonals. They are made `most` at a time and each diagonal is kept once.
+    """
+    grams, item_of, at_of = seeds
+    at, gram = block.hits(ids)
+    low, high = np.searchsorted(grams, gram, "left"), np.searchsorted(grams, gram, "right")
+    seen = high > low
+    at, low, n = at[seen], low[seen], (high - low)[seen]
+    order = np.argsort(at, kind="stable")
+    at, low, n = at[order], low[order], n[order]
+    doc = np.searchsorted(starts, at, "right") - 1
+    begin = np.asarray(starts, np.int64)
+    parts = []
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        each = np.repeat(np.arange(a, b), n[a:b])
+        seed = np.arange(len(each)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + low[each]
+        parts.append(_distinct(np.stack([doc[each], item_of[seed], at[each] - begin[doc[each]] - at_of[seed]])))
+        a = b
+    if not parts:
+        return
+    found = parts[0] if len(parts) == 1 else _distinct(np.concatenate(parts, axis=1))
+    change = np.flatnonzero((np.diff(found[0]) != 0) | (np.diff(found[1]) != 0)) + 1
+    for x, y in zip([0, *change.tolist()], [*change.tolist(), found.shape[1]]):
+        yield int(found[0, x]), int(found[1, x]), found[2, x:y]
+
+
+def _distinct(found: np.ndarray) -> np.ndarray:
+    """Distinct columns of three rows of whole numbers, in order."""
+    low = found.min(1)
+    size = found.max(1) - low + 1
+    if math.prod(map(int, size)) >= 1 << 62:
+        return np.unique(found, axis=1)
+    a, b, c = found - low[:, None]
+    one = np.unique((a * size[1] + b) * size[2] + c)
+    rest = one // size[2]
+    return np.stack([rest // size[1], rest % size[1], one % size[2]]) + low[:, None]
+
+
+def _windows(diagonals: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
     """Stretches of the document in which the item would lie by its seeds, with room for edits, merged."""
     slack = 8 + item_words // 4
-    spans = sorted((max(0, p - q - slack), min(doc_words, p - q + item_words + slack)) for p, q in where)
-    out = [spans[0]]
-    for a, b in spans[1:]:
-        if a <= out[-1][1]:
+    spans = zip(np.maximum(0, diagonals - slack).tolist(), np.minimum(doc_words, diagonals + item_words + slack).tolist())
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))

@@ -16,7 +16,7 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = descan.repair(table(spark, sf_dir, "page_texts"), table(spark, sf_dir, "common_words"), with_text=False)
+    pages = p1_pages(spark, sf_dir)
     return pages.select("page_id", F.explode("kinds").alias("kind"))
 
 
@@ -53,11 +53,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and item that share a seed, with run and alignment."""
+    """Every document and item that an alignment around rare seeds finds to have leaked, edited or not."""
+    return _leaks(spark, sf_dir).where("leaked")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs found by alignment; that they share a run is checked exactly after it."""
     return p7_pairs(spark, sf_dir).where(f"run_words >= {leak.RUN}").select("doc_id", "item_id")
 
 

@@ -2,9 +2,10 @@
 
 The length of every text is taken under several codings a store may have counted in: characters,
 UTF-8 bytes, UTF-16 units, with HTML entities, as JSON with and without escaped non-ASCII, with CRLF
-line ends. Grouped by source and coding, a hidden limit shows as a pile of texts at the greatest
-length. Then the endings are inspected: a text at its source's limit, or one whose last sentence or
-table is not complete and doesn't run on in the next text region of the scan, was cut.
+line ends. Grouped by source and coding, every hidden limit shows as a pile of texts of one length that
+mostly stop unfinished, wherever it lies: a source may have several, or have got another one in time. Then
+the endings are inspected: a text at a limit of its source, or one whose last sentence or table is not
+complete and doesn't run on in the next text region of the scan, was cut.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 
 from quire.operators.diff import latest_version
 
-#: A limit is believed when this many texts, and this share of a source's texts, lie at its greatest
-#: length, and when the same number of lengths just under it is met far less often.
-LEAST_TEXTS, LEAST_SHARE, PILE = 5, 0.02, 4.0
+#: A limit is believed when this many texts, and this share of a source's texts, have its length, PILE times as many as
+#: the NEAR lengths on either side have on average, UNFINISHED of them stop unfinished and DIFFERENT of them differ.
+LEAST_TEXTS, LEAST_SHARE, PILE, NEAR, UNFINISHED, DIFFERENT = 5, 0.02, 4.0, 20, 0.5, 4
+#: Piles of several codings within this share of their length are one pile; the coding with most texts explains it.
+SAME_PILE = 0.1
+#: Lengths of a histogram that one task looks at together.
+SPAN = 4096
 
 #: Labels of running text (a sentence must end) and of headings and the like (it need not).
 PROSE = ("text", "abstract", "reference_content", "vision_footnote", "vertical_text", "content")
@@ -69,7 +74,7 @@ def features(regions: DataFrame) -> DataFrame:
     first_line, last_line = F.substring_index(end, "\n", 1), F.substring_index(end, "\n", -1)
     bars = F.lit(r"\|")
     short_row = ~last_line.rlike(r"\|$") | (F.regexp_count(last_line, bars) < F.regexp_count(first_line, bars))
-    return regions.where("task in ('text', 'table') and region_id is not null").select(
+    marks = regions.where("task in ('text', 'table') and region_id is not null").select(
         "region_id",
         "scan_id",
         "page_index",
@@ -80,6 +85,7 @@ def features(regions: DataFrame) -> DataFrame:
         (F.col("label").isin(*PROSE) & (F.col("task") == "text")).alias("prose"),
         tabular.alias("tabular"),
         (content != "").alias("filled"),
+        F.expr("shiftleft(1L, int(pmod(xxhash64(content), 64)))").alias("mark"),
         F.array(*[c.cast("int") for c in lengths(whole).values()]).alias("sizes"),
         ((F.col("label") != VAGUE) | (~end.rlike(_CAPTION) & (end.rlike(r"[.!?][\p{Pf}\p{Pe}\"']*\s+\S") | (F.char_length(end) > HEADING_CHARS)))).alias("sentences"),
         content.rlike("\ufffd$").alias("torn"),
@@ -90,32 +96,60 @@ def features(regions: DataFrame) -> DataFrame:
         (end.rlike(r"^\s*" + _ITEM) & end.rlike(r"\n\s*" + _ITEM)).alias("list"),
         F.when(tabular & end.rlike(r"(?i)^\s*<table"), F.when(end.rlike(r"(?i)</table>$"), "closed").otherwise("open")).when(tabular & end.rlike(r"^\s*\|") & short_row, "open").alias("table_end"),
     )
+    sentence = F.col("prose") & F.col("sentences") & ~F.col("list") & (~F.col("ends_well") | F.col("opened") | F.col("dots"))
+    return marks.withColumn("unfinished", F.coalesce(F.when(F.col("tabular"), F.col("table_end") == "open").otherwise(sentence) | F.col("torn"), F.lit(False)))
 
 
 def field_limits(marks: DataFrame) -> DataFrame:
-    """(source, coding, limit_length, at_limit, texts): each source's hidden limit, where it has one.
-
-    Takes the rows of `features`. One aggregation to (source, coding, length), partly in the map, then
-    one over the lengths of a source, of which there are few. Of several codings that fit, the one with
-    most texts at the limit is taken, of equal ones the first in CODINGS. Null texts and sources count
-    for nothing. A cut within a character may leave U+FFFD for the bytes lost; such ends are taken off
-    before measuring, and a byte limit also counts the lengths up to three under it.
+    """(source, coding, limit_length, at_limit, texts): each hidden limit of each source.
+
+    Takes the rows of `features`. One aggregation to a histogram over (source, coding, length), partly in the map;
+    its piles stand out against the lengths near them, which are looked at in spans of lengths with their borders
+    repeated, so that no task needs all lengths of a source. Of several codings that fit a pile, the one with most
+    texts is taken, of equal ones the first in CODINGS. Null texts and sources count for nothing. A cut within a
+    character may leave U+FFFD for the bytes lost; such ends are taken off before measuring, and a byte limit also
+    counts those of the lengths up to three under it. That texts of a pile differ is seen by 64 classes of digests.
     """
-    rows = marks.where("filled and source is not null").select("source", F.posexplode("sizes").alias("coding", "n"))
-    sizes = rows.groupBy("source", "coding", "n").agg(F.count("*").alias("k"))
-    by = sizes.groupBy("source", "coding").agg(F.max("n").alias("limit_length"), F.sum("k").alias("texts"), F.max_by("k", "n").alias("top"), F.collect_list(F.struct("n", "k")).alias("all"))
-    slack = F.when(F.col("coding").isin(1, 7), 3).otherwise(0)
-
-    def within(low: Column, high: Column) -> Column:
-        return F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + F.when((x["n"] > low) & (x["n"] <= high), x["k"]).otherwise(0))
-
-    limit = F.col("limit_length")
-    by = by.withColumn("at_limit", within(limit - slack - 1, limit)).withColumn("under", within(limit - slack - 21, limit - slack - 1))
-    # A pile at the very end: against the 20 lengths under it, scaled to as many as were counted.
-    believed = (F.col("top") >= LEAST_TEXTS) & (F.col("at_limit") >= LEAST_SHARE * F.col("texts")) & (F.col("at_limit") * 20 >= PILE * (slack + 1) * F.col("under"))
-    best = by.where(believed).groupBy("source").agg(F.max(F.struct("at_limit", (-F.col("coding")).alias("order"), "limit_length", "texts")).alias("b"))
+    rows = marks.where("filled and source is not null").select("source", "unfinished", "torn", "mark", F.posexplode("sizes").alias("coding", "n"))
+    sizes = rows.groupBy("source", "coding", "n").agg(F.count("*").alias("k"), F.count_if("unfinished").alias("u"), F.count_if("torn").alias("t"), F.bit_or("mark").alias("marks"))
+    texts = sizes.where("coding = 0").groupBy("source").agg(F.sum("k").alias("texts"))
+    halo = NEAR + 4
+    span = F.floor(F.col("n") / SPAN)
+    near = F.array_distinct(F.array(span, F.floor((F.col("n") - halo) / SPAN), F.floor((F.col("n") + halo) / SPAN)))
+    spread = sizes.select("*", span.alias("own"), F.explode(near).alias("span"))
+    byte = F.col("coding").isin(1, 7)
+
+    def around(low: int, high: int, c: str = "k") -> Column:
+        w = Window.partitionBy("source", "coding", "span").orderBy("n").rangeBetween(low, high)
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    torn = F.when(byte, around(-3, -1, "t")).otherwise(0)
+    piles = spread.select(
+        "*",
+        (F.col("k") + torn).alias("at_limit"),
+        (F.col("u") + torn).alias("open"),
+        (around(-NEAR, -1) + around(1, NEAR) - torn).alias("beside"),
+        # The pile's own greatest length: the one beyond has fewer.
+        around(1, 1).alias("beyond"),
+    ).where("own = span")
+    piles = piles.join(texts, "source").where(
+        (F.col("k") >= LEAST_TEXTS)
+        & (F.col("at_limit") >= LEAST_SHARE * F.col("texts"))
+        & (F.col("at_limit") * 2 * NEAR >= PILE * F.col("beside"))
+        & (F.bit_count("marks") >= DIFFERENT)
+        & (F.col("open") >= UNFINISHED * F.col("at_limit"))
+        & (F.col("k") >= F.col("beyond"))
+    )
+    # Each pile has LEAST_SHARE of a source's texts, so a source has a bounded number of them.
+    every = piles.groupBy("source", "texts").agg(F.sort_array(F.collect_list(F.struct("at_limit", (-F.col("coding")).alias("order"), "n")), asc=False).alias("p"))
+    none = F.array().cast(every.schema["p"].dataType)
+
+    def explained(kept: Column, x: Column) -> Column:
+        return F.exists(kept, lambda y: (F.abs(y["n"] - x["n"]) <= F.when(y["order"] == x["order"], 4).otherwise(SAME_PILE * F.greatest(y["n"], x["n"]))))
+
+    best = every.select("source", "texts", F.explode(F.aggregate("p", none, lambda kept, x: F.when(explained(kept, x), kept).otherwise(F.concat(kept, F.array(x))))).alias("b"))
     names = F.array(*[F.lit(c) for c in CODINGS])
-    return best.select("source", names[-F.col("b.order")].alias("coding"), F.col("b.limit_length").alias("limit_length"), F.col("b.at_limit").alias("at_limit"), F.col("b.texts").alias("texts"))
+    return best.select("source", names[-F.col("b.order")].alias("coding"), F.col("b.n").alias("limit_length"), F.col("b.at_limit").alias("at_limit"), "texts")
 
 
 def truncated(regions: DataFrame) -> DataFrame:
@@ -129,24 +163,28 @@ def truncated(regions: DataFrame) -> DataFrame:
     pages of a scan are linked by a summary of one row a page, so a scan of any length is no hot spot.
     """
     rows = latest_version(features(regions), ["region_id"], ["ingested_at"])
-    limits = field_limits(rows).select("source", "coding", "limit_length")
+    codings = F.array(*[F.lit(c) for c in CODINGS])
+    limit = F.struct((F.array_position(codings, F.col("coding")) - 1).cast("int").alias("coding"), F.col("limit_length").alias("n"))
+    limits = field_limits(rows).groupBy("source").agg(F.collect_list(limit).alias("limits"))
 
     # A region of vague label goes on with a sentence or says nothing.
     begins = F.when(F.col("label") == "text", F.coalesce("begins_low", F.lit(False))).when((F.col("label") == VAGUE) & F.col("begins_low"), F.lit(True))
-    on_page = Window.partitionBy("scan_id", "page_index").orderBy(F.desc("region_index"), F.desc("region_id")).rowsBetween(Window.unboundedPreceding, -1)
-    pages = rows.where(begins.isNotNull()).groupBy("scan_id", "page_index").agg(F.min_by(begins, F.struct("region_index", "region_id")).alias("first_low"))
-    spine = rows.select("scan_id", "page_index").distinct().join(pages, ["scan_id", "page_index"], "left")
+    # Rows without a scan are on their own.
+    rows = rows.withColumn("lone", F.when(F.col("scan_id").isNull(), F.col("region_id")))
+    on_page = Window.partitionBy("scan_id", "lone", "page_index").orderBy(F.desc("region_index"), F.desc("region_id")).rowsBetween(Window.unboundedPreceding, -1)
+    pages = rows.where(begins.isNotNull() & F.col("scan_id").isNotNull()).groupBy("scan_id", "page_index").agg(F.min_by(begins, F.struct("region_index", "region_id")).alias("first_low"))
+    spine = rows.where("scan_id is not null").select("scan_id", "page_index").distinct().join(pages, ["scan_id", "page_index"], "left")
     ahead = Window.partitionBy("scan_id").orderBy(F.desc("page_index")).rowsBetween(Window.unboundedPreceding, -1)
     after = spine.select("scan_id", "page_index", F.last("first_low", ignorenulls=True).over(ahead).alias("page_low"))
     rows = rows.withColumn("next_low", F.last(begins, ignorenulls=True).over(on_page)).where("filled")
     rows = rows.join(after, ["scan_id", "page_index"], "left").join(limits, "source", "left")
     runs_on = F.coalesce("next_low", "page_low", F.lit(False))
 
-    codings = F.array(*[F.lit(c) for c in CODINGS])
-    size = F.get("sizes", (F.array_position(codings, F.col("coding")) - 1).cast("int"))
-    limit = F.col("limit_length")
-    at_limit = F.coalesce((size <= limit) & (size >= limit - F.when(F.col("torn"), 3).otherwise(0)), F.lit(False))
-    near_limit = F.coalesce((size <= limit) & (size >= limit - 3), F.lit(False))
+
+    def within(slack: Column | int) -> Column:
+        return F.coalesce(F.exists("limits", lambda x: (F.get("sizes", x["coding"]) <= x["n"]) & (F.get("sizes", x["coding"]) >= x["n"] - slack)), F.lit(False))
+
+    at_limit, near_limit = within(F.when(F.col("torn"), 3).otherwise(0)), within(3)
     text_cut = (
         F.when(F.expr("torn"), "bytes")
         .when(F.col("dots") & near_limit, "marked")

@@ -90,3 +90,24 @@ def test_rates_and_empty(found):
     rates = {r.source: (r.texts, r.cut) for r in T.truncation_rates(df).collect()}
     assert rates["marked120"] == (50, 30)
     assert T.truncated(df.limit(0)).count() == 0 and T.truncation_rates(df.limit(0)).count() == 0
+
+
+def test_every_limit_of_a_source(spark):
+    """Two limits, a longer text beyond them, and a limit under a byte coding; a pile of whole texts is none."""
+    rows = [row(i, cut_at(100, i), source="two") for i in range(40)] + [row(100 + i, cut_at(250, i), source="two") for i in range(30)]
+    rows += [row(200 + i, cut_at(30 + 3 * i, i).rstrip() + ".", source="two") for i in range(60)] + [row(300, cut_at(400, 7), source="two")]
+    rows += [row(400 + i, cut_at(90, i), source="outlier") for i in range(30)] + [row(450, cut_at(400, 3), source="outlier")]
+    rows += [row(500 + i, "The mill at Dorow was open.", source="same") for i in range(50)] + [row(560 + i, cut_at(40 + 5 * i, i) + ".", source="same") for i in range(40)]
+    rows += [row(700 + i, cut_at(4090, i) if i % 2 else cut_at(60 + i, i) + ".", source="border") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.source, r.coding, r.limit_length, r.at_limit) for r in T.field_limits(T.features(df)).collect())
+    border = len(cut_at(4090, 1))
+    assert [x[:3] for x in got if x[0] != "border"] == [("outlier", "chars", 90), ("two", "chars", 100), ("two", "chars", 250)]
+    cut = {r.region_id: r.reason for r in T.truncated(df).where("cut").collect()}
+    assert all(cut.get(i) == "limit" for i in [*range(40), *range(100, 130), *range(400, 430)] if (cut_at(100, i) if i < 40 else cut_at(250, i - 100) if i < 400 else cut_at(90, i - 400)).rstrip()[-1] != ".")
+    assert not any(i in cut for i in range(500, 550)) and border > 100
+
+
+def test_rows_without_a_scan_follow_none(spark):
+    rows = [(1, None, 0, 0, "text", "text", "The mill was open and", "s", T0, "x"), (2, None, 0, 1, "text", "text", "the river was low.", "s", T0, "x")]
+    assert {r.region_id: r.cut for r in T.truncated(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: True, 2: False}
