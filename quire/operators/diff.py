@@ -1,5 +1,6 @@
 """Differences between two copies of a dataset.
 
+Only whether values are equal matters, so texts are replaced by digests in the scan and never shuffled.
 Identical rows cancel by multiplicity in one hash aggregation over key and fields, which has a
 map-side half, so a hot key or a row repeated millions of times shrinks before the shuffle. What
 is left, normally a small part, is grouped by key in blocks of bounded size, and within a block
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 #: Leftover rows of one side of a key that are assigned together. Up to this many the assignment
 #: has minimum cost; beyond it a key is cut into blocks of rows that are neighbours in field order.
-BLOCK = 64
+BLOCK = 256
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -37,6 +38,28 @@ def latest_version(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
+def _texts(kind: T.DataType) -> bool:
+    """Whether values hold texts and nothing whose text form depends on more than its value."""
+    if isinstance(kind, T.ArrayType):
+        return _texts(kind.elementType)
+    if isinstance(kind, T.StructType):
+        plain = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.TimestampType)
+        return any(_texts(f.dataType) for f in kind) and all(_texts(f.dataType) or isinstance(f.dataType, plain) for f in kind)
+    return isinstance(kind, T.StringType)
+
+
+def digested(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The rows with 128-bit digests in place of texts, and of arrays and structs that hold texts; null stays null."""
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def digest(name: str) -> Column:
+        c = F.col(_q(name))
+        text = c if isinstance(kinds[name], T.StringType) else F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+        return F.when(c.isNotNull(), F.unhex(F.md5(text)))
+
+    return df.withColumns({name: digest(name) for name in fields if _texts(kinds[name])})
+
+
 def diff_copies(
     left: DataFrame,
     right: DataFrame,
@@ -54,7 +77,7 @@ def diff_copies(
     Defined cases: null equals null only, in keys and fields; '' is not null. Equal rows cancel
     one against one; with multiset=False repeats within a side count once. Empty inputs give no
     rows on either side beyond what the other side has. Columns other than keys and fields are
-    not read, whatever their names. Keys with more than `block` leftover rows on a side first pair
+    not read, whatever their names. Texts are compared by 128-bit digests, and may come as `digested` ones. Keys with more than `block` leftover rows on a side first pair
     rows that differ in one field, then in two; the rest is paired block by block in field order:
     the number of one-sided rows stays exact, the pairing is of minimum cost within each block.
     """
@@ -62,7 +85,7 @@ def diff_copies(
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         names = [F.col(_q(c)).alias(a) for c, a in zip((*keys, *fields), (*ks, *fs))]
-        return df.select(*names, F.lit(sign).cast("long").alias("sign"))
+        return digested(df, fields).select(*names, F.lit(sign).cast("long").alias("sign"))
 
     both = side(left, 1).unionByName(side(right, -1))
     if multiset:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.diff import diff_copies, latest_version
+from quire.operators.diff import diff_copies, digested, latest_version
 from quire.operators.shred import sidecar_children, sidecar_tables
 from quire.session import table
 
@@ -24,12 +24,21 @@ def p2_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "regions").select("region_id", "ingested_at", *DIFF_FIELDS)
-    newest = latest_version(regions, ["region_id"], ["ingested_at"])
+    newest = latest_version(digested(regions, DIFF_FIELDS), ["region_id"], ["ingested_at"])
     found = diff_copies(newest, table(spark, sf_dir, "regions_mirror"), ["region_id"], DIFF_FIELDS, multiset=False)
     one_sided = F.when(F.col("status") == "only_left", F.array(F.lit("only_regions"))).when(F.col("status") == "only_right", F.array(F.lit("only_mirror")))
     return found.select("region_id", F.explode(F.coalesce(one_sided, F.col("diffs"))).alias("diff")).where("region_id is not null")
 
 
+def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of both systems, older versions and repeats included, by page: rows of a page are told apart by their fields only.
+
+    No SQL: the pairs are a minimum-cost assignment, tested against all assignments.
+    """
+    found = diff_copies(table(spark, sf_dir, "regions"), table(spark, sf_dir, "regions_mirror"), ["scan_id", "page_index"], ["region_index", *DIFF_FIELDS])
+    return found.groupBy("scan_id", "page_index", "status", "diffs").agg(F.count("*").alias("rows"))
+
+
 P5_SQL = """
 WITH l AS (
   SELECT region_id, content, bbox_2d, label FROM regions
@@ -48,5 +57,5 @@ UNION ALL SELECT region_id, 'bbox_2d' FROM j WHERE a IS NOT NULL AND b IS NOT NU
 UNION ALL SELECT region_id, 'label' FROM j WHERE a IS NOT NULL AND b IS NOT NULL AND y
 """
 
-QUERIES = {"p2_found": p2_found, "p2_figures": p2_figures, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_figures": p2_figures, "p5_found": p5_found, "p5_copies": p5_copies}
 SQL = {"p5_found": P5_SQL}

@@ -56,3 +56,51 @@ def test_latest_version(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, None, "c"), (2, None, "d"), (None, 1, "e"), (1, 7, "b")], "k int, v int, rank string")
     got = {(r.k, r.v, r["rank"]) for r in latest_version(df, ["k"], ["v"]).collect()}
     assert got == {(1, 7, "b"), (2, None, "d"), (None, 1, "e")}
+
+
+def test_digests_tell_values_apart(spark):
+    schema = "k int, a array<string>, b struct<x:string,y:int>, c string, d array<int>"
+    left = spark.createDataFrame([(1, ["p", None], ("q", 1), "", [1, 2]), (2, None, None, None, None), (3, [], ("q", None), "z", [None])], schema)
+    right = spark.createDataFrame([(1, [None, "p"], ("q", 1), None, [1, 2]), (2, None, None, None, None), (3, [None], (None, None), "z", [])], schema)
+    got = rows(diff_copies(left, right, ["k"], ["a", "b", "c", "d"]))
+    assert got == [(1, "changed", ("a", "c")), (3, "changed", ("a", "b", "d"))]
+
+
+def test_pages_against_all_assignments(spark):
+    """p5_copies over whole tables: as many pairs as the shorter side has, at the least number of differing fields."""
+    from collections import Counter, defaultdict
+
+    from quire.plans.problems import p5_copies
+
+    sf = "/root/testdata/sf0.001"
+    fields = ["scan_id", "page_index", "region_index", "content", "bbox_2d", "label"]
+    sides = []
+    for name in ("regions", "regions_mirror"):
+        by = defaultdict(Counter)
+        for r in spark.read.parquet(f"{sf}/{name}.parquet").select(*fields).collect():
+            by[r[0], r[1]][r[2], r[3], tuple(r[4]) if r[4] is not None else None, r[5]] += 1
+        sides.append(by)
+    want = {}
+    for key in {*sides[0], *sides[1]}:
+        a, b = list((sides[0][key] - sides[1][key]).elements()), list((sides[1][key] - sides[0][key]).elements())
+        if len(a) > len(b):
+            a, b = b, a
+        # Least costs of the first rows of the shorter side for each set of rows of the longer one.
+        best = {0: 0}
+        for x in a:
+            step = {}
+            for used, c in best.items():
+                for j, y in enumerate(b):
+                    if not used >> j & 1:
+                        v = c + sum(p != q for p, q in zip(x, y))
+                        at = used | 1 << j
+                        step[at] = min(v, step.get(at, v))
+            best = step
+        if a or b:
+            want[key] = len(a), len(b) - len(a), min(best.values())
+    got = defaultdict(lambda: [0, 0, 0])
+    for r in p5_copies(spark, sf).collect():
+        changed = r.status == "changed"
+        got[r.scan_id, r.page_index][0 if changed else 1] += r["rows"]
+        got[r.scan_id, r.page_index][2] += r["rows"] * len(r.diffs)
+    assert {k: tuple(v) for k, v in got.items()} == want and max(v[0] for v in want.values()) > 1
