@@ -114,45 +114,69 @@ def hashes(ids: np.ndarray, shape: int, at: np.ndarray | None = None) -> np.ndar
     return h
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(best local score, matched words on its path) of two word sequences.
+def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(best local score, matched words on its path) of pairs of word sequences.
 
-    Row by row; within a row a gap's cost is linear, so the best gap is a running maximum.
+    Row by row over many pairs at once, padded to the longest; within a row a gap's cost is linear, so the best
+    gap is a running maximum.
     """
-    if not len(a) or not len(b):
-        return 0, 0
-    m = len(b)
-    steps = np.arange(m + 1) * -GAP
-    prev, prev_match = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    best, best_match = 0, 0
-    for x in a:
-        same = b == x
-        diagonal = prev[:-1] + np.where(same, MATCH, MISMATCH)
-        row = np.zeros(m + 1, np.int64)
-        row[1:] = np.maximum(np.maximum(diagonal, prev[1:] + GAP), 0)
+    if not pairs:
+        return []
+    n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    a, b = np.full((len(pairs), n), -2, np.int32), np.full((len(pairs), m), -3, np.int32)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)], b[i, : len(y)] = x, y
+    steps, at = np.arange(m + 1, dtype=np.int32) * -GAP, np.arange(m + 1, dtype=np.int32)
+    prev, prev_match = np.zeros((len(pairs), m + 1), np.int32), np.zeros((len(pairs), m + 1), np.int32)
+    best, best_match, each = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), np.arange(len(pairs))
+    for q in range(n):
+        same = b == a[:, q, None]
+        diagonal = prev[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+        row = np.zeros_like(prev)
+        row[:, 1:] = np.maximum(np.maximum(diagonal, prev[:, 1:] + GAP), 0)
+        match = np.zeros_like(prev)
+        match[:, 1:] = np.where(row[:, 1:] == diagonal, prev_match[:, :-1] + same, prev_match[:, 1:])
+        match[row == 0] = 0
         lifted = row + steps
-        reach = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted == reach, np.arange(m + 1), 0))
-        match = np.zeros(m + 1, np.int64)
-        from_diagonal = row[1:] == diagonal
-        match[1:] = np.where(from_diagonal, prev_match[:-1] + same, prev_match[1:])
-        match[1:][row[1:] == 0] = 0
-        prev, prev_match = reach - steps, match[source]
+        reach = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted == reach, at, 0), axis=1)
+        prev = reach - steps
+        prev_match = np.take_along_axis(match, source, axis=1)
         prev_match[prev <= 0] = 0
-        top = int(np.argmax(prev))
-        if prev[top] > best:
-            best, best_match = int(prev[top]), int(prev_match[top])
-    return best, best_match
+        top = prev.argmax(1)
+        score = prev[each, top]
+        better = score > best
+        best = np.where(better, score, best)
+        best_match = np.where(better, prev_match[each, top], best_match)
+    return list(zip(best.tolist(), best_match.tolist()))
+
+
+def _aligned(todo: list[tuple[np.ndarray, list[np.ndarray]]], cells: int = 100_000) -> list[tuple[int, int]]:
+    """The best alignment of each item with the stretches of its document, pairs of like size together."""
+    flat = [(k, item, part) for k, (item, parts) in enumerate(todo) for part in parts]
+    order = sorted(range(len(flat)), key=lambda i: (len(flat[i][2]), len(flat[i][1])))
+    best = [(0, 0)] * len(todo)
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b - a + 1) * len(flat[order[b]][2]) <= cells and len(flat[order[b]][2]) <= 16 + 1.25 * len(flat[order[a]][2]):
+            b += 1
+        some = [flat[i] for i in order[a:b]]
+        for (k, _, _), found in zip(some, smith_waterman([(x, y) for _, x, y in some])):
+            best[k] = max(best[k], found)
+        a = b
+    return best
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> int:
+def longest_run(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, cells: int = 4_000_000) -> int:
     """Length of the longest run of equal words on the diagonals (position in the document less that in the item)."""
-    run, best = np.zeros(len(diagonals), np.int64), 0
-    for q in range(len(item)):
-        p = diagonals + q
-        there = (p >= 0) & (p < len(doc))
-        run = np.where(there & (doc[np.clip(p, 0, len(doc) - 1)] == item[q]), run + 1, 0)
-        best = max(best, int(run.max()))
+    at, best = np.arange(len(item)), 0
+    step = max(1, cells // max(1, len(item)))
+    for a in range(0, len(diagonals), step):
+        p = diagonals[a : a + step, None] + at
+        same = (doc[np.clip(p, 0, len(doc) - 1)] == item) & (p >= 0) & (p < len(doc))
+        broken = np.maximum.accumulate(np.where(same, -1, at), axis=1)
+        best = max(best, int(np.where(same, at - broken, 0).max()))
     return best
 
 
@@ -246,10 +270,10 @@ def _aligner(block: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], lea
         for batch in batches:
             keys, done, out = batch.column(0), 0, []
             for ids, starts in _ids(block.vocabulary, batch):
-                for d, k, diagonals in _pairs(block, seeds, ids, starts):
+                pairs = [(d, k, diagonals, ids[starts[d] : (starts[d + 1] if d + 1 < len(starts) else len(ids)) - 1]) for d, k, diagonals in _pairs(block, seeds, ids, starts)]
+                found = _aligned([(block.items[k][1], [own[a:b] for a, b in _windows(diagonals, len(block.items[k][1]), len(own))]) for _, k, diagonals, own in pairs])
+                for (d, k, diagonals, own), (score, matched) in zip(pairs, found):
                     item_key, item = block.items[k]
-                    own = ids[starts[d] : (starts[d + 1] if d + 1 < len(starts) else len(ids)) - 1]
-                    score, matched = max(smith_waterman(item, own[a:b]) for a, b in _windows(diagonals, len(item), len(own)))
                     if not score:  # hashes that clash
                         continue
                     leaked = score >= MATCH * min(least, max(SEED, WHOLE * len(item)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import descan, encode, leak, quality, split, truncate
+from quire.llm import descan, encode, leak, oracle, quality, split, truncate
 from quire.operators.diff import latest_version
 from quire.session import table
 
@@ -76,4 +76,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p3_found": p3_found, "p3_stats": p3_stats, "p4_found": p4_found, "p4_cuts": p4_cuts, "p4_rates": p4_rates, "p4_limits": p4_limits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_found": p8_found, "p8_pieces": p8_pieces}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL

@@ -22,10 +22,11 @@ def plain_smith_waterman(a, b):
 
 def test_smith_waterman_against_the_plain_recurrence():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = rng.integers(0, 4, rng.integers(0, 14)), rng.integers(0, 4, rng.integers(0, 14))
-        assert L.smith_waterman(a, b)[0] == (plain_smith_waterman(a, b) if len(a) and len(b) else 0)
-    assert L.smith_waterman(np.arange(6), np.array([9, 0, 1, 2, 9, 3, 4, 5])) == (11, 6)
+    pairs = [(rng.integers(0, 4, rng.integers(0, 14)), rng.integers(0, 4, rng.integers(0, 14))) for _ in range(200)]
+    want = [plain_smith_waterman(a, b) if len(a) and len(b) else 0 for a, b in pairs]
+    assert [x[0] for x in L.smith_waterman(pairs)] == want
+    assert [x[0] for x in L._aligned([(a, [b]) for a, b in pairs], cells=60)] == want
+    assert L.smith_waterman([(np.arange(6), np.array([9, 0, 1, 2, 9, 3, 4, 5]))]) == [(11, 6)]
 
 
 def test_found_against_brute_force(spark):
