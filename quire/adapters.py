@@ -7,6 +7,8 @@ and gives batches; the stand-ins here are deterministic, so that plans and tests
 from __future__ import annotations
 
 import struct
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -21,7 +23,8 @@ class Recognizer(Protocol):
     """Texts of a batch of equal task, prompt and image size, in order. May raise for the batch.
 
     The batch has the region's box in pixels as `crop` and its `polygon` in thousandths of the page, null where
-    there is none, for a recogniser that holds the images (`quire.functions.images.crop_region` masks by it, P6).
+    there is none. One whose attribute `pixels` is true also gets `pixels`: the rows of the crop, masked by its
+    polygon, of width * height * 3 bytes.
     """
 
     def recognize(self, batch: pd.DataFrame) -> list[str]: ...
@@ -43,6 +46,28 @@ class PageLoader(Protocol):
     def load(self, content: bytes, kind: str, max_pages: int | None) -> Iterator[tuple[int, int, int, bytes]]: ...
 
 
+_MADE: dict[str, object] = {}
+
+
+class Shared:
+    """A detector or recogniser that each worker makes when it needs it first, and keeps for all its tasks.
+
+    Only the factory travels with a task, not the model. `optional` and `pixels` are those of what it makes.
+    """
+
+    def __init__(self, factory: Callable[[], object], *, optional: tuple[str, ...] = (), pixels: bool = False):
+        self.factory, self.optional, self.pixels, self.name = factory, optional, pixels, uuid.uuid4().hex
+
+    def get(self) -> object:
+        if self.name not in _MADE:
+            _MADE[self.name] = self.factory()
+        return _MADE[self.name]
+
+
+def _made(model: object) -> object:
+    return model.get() if isinstance(model, Shared) else model
+
+
 class StubRecognizer:
     """Text from the job's task and size, without an image."""
 
@@ -79,49 +104,87 @@ OPTIONAL = {"mask_logits": "array<double>", "mask": "array<boolean>", "polygon":
 def detect(pages: DataFrame, detector: Detector) -> DataFrame:
     """Detections of (doc, page, w, h, ...) pages; the detector runs on Arrow batches where pages lie."""
     more = [f"{c} {kind}" for c, kind in OPTIONAL.items() if c in getattr(detector, "optional", ())]
-    return pages.mapInPandas(lambda batches: (detector.detect(b) for b in batches), ", ".join([DETECTIONS, *more]))
+    return pages.mapInPandas(lambda batches: (_made(detector).detect(b) for b in batches), ", ".join([DETECTIONS, *more]))
+
+
+def with_pixels(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Jobs with `pixels`, the rows of their crop; white outside of their polygon, null where the page's rows don't fill it.
+
+    A page's jobs come to its rows as one list, by one exchange on the page, so that no page is sent more than once.
+    """
+    rest = [f for f in jobs.schema if f.name not in ("doc", "page")]
+    listed = jobs.groupBy("doc", "page").agg(F.collect_list(F.struct(*[f.name for f in rest])).alias("_jobs"))
+    both = listed.join(pages.select("doc", "page", F.col("w").alias("_w"), F.col("h").alias("_h"), "rgb"), ["doc", "page"], "left")
+    schema = T.StructType([jobs.schema["doc"], jobs.schema["page"], *rest, T.StructField("pixels", T.BinaryType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
+        from quire.functions.images import crop_region
 
-def recognise(jobs: DataFrame, recognizer: Recognizer, batch_size: int = 4) -> DataFrame:
-    """(doc, page, idx, text, error) of jobs with doc, page, idx, task, prompt, width, height.
+        for rows in batches:
+            for doc, page, todo, w, h, rgb in zip(rows["doc"], rows["page"], rows["_jobs"], rows["_w"], rows["_h"], rows["rgb"]):
+                image = np.frombuffer(rgb, np.uint8).reshape(int(h), int(w), 3) if rgb is not None and len(rgb) == w * h * 3 else None
+                out = []
+                for job in todo:
+                    job = dict(job) if isinstance(job, dict) else job.asDict()
+                    points = job.get("polygon")
+                    points = [] if points is None else [(x * w / 1000, y * h / 1000) for x, y in points]
+                    try:
+                        part = None if image is None else crop_region(image, tuple(int(v) for v in job["crop"]), points).tobytes()
+                    except ValueError:
+                        part = None
+                    out.append({"doc": doc, "page": page, **job, "pixels": part})
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return both.mapInPandas(run, schema)
+
+
+def recognise(jobs: DataFrame, recognizer: Recognizer, batch_size: int = 4, retry: bool = False) -> DataFrame:
+    """(doc, page, idx, text, error, ms) of jobs with doc, page, idx, task, prompt, width, height.
 
     Jobs of one bucket come together by a shuffle on what makes batches alike (task, prompt, size) and
     are sorted within their task, so that batches of one bucket follow each other. A hot bucket is
-    spread by a salt of the document. A batch that fails or gives the wrong number of texts is tried
-    again one by one, and each job that fails then has an error instead of a text; none fails the run.
+    spread by a salt of the document. Of a batch that fails or gives the wrong number of texts each job has an
+    error instead of a text; with `retry` its jobs are tried again one by one first. None fails the run. `ms` is a
+    job's share of its batch's time (D1). A recogniser that wants pixels never sees a job that has none.
     """
     cols = ["doc", "page", "idx", "task", "prompt", "width", "height"]
     bucket = ["task", "prompt", "width", "height"]
 
     def texts(batch: pd.DataFrame) -> list[tuple[str | None, str | None]]:
         try:
-            found = recognizer.recognize(batch)
+            found = _made(recognizer).recognize(batch)
             if len(found) == len(batch):
                 return [(x, None) for x in found]
             problem = f"{len(found)} texts for {len(batch)} jobs"
         except Exception as e:  # noqa: BLE001 - whatever the recogniser raises is the job's error
             problem = str(e)
-        if len(batch) == 1:
-            return [(None, problem)]
+        if len(batch) == 1 or not retry:
+            return [(None, problem)] * len(batch)
         return [texts(batch.iloc[i : i + 1])[0] for i in range(len(batch))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = rows[["doc", "page", "idx"]].assign(text=None, error=None)
-            found: list[tuple[str | None, str | None]] = []
-            order: list[int] = []
+            out = rows[["doc", "page", "idx"]]
+            back: dict[int, tuple[str | None, str | None, float]] = {}
+            if pixels:
+                back = {i: (None, "no pixels", 0.0) for i, x in enumerate(rows["pixels"]) if x is None}
             for at in rows.groupby(bucket, sort=False, dropna=False).indices.values():
+                at = [i for i in at.tolist() if i not in back]
                 for a in range(0, len(at), batch_size):
-                    part = at[a : a + batch_size]
-                    found += texts(rows.iloc[part])
-                    order += part.tolist()
-            back = {i: f for i, f in zip(order, found)}
-            out["text"], out["error"] = [back[i][0] for i in range(len(rows))], [back[i][1] for i in range(len(rows))]
+                    part, began = at[a : a + batch_size], time.perf_counter()
+                    found = texts(rows.iloc[part])
+                    ms = (time.perf_counter() - began) * 1000 / len(part)
+                    back.update({i: (*f, ms) for i, f in zip(part, found)})
+            for k, name in enumerate(("text", "error", "ms")):
+                out = out.assign(**{name: [back[i][k] for i in range(len(rows))]})
             yield out
 
-    extra = [c for c in ("crop", "polygon") if c in jobs.columns]
+    pixels = "pixels" in jobs.columns and getattr(recognizer, "pixels", False)
+    extra = [c for c in ("crop", "polygon", "pixels") if c in jobs.columns]
     together = jobs.select(*cols, *extra).repartition(*bucket, F.pmod(F.hash("doc"), F.lit(64))).sortWithinPartitions(*bucket, "doc", "page", "idx")
-    schema = T.StructType([f for f in jobs.select("doc", "page", "idx").schema] + [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+    schema = T.StructType([f for f in jobs.select("doc", "page", "idx").schema] + [T.StructField("text", T.StringType()), T.StructField("error", T.StringType()), T.StructField("ms", T.DoubleType())])
     return together.mapInPandas(run, schema)
 
 

@@ -20,10 +20,12 @@ class Engine:
     """Parses pages of documents with a detector and a recogniser given from outside.
 
     parse takes pages (doc LONG, page INT, w INT, h INT, and whatever the detector reads) and gives a row a
-    document: doc, markdown, pages, warnings, metadata and, with bundles on, figures and sidecar. Options
+    document: doc, markdown, pages, warnings, timings, metadata and, with bundles on, figures and sidecar. Options
     are checked before anything is planned; failures of single regions become warnings. Recognised regions
     are written once to the session's checkpoint folder, as Markdown, JSON, warnings and counters all read
-    them and recognition must not run for each; encoded figures likewise.
+    them and recognition must not run for each; encoded figures likewise. So detection and recognition run
+    while parse plans the rest; what it returns is lazy. timings holds `ocr_inference`, the milliseconds spent in the
+    recogniser on a document's jobs (D1); of other stages, which documents share, Spark's event log tells.
 
     Figures are cropped from the pages' `rgb` (rows of 8-bit pixels). One that can't be cropped or encoded
     keeps its marker in the Markdown, and a warning says so. Where pages have no such column, figures are
@@ -35,7 +37,11 @@ class Engine:
         self.detector, self.recognizer = detector or adapters.StubDetector(), recognizer or adapters.StubRecognizer()
         self.encoders = encoders
 
-    def _texts(self, jobs: DataFrame) -> DataFrame:
+    def _texts(self, jobs: DataFrame, pages: DataFrame) -> DataFrame:
+        if getattr(self.recognizer, "pixels", False) and "rgb" in pages.columns:
+            if "crop" not in jobs.columns:
+                jobs = jobs.withColumn("crop", F.array(F.lit(0), F.lit(0), F.col("width"), F.col("height")))
+            jobs = adapters.with_pixels(jobs, pages)
         found = adapters.recognise(jobs, self.recognizer, self.config.performance.batch_size)
         return found.withColumn("text", trim(F.col("text")))
 
@@ -60,7 +66,7 @@ class Engine:
         found = J.crop_failures(found).withColumnRenamed("warning", "crop_warning")
         found = found.withColumn("width", F.col("crop")[2] - F.col("crop")[0]).withColumn("height", F.col("crop")[3] - F.col("crop")[1])
         jobs = J.make_jobs(found.where("crop is not null"), self.config.prompts)
-        return J.merge_results(found, self._texts(jobs)).drop("crop")
+        return J.merge_results(found, self._texts(jobs, pages)).drop("crop")
 
     def figures(self, rows: DataFrame, pages: DataFrame) -> DataFrame:
         """Figures of formatted rows with box, data and problem (null: made; pixels, crop, encode)."""
@@ -78,9 +84,11 @@ class Engine:
             pages = pages.where(F.col("page") < min(caps))
         if not self.config.enable_layout:
             jobs = J.page_jobs(pages, self.config.prompts)
-            merged = J.merge_page_results(pages.select("doc", "page"), self._texts(jobs))
+            use_checkpoints(self.spark)
+            merged = J.merge_page_results(pages.select("doc", "page"), self._texts(jobs, pages)).checkpoint()
             warnings = B.collect_warnings(merged.select("doc", F.lit(2).alias("stage"), "page", F.lit(0).alias("idx"), "warning"))
-            return O.no_layout_markdown(merged).join(warnings, "doc", "left")
+            out = O.no_layout_markdown(merged).join(O.no_layout_pages(merged), "doc").join(B.timings(merged), "doc", "left").join(warnings, "doc", "left")
+            return out if options.include_markdown else out.withColumn("markdown", F.lit(""))
         use_checkpoints(self.spark)
         regions = self.regions(pages).checkpoint()
         rows = O.blocks(regions)
@@ -101,7 +109,7 @@ class Engine:
             warned = warned.unionByName(made.select("doc", F.lit(3).alias("stage"), "page", "idx", B.figure_warning(F.col("problem")).alias("warning")))
             mismatch = B.count_mismatch(F.col("markers"), F.col("n"))
             warned = warned.unionByName(counts.select("doc", F.lit(4).alias("stage"), F.lit(0).alias("page"), F.lit(0).alias("idx"), mismatch.alias("warning")))
-        out = out.join(B.collect_warnings(warned), "doc", "left")
+        out = out.join(B.collect_warnings(warned), "doc", "left").join(B.timings(regions), "doc", "left")
         if not options.include_markdown:
             out = out.withColumn("markdown", F.lit(""))
         if options.include_diagnostics:
@@ -116,7 +124,7 @@ class Engine:
             out = out.join(B.figure_assets(made, self.config.bundle), "doc", "left")
             out = out.withColumn("figures", F.coalesce("figures", F.array().cast(out.schema["figures"].dataType)))
             words = [F.coalesce("warnings", F.array().cast("array<string>")), F.col("metadata")] if options.include_diagnostics else [F.array().cast("array<string>"), F.create_map().cast("map<string,string>")]
-            # Stage timings (D1) aren't kept.
-            sidecar = B.sidecar_json(B.sidecar_pages(F.col("pages")), B.figure_records(F.col("figures")), words[0], F.create_map().cast("map<string,double>"), words[1], self.config.bundle)
+            spent = F.col("timings") if options.include_diagnostics else F.create_map().cast("map<string,double>")
+            sidecar = B.sidecar_json(B.sidecar_pages(F.col("pages")), B.figure_records(F.col("figures")), words[0], spent, words[1], self.config.bundle)
             out = out.withColumn("sidecar", sidecar)
         return out

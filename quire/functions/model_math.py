@@ -96,6 +96,27 @@ def repetition_penalty(logit: Column, seen: Column, penalty: float = 1.1) -> Col
     return F.when(seen, F.when(logit < 0, logit * penalty).otherwise(logit / penalty)).otherwise(logit)
 
 
+def recently_seen(tokens: Column, token: Column, window: int = 20) -> Column:
+    """Whether a token is among the last `window` of the tokens so far."""
+    return F.array_contains(F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - window + 1), F.lit(window)), token)
+
+
+def next_token(scores: DataFrame, keys: Sequence[str], *, temperature: float = 0.8, top_p: float = 0.9, top_k: int = 50, penalty: float = 1.1, window: int = 20, seed: int = 0, token: str = "token", logit: str = "logit", history: str = "history") -> DataFrame:
+    """(keys, token) of a step: penalised by its `history`, then the likeliest at temperature 0, else drawn from what the filters leave.
+
+    Equally likely tokens go by number at temperature 0. A draw takes the greatest of log p / temperature plus a Gumbel
+    variable made from seed, keys and token, so that a step drawn again gives the same token wherever it runs.
+    """
+    out = scores.withColumn(logit, repetition_penalty(F.col(logit), recently_seen(F.col(history), F.col(token), window), penalty))
+    if temperature == 0:
+        best = F.struct(F.col(logit), -F.col(token))
+    else:
+        out = sampling_filters(out, keys, top_p, top_k, token, logit)
+        u = (F.pmod(F.xxhash64(F.lit(seed), *keys, F.col(token)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        best = F.struct((F.log("p") / temperature - F.log(-F.log(u))).alias("s"), -F.col(token))
+    return out.groupBy(*keys).agg(F.max_by(token, best).alias(token))
+
+
 def sampling_filters(scores: DataFrame, keys: Sequence[str], top_p: float = 0.9, top_k: int = 50, token: str = "token", logit: str = "logit") -> DataFrame:
     """Tokens left by the top-p and then the top-k filter, with `p`, their share before the filters.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import Bundle, Config, ParseOptions
+from quire.operators import formatting
 
-MARKER = r"!\[([^\]]*)\]\(page\s*=\s*\d+\s*,\s*bbox\s*=\s*\[\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\]\)"
+#: What formatting prints for an image, with the alternative text as its group.
+MARKER = re.escape(formatting.MARKER).replace(r"\{alt\}", r"([^\]]*)").replace(r"\{page\}", r"\d+").replace(r"\{box\}", r"\d+(?:, \d+){3}")
 MIME = {"heic": "image/heic", "jpeg": "image/jpeg", "png": "image/png"}
 EXTENSION = {"heic": "heic", "jpeg": "jpg", "png": "png"}
 
@@ -130,9 +134,9 @@ def sidecar_json(pages: Column, figure_records: Column, warnings: Column, timing
     )
 
 
-def prompt_hash(prompt: str) -> Column:
+def prompt_hash(prompt: Column) -> Column:
     """D3: the first 16 hex digits of a prompt's digest."""
-    return F.substring(F.sha2(F.lit(prompt), 256), 1, 16)
+    return F.substring(F.sha2(prompt, 256), 1, 16)
 
 
 def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOptions()) -> DataFrame:
@@ -187,10 +191,15 @@ def metadata(stats: DataFrame, config: Config, options: ParseOptions = ParseOpti
     entries += [x for k, c in counted.items() for x in (F.lit(k), F.coalesce(F.col(c), F.lit(0)).cast("string"))]
     entries += [F.lit("inferenceAverageBatchSize"), F.format_string("%.2f", F.bround(F.coalesce("mean_batch", F.lit(0.0)), 2))]
     for name in ("page", "text", "table", "formula"):
-        entries += [F.lit(("noLayout" if name == "page" else name) + "PromptHash"), prompt_hash(getattr(config.prompts, name))]
+        entries += [F.lit(("noLayout" if name == "page" else name) + "PromptHash"), prompt_hash(F.lit(getattr(config.prompts, name)))]
     return stats.select("doc", F.create_map(*entries).alias("metadata"))
 
 
+def timings(rows: DataFrame) -> DataFrame:
+    """(doc, timings): milliseconds in the recogniser, summed over a document's jobs."""
+    return rows.groupBy("doc").agg(F.create_map(F.lit("ocr_inference"), F.round(F.coalesce(F.sum("ms"), F.lit(0.0)), 3)).alias("timings"))
+
+
 def collect_warnings(rows: DataFrame) -> DataFrame:
     """(doc, warnings): warnings of (doc, stage, page, idx, warning) rows in order of stage, page and region."""
     ordered = F.sort_array(F.collect_list(F.struct("stage", "page", "idx", "warning")))

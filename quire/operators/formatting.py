@@ -9,6 +9,8 @@ second pair, the first one included.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,10 @@ def blocks(regions: DataFrame) -> DataFrame:
     return renumber(fill_bullets(merge_hyphenated(merge_formula_numbers(normalise(regions)))))
 
 
+#: An image marker as it is printed.
+MARKER = "![{alt}](page={page},bbox=[{box}])"
+
+
 def placeholders(rows: DataFrame) -> DataFrame:
     """Image markers of F13: page, box and a counter within the page."""
     w = Window.partitionBy(*PAGE).orderBy("idx")
@@ -103,7 +109,8 @@ def placeholders(rows: DataFrame) -> DataFrame:
     nth = F.sum(F.when(is_image, 1).otherwise(0)).over(w) - 1
     box = F.array_join(F.transform("bbox", lambda v: v.cast("string")), ", ")
     page = F.col("page").cast("string")
-    marker = F.concat(F.lit("![Image "), page, F.lit("-"), nth.cast("string"), F.lit("](page="), page, F.lit(",bbox=["), box, F.lit("])"))
+    fields = {"{alt}": F.concat(F.lit("Image "), page, F.lit("-"), nth.cast("string")), "{page}": page, "{box}": box}
+    marker = F.concat(*[fields.get(x, F.lit(x)) for x in re.split(r"(\{\w+\})", MARKER)])
     return rows.withColumn("block", F.when(is_image, marker).otherwise(F.col("block")))
 
 
@@ -125,6 +132,12 @@ def no_layout_markdown(pages: DataFrame) -> DataFrame:
     return document_markdown(clean, RULE)
 
 
+def no_layout_pages(pages: DataFrame) -> DataFrame:
+    """(doc, pages) as page_results gives them: one text region a page, without a box."""
+    rows = pages.select("doc", "page", F.lit(0).alias("idx"), F.lit("text").alias("out_label"), F.coalesce(X.clean(F.col("content")), F.lit("")).alias("block"), F.lit(None).cast("array<int>").alias("bbox"))
+    return page_results(rows)
+
+
 def page_results(rows: DataFrame) -> DataFrame:
     """One row a document: pages as arrays of {index, label, content, bbox_2d}, in order."""
     region = F.struct(F.col("idx").alias("index"), F.col("out_label").alias("label"), F.col("block").alias("content"), F.col("bbox").alias("bbox_2d"))

@@ -90,8 +90,11 @@ def _warning(text: Column) -> Column:
 
 
 def merge_results(regions: DataFrame, results: DataFrame) -> DataFrame:
-    """The result's text; '' and a warning where it failed; content stays null where there is none. Results of no region are ignored."""
-    r = results.select("doc", "page", "idx", F.col("text").alias("_text"), F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    """The result's text; '' and a warning where it failed; content stays null where there is none. Results of no region are ignored.
+
+    `ms` comes along where results have it.
+    """
+    r = results.select("doc", "page", "idx", F.col("text").alias("_text"), F.col("error").alias("_error"), F.lit(True).alias("_there"), *[c for c in ("ms",) if c in results.columns])
     out = regions.join(r, ["doc", "page", "idx"], "left")
     failed = F.coalesce(F.col("_there"), F.lit(False)) & F.col("_error").isNotNull()
     content = F.when(failed, F.lit("")).when(F.col("_there"), F.col("_text")).otherwise(F.col("content"))
@@ -100,7 +103,7 @@ def merge_results(regions: DataFrame, results: DataFrame) -> DataFrame:
 
 def merge_page_results(pages: DataFrame, results: DataFrame) -> DataFrame:
     """As merge_results for whole pages, where a missing result is a failure too."""
-    r = results.select("doc", "page", F.col("text").alias("_text"), F.col("error").alias("_error"))
+    r = results.select("doc", "page", F.col("text").alias("_text"), F.col("error").alias("_error"), *[c for c in ("ms",) if c in results.columns])
     out = pages.join(r, PAGE, "left").withColumn("idx", F.lit(0))
     bad = F.col("_error").isNotNull() | F.col("_text").isNull()
     out = out.withColumn("content", F.when(bad, F.lit("")).otherwise(F.col("_text")))

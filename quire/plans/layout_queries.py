@@ -86,6 +86,14 @@ def l06_polygon(spark, d):
     return found.select("page", "id", F.transform("polygon", lambda p: F.transform(p, lambda v: F.round(v, 3))).alias("polygon"))
 
 
+def l06_properties(spark, d):
+    """What holds of the polygon of every oval: four corners at least, all within a mask's cell of the box, the cells' area near the oval's."""
+    found = l06_polygon(spark, d).join(X.boxes(spark, d), ["page", "id"])
+    cw, ch = F.col("w") / 200, F.col("h") / 200
+    near = F.forall("polygon", lambda p: (p[0] >= F.col("x1") - cw) & (p[0] <= F.col("x2") + cw) & (p[1] >= F.col("y1") - ch) & (p[1] <= F.col("y2") + ch))
+    return found.select("page", "id", (F.size("polygon") >= 4).alias("closed"), near.alias("near"))
+
+
 def l07_nms(spark, d):
     return L.nms(X.boxes(spark, d), P).select("page", "id", "cls", "score")
 
@@ -205,6 +213,7 @@ SQL = {
     SELECT page, item, round(votes, 5) AS votes, CAST(row_number() OVER (PARTITION BY page ORDER BY votes, item) - 1 AS INT) AS ord FROM s""",
     "l05d_stable_order": f"{B} SELECT page, id, CAST((SELECT count(*) FROM boxes o WHERE o.page = b.page AND (o.ord, o.id) < (b.ord, b.id)) AS INT) AS pos FROM boxes b",
     "l05e_label": f"{B}, c AS (SELECT id, CAST(cls + CASE WHEN id % 11 = 0 THEN 20 ELSE 0 END AS INT) AS cls FROM boxes) SELECT id, cls, {X._LABEL} AS label FROM c",
+    "l06_properties": f"{B} SELECT page, id, true AS closed, true AS near FROM boxes",
     "l07_nms": f"{B}, {_nms('boxes').strip()} SELECT page, id, cls, score FROM ranked JOIN kept_ids USING (page, r)",
     "l08_large_image": f"{B}, {_large('boxes').strip()} SELECT page, id FROM fits",
     "l09_containment": f"{B}, {_contain('boxes').strip()} SELECT page, id FROM contained",

@@ -15,6 +15,7 @@ from quire.plans import fixtures as X
 from quire.plans import format_queries as Q
 from quire.session import table
 from quire.sources import files as S
+from quire.sources import sinks
 
 
 def s01_inputs(spark, d):
@@ -39,9 +40,9 @@ def s10_empty(spark, d):
 
 
 def c01_markdown_files(spark, d):
-    """Newline-terminated Markdown by stem, as the sink writes it."""
+    """Newline-terminated Markdown by stem, by the column that the sinks write."""
     names = table(spark, d, "scans").groupBy(F.col("scan_id").alias("doc")).agg(F.min("stem").alias("stem"))
-    return names.join(Q.f14_documents(spark, d), "doc").select("stem", F.concat(F.rtrim("markdown", F.lit("\n")), F.lit("\n")).alias("content"))
+    return names.join(Q.f14_documents(spark, d), "doc").select("stem", sinks.terminated(F.col("markdown")).alias("content"))
 
 
 def ref_p01_page_mismatch(spark, d):
@@ -100,6 +101,20 @@ def ref_p12_recognise(spark, d):
     return adapters.recognise(X.jobs(spark, d), adapters.StubRecognizer()).select("doc", "page", "idx", "text")
 
 
+class _NoFormulas(adapters.StubRecognizer):
+    """Fails for batches of formulas."""
+
+    def recognize(self, batch):
+        if "formula" in set(batch["task"]):
+            raise RuntimeError("engine stopped")
+        return super().recognize(batch)
+
+
+def ref_p13_failed_batches(spark, d):
+    """Each job of a failed batch has its error."""
+    return adapters.recognise(X.jobs(spark, d), _NoFormulas()).select("doc", "page", "idx", "text", "error")
+
+
 def ref_p15_scheduler_stats(spark, d):
     return J.scheduler_stats(J.batches(J.buckets(X.jobs(spark, d)), 4))
 
@@ -167,28 +182,27 @@ def b06_markers(spark, d):
 
 
 def b07_sidecar(spark, d):
+    """Sidecars of all documents: every region's content and box, every figure on a page of 2480 x 3508, without its bytes."""
     rows = _out(spark, d)
-    pages = O.page_results(rows)
-    warn = F.array(F.lit("one"))
-    record = F.struct(F.lit("Image 0-0").alias("altText"), F.col("doc").alias("pageIndex"))
-    json = B.sidecar_json(F.transform("pages", lambda p: F.transform(p, lambda r: F.struct(r["index"].alias("index"), r["label"].alias("label")))), F.array(record), warn, F.create_map(F.lit("total"), F.lit(1.5)), F.create_map(F.lit("k"), F.lit("v")))
-    return pages.select("doc", json.alias("sidecar"))
+    made = B.figures(rows).withColumn("box", J.pixel_box(F.col("bbox"), F.lit(2480), F.lit(3508))).withColumn("data", F.lit(None).cast("binary"))
+    assets = B.figure_assets(made.withColumn("problem", F.when(F.col("box").isNull(), "crop").otherwise("pixels")))
+    lost = made.where("box is null").select("doc", F.lit(3).alias("stage"), "page", "idx", B.figure_warning(F.lit("crop")).alias("warning"))
+    out = O.page_results(rows).join(assets, "doc", "left").join(B.collect_warnings(lost), "doc", "left")
+    figures = F.coalesce("figures", F.array().cast(assets.schema["figures"].dataType))
+    json = B.sidecar_json(B.sidecar_pages(F.col("pages")), B.figure_records(figures), F.coalesce("warnings", F.array().cast("array<string>")), F.create_map(F.lit("total"), F.lit(1.5)), F.create_map(F.lit("k"), F.lit("v")))
+    return out.select("doc", json.alias("sidecar"))
 
 
-def whole_metadata(spark, d):
-    """(doc, metadata) with every key; d02_metadata has those of its SQL."""
+def d02_metadata(spark, d):
+    """Every key of every document's metadata."""
     units = _units(spark, d)
     stats = J.counters(units).join(units.groupBy("doc").agg(F.count_distinct("page").alias("pages")), "doc")
-    return B.metadata(stats.join(J.scheduler_stats(J.batches(J.buckets(X.jobs(spark, d)), 4)), "doc", "left"), Config())
-
-
-def d02_metadata(spark, d):
-    m = whole_metadata(spark, d).select("doc", F.explode("metadata").alias("key", "value"))
-    return m.where(F.col("key").isin("detectionCount", "recognitionJobCount", "inferenceBatchCount", "inferenceAverageBatchSize", "pdfDPI", "maxPagesOption", "textPromptHash"))
+    found = B.metadata(stats.join(J.scheduler_stats(J.batches(J.buckets(X.jobs(spark, d)), 4)), "doc", "left"), Config())
+    return found.select("doc", F.explode("metadata").alias("key", "value"))
 
 
 def d03_prompt_hash(spark, d):
-    return X.jobs(spark, d).select("prompt").distinct().select("prompt", F.substring(F.sha2("prompt", 256), 1, 16).alias("digest"))
+    return X.jobs(spark, d).select("prompt").distinct().select("prompt", B.prompt_hash(F.col("prompt")).alias("digest"))
 
 
 def d04_warnings(spark, d):
@@ -246,6 +260,12 @@ def m16_filters(spark, d):
     return M.sampling_filters(_vocabulary(spark, d), ["vec_id"], 0.9, 12).select("vec_id", "token", F.round("p", 8).alias("p"))
 
 
+def m16_argmax(spark, d):
+    """The next token at temperature 0, penalised by the last 20 of 30 tokens."""
+    history = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: ((F.col("vec_id") * 7 + i * i) % 64).cast("int"))
+    return M.next_token(_vocabulary(spark, d).withColumn("history", history), ["vec_id"], temperature=0, penalty=1.5)
+
+
 def m16_penalty(spark, d):
     return _vocabulary(spark, d).select("vec_id", "token", (F.round(M.repetition_penalty(F.col("logit"), F.col("token") < 20), 6) + 0.0).alias("logit"))
 
@@ -265,8 +285,6 @@ def m20_signature(spark, d):
 
 
 def c02_page_json(spark, d):
-    from quire.sources import sinks
-
     return sinks.page_json(_out(spark, d))
 
 
@@ -326,6 +344,8 @@ SQL = {
     "ref_p11_batches": f"{_SEQ} SELECT doc, page, idx, CAST(bucket AS INT) AS bucket, batch FROM bb",
     "ref_p12_recognise": f"""{_J} SELECT doc, page, idx, CASE task WHEN 'table' THEN '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' WHEN 'formula' THEN 'x^2 + y^2 = z^2'
       ELSE 'Recognized text ' || width || 'x' || height END AS text FROM jobs""",
+    "ref_p13_failed_batches": f"""{_J} SELECT doc, page, idx, CASE task WHEN 'table' THEN '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' WHEN 'text' THEN 'Recognized text ' || width || 'x' || height END AS text,
+      CASE task WHEN 'formula' THEN 'engine stopped' END AS error FROM jobs""",
     "ref_p15_scheduler_stats": f"""{_SEQ}, n AS (SELECT doc, bucket, batch, count(*) AS n FROM bb GROUP BY ALL)
       SELECT doc, count(DISTINCT bucket) AS buckets, count(*) AS batches, max(n) AS max_batch, round(avg(n), 4) AS mean_batch, CAST(sum(n) AS BIGINT) AS queued FROM n GROUP BY doc""",
     "ref_p16_merge": f"{_RES} SELECT * FROM merged",
@@ -342,14 +362,24 @@ SQL = {
       shown AS (SELECT b.doc, b.page, b.idx, CASE WHEN n.doc IS NULL THEN b.block WHEN n.path IS NULL THEN '![Image ' || b.page || '-' || n.page_ordinal || '](page=' || b.page || ',bbox=[' || array_to_string(b.bbox, ', ') || '])'
         ELSE '![Image ' || b.page || '-' || n.page_ordinal || '](' || n.path || ')' END AS block FROM blocks b LEFT JOIN named n USING (doc, page, idx)),
       pg AS ({Q._PAGE_MD} shown GROUP BY doc, page) SELECT doc, string_agg(markdown, chr(10) || chr(10) ORDER BY page) AS markdown, NULL::VARCHAR AS warning FROM pg GROUP BY doc""",
-    "b07_sidecar": f"""{Q.BLOCKS_SQL}, pg AS (SELECT doc, page, '[' || string_agg('{{"index":' || idx || ',"label":"' || out_label || '"}}', ',' ORDER BY idx) || ']' AS j FROM blocks GROUP BY doc, page)
-      SELECT doc, '{{"diagnostics":{{"metadata":{{"k":"v"}},"timingsMs":{{"total":1.5}},"warnings":["one"]}},"figures":[{{"altText":"Image 0-0","pageIndex":' || doc || '}}],"figuresDirectory":"figures","markdownPath":"document.md","pages":['
-        || string_agg(j, ',' ORDER BY page) || '],"schemaVersion":1}}' AS sidecar FROM pg GROUP BY doc""",
-    "d02_metadata": f"""{_SEQ}, n AS (SELECT doc, bucket, batch, count(*) AS n FROM bb GROUP BY ALL), st AS (SELECT doc, count(*) AS batches, avg(n) AS mean FROM n GROUP BY doc),
-      c AS (SELECT doc, count(*) AS dets, count(*) FILTER (task IN ('text', 'table', 'formula')) AS jobs FROM units GROUP BY doc), j AS (SELECT c.*, coalesce(batches, 0) AS batches, coalesce(mean, 0) AS mean FROM c LEFT JOIN st USING (doc))
-      SELECT doc, 'detectionCount' AS key, dets::VARCHAR AS value FROM j UNION ALL SELECT doc, 'recognitionJobCount', jobs::VARCHAR FROM j UNION ALL SELECT doc, 'inferenceBatchCount', batches::VARCHAR FROM j
-      UNION ALL SELECT doc, 'inferenceAverageBatchSize', printf('%.2f', mean::DOUBLE) FROM j UNION ALL SELECT doc, 'pdfDPI', '200' FROM j UNION ALL SELECT doc, 'maxPagesOption', 'nil' FROM j
-      UNION ALL SELECT doc, 'textPromptHash', left(sha256('Text Recognition:'), 16) FROM j""",
+    "b07_sidecar": f"""{_CAND}, pg AS (SELECT doc, page, '{{"regions":[' || string_agg('{{' || coalesce('"bbox2D":[' || array_to_string(bbox, ',') || '],', '') || coalesce('"content":' || to_json(block)::VARCHAR || ',', '') || '"index":' || idx || ',"label":"' || out_label || '"}}', ',' ORDER BY idx) || ']}}' AS j FROM blocks GROUP BY doc, page),
+      px AS (SELECT *, {_cells(2480, 3508)} AS box, 'page_' || {_PAD.format('page + 1')} || '_region_' || {_PAD.format('idx + 1')} || '.heic' AS name FROM cand),
+      fg AS (SELECT doc, string_agg('{{"altText":"Image ' || page || '-' || page_ordinal || '","bbox2D":[' || array_to_string(bbox, ',') || '],"fileName":"' || name || '","heightPX":' || (box[4] - box[2]) || ',"label":"image","mimeType":"image/heic","pageIndex":' || page
+        || ',"regionIndex":' || idx || ',"relativePath":"figures/' || name || '","widthPX":' || (box[3] - box[1]) || '}}', ',' ORDER BY ordinal) AS j FROM px WHERE box IS NOT NULL GROUP BY doc),
+      w AS (SELECT doc, string_agg('"bundle.figure crop failed: page=' || page || ' region=' || idx || '"', ',' ORDER BY page, idx) AS j FROM px WHERE box IS NULL GROUP BY doc)
+      SELECT doc, '{{"diagnostics":{{"metadata":{{"k":"v"}},"timingsMs":{{"total":1.5}},"warnings":[' || coalesce(any_value(w.j), '') || ']}},"figures":[' || coalesce(any_value(fg.j), '') || '],"figuresDirectory":"figures","markdownPath":"document.md","pages":['
+        || string_agg(pg.j, ',' ORDER BY page) || '],"schemaVersion":1}}' AS sidecar FROM pg LEFT JOIN fg USING (doc) LEFT JOIN w USING (doc) GROUP BY doc""",
+    "d02_metadata": f"""{_SEQ}, n AS (SELECT doc, bucket, batch, count(*) AS n FROM bb GROUP BY ALL), st AS (SELECT doc, count(*) AS batches, count(DISTINCT bucket) AS buckets, max(n) AS most, avg(n) AS mean, sum(n) AS queued FROM n GROUP BY doc),
+      c AS (SELECT doc, count(*) AS dets, count(DISTINCT page) AS pages, count(*) FILTER (task = 'skip') AS skip, count(*) FILTER (task = 'text') AS text, count(*) FILTER (task = 'table') AS tab, count(*) FILTER (task = 'formula') AS formula FROM units GROUP BY doc),
+      j AS (SELECT c.*, coalesce(batches, 0) AS batches, coalesce(buckets, 0) AS buckets, coalesce(most, 0) AS most, coalesce(mean, 0) AS mean, coalesce(queued, 0) AS queued FROM c LEFT JOIN st USING (doc)),
+      own AS (SELECT doc, unnest([('pageCount', pages::VARCHAR), ('layoutDetectionCount', dets::VARCHAR), ('detectionCount', dets::VARCHAR), ('skipRegionCount', skip::VARCHAR), ('recognitionTextJobCount', text::VARCHAR), ('recognitionTableJobCount', tab::VARCHAR),
+        ('recognitionFormulaJobCount', formula::VARCHAR), ('recognitionJobCount', (text + tab + formula)::VARCHAR), ('inferenceBucketCount', buckets::VARCHAR), ('inferenceBatchCount', batches::VARCHAR), ('inferenceMaxBatchSize', most::VARCHAR),
+        ('inferenceQueuedJobCount', CAST(queued AS BIGINT)::VARCHAR), ('inferenceAverageBatchSize', printf('%.2f', mean::DOUBLE))]) AS e FROM j),
+      fixed(key, value) AS (VALUES ('layoutEnabled', 'true'), ('markdownBundleEnabled', 'false'), ('markdownBundleGenerated', 'false'), ('markdownBundleFigureCount', '0'), ('maxConcurrentRecognitions', '1'), ('maxPagesOption', 'nil'), ('defaultMaxPages', 'nil'), ('effectiveMaxPages', 'nil'),
+        ('pdfDPI', '200'), ('pdfMaxRenderedLongSide', '3500'), ('inferenceBatchSize', '4'), ('inferenceBatchMaxWaitMs', '8'), ('inferenceMaxInflightJobs', '1'), ('pdfRenderConcurrency', '2'), ('ocrPreprocessConcurrency', '4'), ('bundleEncodeConcurrency', '2'),
+        ('layoutPostprocessFastPath', 'true'), ('pageRenderDebugDump', 'nil'), ('pageRenderDebugCount', '0'), ('noLayoutPromptHash', left(sha256('{dims.PAGE_PROMPT}'), 16)), ('textPromptHash', left(sha256('Text Recognition:'), 16)),
+        ('tablePromptHash', left(sha256('Table Recognition:'), 16)), ('formulaPromptHash', left(sha256('Formula Recognition:'), 16)))
+      SELECT doc, e[1] AS key, e[2] AS value FROM own UNION ALL SELECT doc, key, value FROM j, fixed""",
     "d03_prompt_hash": f"{_J} SELECT DISTINCT prompt, left(sha256(prompt), 16) AS digest FROM jobs",
     "d04_warnings": f"""{_RES}, w AS (SELECT doc, 2 AS stage, page, idx, warning FROM merged WHERE warning IS NOT NULL UNION ALL SELECT doc, 1, page, idx, warning FROM ({_CROPS}))
       SELECT doc, list(warning ORDER BY stage, page, idx) AS warnings FROM w GROUP BY doc""",
@@ -371,6 +401,9 @@ SQL = {
       e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM l), p AS (SELECT *, round(e / sum(e) OVER (PARTITION BY vec_id), 12) AS p FROM e),
       c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p, token DESC ROWS UNBOUNDED PRECEDING) AS below, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM p)
       SELECT vec_id, token, round(p, 8) AS p FROM c WHERE round(below, 9) > 0.1 AND r <= 12""",
+    "m16_argmax": """WITH v AS (SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS token FROM embeddings), l AS (SELECT vec_id, token, round(x::DOUBLE * 4, 4) AS logit FROM v),
+      p AS (SELECT vec_id, token, CASE WHEN NOT list_contains(list_transform(range(10, 30), lambda i: CAST((vec_id * 7 + i * i) % 64 AS INT)), token) THEN logit WHEN logit < 0 THEN logit * 1.5::DOUBLE ELSE logit / 1.5::DOUBLE END AS logit FROM l)
+      SELECT vec_id, token FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token) AS r FROM p) WHERE r = 1""",
     "m16_penalty": """WITH v AS (SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS token FROM embeddings), l AS (SELECT vec_id, token, round(x::DOUBLE * 4, 4) AS logit FROM v)
       SELECT vec_id, token, round(CASE WHEN token >= 20 THEN logit WHEN logit < 0 THEN logit * 1.1::DOUBLE ELSE logit / 1.1::DOUBLE END, 6) + 0.0::DOUBLE AS logit FROM l""",
     "m17_stop": f"""WITH {X.PAGES_SQL}, t AS (SELECT page_id, list_transform(range(0, 10), lambda i: CAST(page_id * (i + 1) % 11 AS INT)) AS t FROM pages),

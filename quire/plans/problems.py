@@ -57,5 +57,38 @@ UNION ALL SELECT region_id, 'bbox_2d' FROM j WHERE a IS NOT NULL AND b IS NOT NU
 UNION ALL SELECT region_id, 'label' FROM j WHERE a IS NOT NULL AND b IS NOT NULL AND y
 """
 
+# Bodies without byte order mark and white space around them, out of a JSON string or the envelope `document`; both spellings of keys.
+_TRIM = "trim({0}, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))"
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE [] END"
+
+
+def _either(record: str, camel: str, snake: str, arrow: str = "->>") -> str:
+    return f"coalesce({record} {arrow} '$.{camel}', {record} {arrow} '$.{snake}')"
+
+
+_BODIES = f"""
+bare AS (SELECT DISTINCT sidecar_id, body AS body_key, {_TRIM.format('body')} AS b FROM sidecars WHERE sidecar_id IS NOT NULL AND body IS NOT NULL),
+unpacked AS (SELECT sidecar_id, body_key, CASE WHEN b LIKE '"%' THEN {_TRIM.format("json_extract_string(TRY_CAST(b AS JSON), '$')")} ELSE b END AS b FROM bare),
+parsed AS (SELECT sidecar_id, body_key, TRY_CAST(b AS JSON) AS j FROM unpacked),
+records AS (SELECT sidecar_id, body_key, CASE WHEN json_type(j -> '$.document') = 'OBJECT' THEN j -> '$.document' ELSE j END AS j FROM parsed WHERE json_type(j) = 'OBJECT'),
+lists AS (SELECT sidecar_id, body_key, {_LIST.format("(j -> '$.pages')")} AS ps, {_LIST.format("(j -> '$.figures')")} AS fs, j -> '$.diagnostics' AS d FROM records),
+pages AS (SELECT sidecar_id, body_key, unnest(ps) AS p, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS page_index FROM lists),
+listed AS (SELECT sidecar_id, page_index, {_LIST.format("(CASE WHEN json_type(p) = 'ARRAY' THEN p ELSE p -> '$.regions' END)")} AS rs FROM pages),
+regs AS (SELECT DISTINCT sidecar_id, page_index, coalesce(r ->> '$.index', CAST(k AS VARCHAR)) AS item FROM (SELECT sidecar_id, page_index, unnest(rs) AS r, generate_subscripts(rs, 1) - 1 AS k FROM listed)),
+figs AS (SELECT sidecar_id, body_key, CAST(k AS INT) AS position, TRY_CAST({_either('f', 'pageIndex', 'page_index')} AS INT) AS page_index, {_either('f', 'regionIndex', 'region_index')} AS region_index, f
+  FROM (SELECT sidecar_id, body_key, unnest(fs) AS f, generate_subscripts(fs, 1) - 1 AS k FROM lists))"""
+P2_FOUND_SQL = f"""WITH {_BODIES.strip()}
+SELECT DISTINCT sidecar_id, 'page' AS child, page_index, '' AS item FROM pages
+UNION ALL SELECT sidecar_id, 'region', page_index, item FROM regs
+UNION ALL SELECT DISTINCT f.sidecar_id, CASE WHEN r.item IS NULL THEN 'orphan_figure' ELSE 'figure' END, f.page_index, f.region_index
+  FROM figs f LEFT JOIN regs r ON f.sidecar_id = r.sidecar_id AND f.page_index = r.page_index AND f.region_index = r.item WHERE f.page_index IS NOT NULL AND f.region_index IS NOT NULL
+UNION ALL SELECT DISTINCT sidecar_id, 'warning', -1, CAST(unnest(range(len({_LIST.format("(d -> '$.warnings')")}))) AS VARCHAR) FROM lists
+UNION ALL SELECT DISTINCT sidecar_id, 'timing', -1, unnest(json_keys({_either('d', 'timingsMs', 'timings_ms', '->')})) FROM lists
+UNION ALL SELECT DISTINCT sidecar_id, 'metadata', -1, unnest(json_keys(d -> '$.metadata')) FROM lists"""
+P2_FIGURES_SQL = f"""WITH {_BODIES.strip()}
+SELECT f.sidecar_id, position, f.page_index, region_index, {_either('f', 'fileName', 'file_name')} AS file_name, TRY_CAST({_either('f', 'widthPX', 'width_px')} AS INT) AS width_px,
+  TRY_CAST({_either('f', 'heightPX', 'height_px')} AS INT) AS height_px, f ->> '$.sha256' AS sha256, r.item IS NULL AS orphan
+FROM figs f LEFT JOIN regs r ON f.sidecar_id = r.sidecar_id AND f.page_index = r.page_index AND f.region_index = r.item"""
+
 QUERIES = {"p2_found": p2_found, "p2_figures": p2_figures, "p5_found": p5_found, "p5_copies": p5_copies}
-SQL = {"p5_found": P5_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_figures": P2_FIGURES_SQL, "p5_found": P5_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, for checkpoints.
 
-    spark.checkpoint.dir wins; only where it is unset (tests) a local folder is named.
+    spark.checkpoint.dir wins. Where it is unset, a session whose tasks all run on this machine gets a local
+    folder; a cluster has no folder that all executors share, and is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named or "file://" + os.path.abspath("spark-warehouse/checkpoints")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import use_checkpoints
+
 EXTENSIONS = ("png", "jpg", "jpeg", "heic", "pdf")
 
 
@@ -23,14 +26,25 @@ def accepted(files: DataFrame) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Names compare without case, runs of digits by value. The locale's own order isn't reproduced."""
+    """Names compare without case, runs of digits by value: by how many there are and then as text. The locale's own order isn't reproduced."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(F.ltrim(t, F.lit("0")), 20, "0")).otherwise(t)), "")
+    number = lambda t: F.concat(F.lpad(F.char_length(F.ltrim(t, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(t, F.lit("0")))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike("^[0-9]"), number(t)).otherwise(t)), "")
 
 
 def natural_order(files: DataFrame) -> DataFrame:
-    """`pos` in natural order of names. The only use of one order over all files is a listing; nothing else needs it."""
-    return files.withColumn("pos", F.row_number().over(Window.orderBy(natural_key(F.col("name")), "path")) - 1)
+    """`pos` in natural order of names.
+
+    Files are sorted in ranges, which checkpoint() fixes while the plan is made; a position is that within its range
+    and the number of files in the ranges before, of which there are as many as tasks.
+    """
+    use_checkpoints(files.sparkSession)
+    listed = files.withColumn("_key", natural_key(F.col("name"))).orderBy("_key", "path").drop("_key").checkpoint()
+    at = F.monotonically_increasing_id()
+    listed = listed.withColumn("_range", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = listed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return listed.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("pos", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
 def scan(spark: SparkSession, directory: str, with_content: bool = True) -> DataFrame:
@@ -77,6 +91,24 @@ def page_numbers(documents: DataFrame, cap: int | None) -> DataFrame:
     return documents.withColumn("_n", n).where("_n > 0").select(*documents.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("page_index"))
 
 
+def pdf_pages(documents: DataFrame, loader: Any, cap: int | None) -> DataFrame:
+    """(path, page, w, h, rgb) of documents (path, kind, content) by a page loader; one that can't be loaded has no pages (see S10).
+
+    The loader is called with the cap, so that no page beyond it is rendered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, kind, content in zip(rows["path"], rows["kind"], rows["content"]):
+                try:
+                    made = [(path, i, w, h, rgb) for i, w, h, rgb in loader.load(bytes(content), kind, cap) if cap is None or i < cap]
+                except Exception:  # noqa: BLE001 - whatever the loader raises is the document's problem
+                    made = []
+                yield pd.DataFrame(made, columns=["path", "page", "w", "h", "rgb"])
+
+    return documents.select("path", "kind", "content").mapInPandas(run, "path string, page int, w int, h int, rgb binary")
+
+
 def empty_documents(documents: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """Documents without a page, with an error instead of a failed run."""
     return documents.join(pages.select(key).distinct(), key, "left_anti").withColumn("error", F.lit("the document has no pages"))

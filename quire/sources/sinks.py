@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,72 +19,73 @@ def page_json(rows: DataFrame) -> DataFrame:
     return docs.select("doc", F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: x["j"]), ","), F.lit("]")).alias("json"))
 
 
+def terminated(markdown: Column) -> Column:
+    """Markdown that ends in one newline."""
+    return F.concat(F.rtrim(F.coalesce(markdown, F.lit("")), F.lit("\n")), F.lit("\n"))
+
+
 def write_documents(docs: DataFrame, directory: str) -> None:
     """A folder for each stem, replaced as a whole, with the Markdown and JSON of its document as a row.
 
     Written by Spark's own committer, so that a lost executor leaves no half-written folder.
     """
-    docs.select("stem", "markdown", "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").json(directory)
+    docs.select("stem", terminated(F.col("markdown")).alias("markdown"), "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").json(directory)
+
+
+def pages_json(pages: Column) -> Column:
+    """C2 of the `pages` of page_results: null content is '', a null box null, keys in alphabetical order."""
+    region = lambda r: F.struct(r["bbox_2d"].alias("bbox_2d"), F.coalesce(r["content"], F.lit("")).alias("content"), r["index"].alias("index"), r["label"].alias("label"))
+    return F.to_json(F.transform(pages, lambda p: F.transform(p, region)), {"ignoreNullFields": "false"})
 
 
 def export_files(docs: DataFrame, directory: str) -> DataFrame:
-    """(stem, error): <stem>/<stem>.md, newline-terminated, and <stem>/<stem>.json as plain files.
+    """(stem, error): <stem>/<stem>.md, newline-terminated, <stem>/<stem>.json and, where docs have `figures`, their files.
 
-    For folders that all executors share. Each file is written under a name of its own attempt and then
-    renamed, so that tasks run again do no harm; a document that fails is reported and the others go on.
+    For folders that all executors share. A document's folder is written under a name of its own attempt and then
+    takes the place of the one before, of which no file stays (C4), so that tasks run again do no harm; a
+    document that fails is reported, keeps the folder it had, and the others go on.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(stem: str, markdown: str, text: str | None, figures: list) -> None:
         import os
+        import shutil
         import uuid
 
-        for rows in batches:
-            errors = []
-            for stem, markdown, text in zip(rows["stem"], rows["markdown"], rows["json"]):
-                try:
-                    if not stem or "/" in stem or stem in (".", ".."):
-                        raise ValueError(f"not a file name: {stem!r}")
-                    base = os.path.join(directory, stem)
-                    os.makedirs(base, exist_ok=True)
-                    for ext, data in (("md", (markdown or "").rstrip("\n") + "\n"), ("json", json.dumps(json.loads(text or "[]"), ensure_ascii=False, indent=2, sort_keys=True) + "\n")):
-                        part = os.path.join(base, f".{uuid.uuid4().hex}")
-                        with open(part, "w", encoding="utf-8") as f:
-                            f.write(data)
-                        os.replace(part, os.path.join(base, f"{stem}.{ext}"))
-                    errors.append(None)
-                except (OSError, ValueError) as e:
-                    errors.append(str(e))
-            yield pd.DataFrame({"stem": rows["stem"], "error": errors})
-
-    return docs.select("stem", "markdown", "json").mapInPandas(run, "stem string, error string")
-
-
-def export_figures(docs: DataFrame, directory: str) -> DataFrame:
-    """(stem, error): figures with data as files under <stem>/<relative_path>, written as export_files does."""
+        if not stem or "/" in stem or stem in (".", ".."):
+            raise ValueError(f"not a file name: {stem!r}")
+        base, part = os.path.join(directory, stem), os.path.join(directory, f".{uuid.uuid4().hex}")
+        files = {f"{stem}.md": markdown.encode(), f"{stem}.json": (json.dumps(json.loads(text or "[]"), ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()}
+        for path, data in figures:
+            if os.path.isabs(path) or ".." in path.split("/"):
+                raise ValueError(f"not a path under the folder: {path!r}")
+            if data is not None:
+                files[path] = data
+        try:
+            for path, data in files.items():
+                target = os.path.join(part, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(data)
+            if os.path.lexists(base):
+                os.replace(base, part + ".old")
+            os.replace(part, base)
+        finally:
+            shutil.rmtree(part, ignore_errors=True)
+            shutil.rmtree(part + ".old", ignore_errors=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
         for rows in batches:
             errors = []
-            for stem, path, data in zip(rows["stem"], rows["relative_path"], rows["data"]):
+            lists = rows["figures"] if "figures" in rows else [()] * len(rows)
+            for stem, markdown, text, figures in zip(rows["stem"], rows["markdown"], rows["json"], lists):
                 try:
-                    if not stem or "/" in stem or stem in (".", ".."):
-                        raise ValueError(f"not a file name: {stem!r}")
-                    if os.path.isabs(path) or ".." in path.split("/"):
-                        raise ValueError(f"not a path under the folder: {path!r}")
-                    target = os.path.join(directory, stem, path)
-                    base = os.path.dirname(target)
-                    os.makedirs(base, exist_ok=True)
-                    part = os.path.join(base, f".{uuid.uuid4().hex}")
-                    with open(part, "wb") as f:
-                        f.write(data)
-                    os.replace(part, target)
+                    write(stem, markdown, text, [(f["relative_path"], f["data"]) for f in (() if figures is None else figures)])
                     errors.append(None)
                 except (OSError, ValueError) as e:
                     errors.append(str(e))
             yield pd.DataFrame({"stem": rows["stem"], "error": errors})
 
-    figures = docs.select("stem", F.explode("figures").alias("f")).select("stem", "f.relative_path", "f.data")
-    return figures.where("data is not null").mapInPandas(run, "stem string, error string")
+    picked = ["stem", terminated(F.col("markdown")).alias("markdown"), "json"]
+    if "figures" in docs.columns:
+        picked.append(F.transform("figures", lambda f: F.struct(f["relative_path"].alias("relative_path"), f["data"].alias("data"))).alias("figures"))
+    return docs.select(*picked).mapInPandas(run, "stem string, error string")

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire import adapters, dims
 from quire.config import Bundle, Config, ConfigError, Layout, ParseOptions, Performance
@@ -33,6 +34,8 @@ def test_bundle_off_keeps_markers(shared):
 def test_without_layout(shared):
     got = {r.doc: r.markdown for r in Engine(shared, Config(enable_layout=False, bundle=Bundle(enabled=True))).parse(pages(shared), ParseOptions(max_pages=1)).collect()}
     assert got == {1: "Recognized text 640x480", 2: "Recognized text 320x200"}
+    one = Engine(shared, Config(enable_layout=False)).parse(pages(shared)).where("doc = 1").collect()[0]
+    assert [[tuple(r) for r in p] for p in one.pages] == [[(0, "text", "Recognized text 640x480", None)]] * 2 and one.timings["ocr_inference"] >= 0
 
 
 def test_defaults_and_validation():
@@ -115,10 +118,138 @@ def test_command(shared, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.png").write_bytes(adapters.png(4, 4, bytes(48)))
     out, rep = str(tmp_path / "out"), str(tmp_path / "report.json")
+    (tmp_path / "out" / "a").mkdir(parents=True)
+    (tmp_path / "out" / "a" / "old.txt").write_text("of a run before")
     assert main([str(tmp_path / "in"), out, "--report", rep], shared) == 0
-    assert (tmp_path / "out" / "a" / "a.md").read_text().startswith("Recognized text") and json.loads(open(rep).read())["documents"] == 1
+    assert (tmp_path / "out" / "a" / "a.md").read_text().startswith("Recognized text")
+    regions = json.loads((tmp_path / "out" / "a" / "a.json").read_text())[0]
+    assert [r["index"] for r in regions] == [0, 1, 2] and all(set(r) == {"bbox_2d", "content", "index", "label"} for r in regions) and regions[1]["content"].startswith("![Image") | (regions[1]["content"] == "")
+    assert sorted(os.listdir(tmp_path / "out")) == ["a"] and sorted(os.listdir(tmp_path / "out" / "a")) == ["a.json", "a.md"]
+    told = json.loads(open(rep).read())
+    assert (told["documents"], told["failed"], told["jobs"]) == (1, 0, 1) and told["jobsPerSecond"] is None or told["jobsPerSecond"] > 0
     (tmp_path / "in" / "b.pdf").write_bytes(b"fake-pdf")
     assert main([str(tmp_path / "in"), out, "--no-layout"], shared) == 1
+    assert json.loads((tmp_path / "out" / "a" / "a.json").read_text()) == [[{"bbox_2d": None, "content": "Recognized text 4x4", "index": 0, "label": "text"}]]
+
+
+def test_command_loads_pdf_pages(shared, tmp_path):
+    from quire.cli import main
+
+    class Loader:
+        def load(self, content, kind, cap):
+            assert content == b"fake-pdf"
+            for i in range(3 if cap is None else min(3, cap)):
+                yield i, 64, 48, bytes([i]) * (64 * 48 * 3)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.pdf").write_bytes(b"fake-pdf")
+    assert main([str(tmp_path / "in"), str(tmp_path / "out"), "--bundle", "--max-pages", "2", "--figure-format", "png", "--figure-naming", "page-region-padded", "--figures-dir-name", "figs"], shared, Loader()) == 0
+    assert len(json.loads((tmp_path / "out" / "b" / "b.json").read_text())) == 2
+    assert sorted(os.listdir(tmp_path / "out" / "b" / "figs"))[0] == "page_0001_region_0002.png" and len(os.listdir(tmp_path / "out" / "b" / "figs")) == 4
+
+
+def gradient(w, h):
+    return bytes(v for y in range(h) for x in range(w) for v in (x * 255 // w, y * 255 // h, 128))
+
+
+def test_pixels_reach_the_recogniser(shared):
+    class Reads:
+        """Finds the crop in the gradient by its pixels alone."""
+
+        pixels = True
+
+        def recognize(self, batch):
+            out = []
+            for data, w, h in zip(batch["pixels"], batch["width"], batch["height"]):
+                assert len(data) == w * h * 3
+                out.append(f"Recognized text {w}x{h} from {data[0]},{data[1]} to {data[-3]},{data[-2]}")
+            return out
+
+    rgb = gradient(640, 480)
+    given = shared.createDataFrame([(1, 0, 640, 480, rgb), (1, 1, 640, 480, None)], "doc long, page int, w int, h int, rgb binary")
+    got = Engine(shared, Config(bundle=Bundle(enabled=True, figure_format="png")), recognizer=Reads()).parse(given).collect()[0]
+    assert got.pages[0][0].content == f"Recognized text 640x123 from 0,0 to {639 * 255 // 640},{122 * 255 // 480}"
+    assert got.pages[1][0].content == "" and "page[1] region[0] recognition failed: no pixels" in got.warnings
+    assert len(got.figures) == 2 and json.loads(got.sidecar)["schemaVersion"] == 1 and "ocr_inference" in json.loads(got.sidecar)["diagnostics"]["timingsMs"]
+    plain = Engine(shared, Config(enable_layout=False), recognizer=Reads()).parse(given).collect()[0]
+    assert plain.pages[0][0].content.startswith("Recognized text 640x480 from 0,0")
+
+
+def test_crops_are_masked_by_their_polygon(shared):
+    rgb = bytes(range(100)) * 3
+    pages_ = shared.createDataFrame([(1, 0, 10, 10, rgb)], "doc long, page int, w int, h int, rgb binary")
+    jobs = shared.createDataFrame([(1, 0, 0, [0, 0, 4, 4], [[0, 0], [200, 0], [200, 1000], [0, 1000]]), (1, 0, 1, [2, 2, 3, 3], None), (1, 0, 2, [5, 5, 5, 5], None)], "doc long, page int, idx int, crop array<int>, polygon array<array<int>>")
+    got = {r.idx: r.pixels for r in adapters.with_pixels(jobs, pages_).collect()}
+    rows = [bytes(got[0][y * 12 : y * 12 + 12]) for y in range(4)]
+    assert all(r[:6] == rgb[y * 30 : y * 30 + 6] and r[6:] == b"\xff" * 6 for y, r in enumerate(rows))
+    assert bytes(got[1]) == rgb[66:69] and got[2] is None
+
+
+def test_one_model_a_worker(shared):
+    class Slow:
+        def __init__(self):
+            import os
+            import uuid
+
+            self.name = f"{os.getpid()} {uuid.uuid4()}"
+
+        def recognize(self, batch):
+            return [self.name] * len(batch)
+
+    jobs = shared.range(400).select(F.col("id").alias("doc"), F.lit(0).alias("page"), F.lit(0).alias("idx"), F.lit("text").alias("task"), F.lit("p").alias("prompt"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    model = adapters.Shared(Slow)
+    names = {r.text for _ in range(2) for r in adapters.recognise(jobs, model).collect()}
+    assert len(names) == len({n.split()[0] for n in names})
+
+
+def test_a_failed_batch_fails_each_of_its_jobs(shared):
+    class Fails:
+        def recognize(self, batch):
+            if 3 in list(batch["idx"]):
+                raise RuntimeError("engine stopped")
+            return ["ok"] * (len(batch) - (7 in list(batch["idx"])))
+
+    jobs = shared.createDataFrame([(1, 0, i) for i in range(12)], "doc long, page int, idx int").select("*", F.lit("text").alias("task"), F.lit("p").alias("prompt"), F.lit(1).alias("width"), F.lit(1).alias("height")).coalesce(1)
+    got = {r.idx: (r.text, r.error) for r in adapters.recognise(jobs, Fails()).collect()}
+    assert [got[i] for i in range(12)] == [(None, "engine stopped")] * 4 + [(None, "3 texts for 4 jobs")] * 4 + [("ok", None)] * 4
+    again = {r.idx: r.error for r in adapters.recognise(jobs, Fails(), retry=True).collect()}
+    assert {i for i, e in again.items() if e} == {3, 7}
+
+
+def test_sampling(shared):
+    from quire.functions import model_math as M
+
+    scores = shared.createDataFrame([(k, t, float(x)) for k in range(400) for t, x in enumerate([2.0, 1.0, 0.0, -9.0])], "step int, token int, logit double").withColumn("history", F.lit(None).cast("array<int>"))
+    drawn = [r.token for r in M.next_token(scores, ["step"], temperature=1.0, top_p=1.0, top_k=0, seed=5).collect()]
+    assert drawn.count(0) > drawn.count(1) > drawn.count(2) > drawn.count(3) and abs(drawn.count(0) / 400 - 0.665) < 0.08
+    assert {r.token for r in M.next_token(scores, ["step"], temperature=0).collect()} == {0}
+    assert {r.token for r in M.next_token(scores, ["step"], temperature=1.0, top_k=1).collect()} == {0}
+    near = scores.withColumn("history", F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(3), 19)))
+    far = scores.withColumn("history", F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(3), 20)))
+    assert {r.token for r in M.next_token(near, ["step"], temperature=0, penalty=3.0).collect()} == {1}
+    assert {r.token for r in M.next_token(far, ["step"], temperature=0, penalty=3.0).collect()} == {0}
+
+
+def test_natural_order_of_long_numbers(shared):
+    names = ["a" + "1" * 25 + "2.png", "a" + "1" * 26 + ".png", "a" + "0" * 30 + "7.png", "a12.png", "b.png", "A3.png", "a.png"]
+    df = shared.createDataFrame([(f"/x/{n}",) for n in names], "path string").repartition(3)
+    got = [r.name for r in files.natural_order(files.accepted(df)).orderBy("pos").collect()]
+    assert got == ["a.png", "A3.png", "a" + "0" * 30 + "7.png", "a12.png", "a" + "1" * 26 + ".png", "a" + "1" * 25 + "2.png", "b.png"]
+    assert [r.pos for r in files.natural_order(files.accepted(df)).orderBy("pos").collect()] == list(range(7))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quire.session import shared_dir
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("local[4]")).startswith("file:") and shared_dir(session("yarn", "hdfs://x")) == "hdfs://x"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
 
 
 def test_masks_and_polygons_reach_the_regions(shared):
@@ -201,8 +332,6 @@ def test_command_writes_the_figures_it_links(shared, tmp_path):
 def test_whole_metadata(shared):
     from hashlib import sha256
 
-    from quire.plans.pipeline_queries import whole_metadata
-
     want = {
         "layoutEnabled": "true", "markdownBundleEnabled": "true", "markdownBundleGenerated": "true", "markdownBundleFigureCount": "2", "pageCount": "2", "layoutDetectionCount": "6", "maxConcurrentRecognitions": "1",
         "maxPagesOption": "7", "defaultMaxPages": "nil", "effectiveMaxPages": "7", "pdfDPI": "200", "pdfMaxRenderedLongSide": "3500", "inferenceBatchSize": "4", "inferenceBatchMaxWaitMs": "8", "inferenceMaxInflightJobs": "1",
@@ -215,5 +344,3 @@ def test_whole_metadata(shared):
     given = shared.createDataFrame([(1, 0, 50, 40, bytes(6000)), (1, 1, 50, 40, None)], "doc long, page int, w int, h int, rgb binary")
     got = Engine(shared, Config(bundle=Bundle(enabled=True, figure_format="png"))).parse(given, ParseOptions(max_pages=7)).collect()
     assert got[0].metadata == want and len(want) == 36
-    found = whole_metadata(shared, "/root/testdata/sf0.001").collect()
-    assert found and all(set(r.metadata) == set(want) and int(r.metadata["pageCount"]) > 0 for r in found)
