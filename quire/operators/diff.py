@@ -84,77 +84,87 @@ def diff_copies(
     ks, fs = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        names = [F.col(_q(c)).alias(a) for c, a in zip((*keys, *fields), (*ks, *fs))]
-        return digested(df, fields).select(*names, F.lit(sign).cast("long").alias("sign"))
+        # The key is one struct, in which null equals null.
+        key = F.struct(*[F.col(_q(c)).alias(a) for c, a in zip(keys, ks)]).alias("k")
+        return digested(df, fields).select(key, *[F.col(_q(c)).alias(a) for c, a in zip(fields, fs)], F.lit(sign).cast("long").alias("sign"))
 
     both = side(left, 1).unionByName(side(right, -1))
     if multiset:
         net = F.sum("sign")
     else:
         net = F.max(F.when(F.col("sign") > 0, 1).otherwise(0)) - F.max(F.when(F.col("sign") < 0, 1).otherwise(0))
-    left_over = both.groupBy(*ks, *fs).agg(net.cast("long").alias("net")).where("net <> 0")
-
-    left_over = _near_pairs(left_over, ks, fs, block)
-    # Repeats of a leftover row become rows of their own, so that each is paired; `near` is the mask of one that is.
-    rows = left_over.select(*ks, *fs, "is_left", "near", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    rows = rows.withColumn("paired", F.col("near") > 0)
-    place = F.row_number().over(Window.partitionBy(*ks, "is_left", "paired").orderBy(*fs))
+    left_over = both.groupBy("k", *fs).agg(net.cast("long").alias("net")).where("net <> 0")
+
+    sides = [F.sum(F.greatest(F.col("net") * sign, F.lit(0))) for sign in (1, -1)]
+    hot = left_over.groupBy("k").agg(F.greatest(*sides).alias("most")).where(F.col("most") > block).select("k", F.lit(True).alias("hot"))
+    rows = left_over.join(hot, "k", "left").withColumn("n", F.abs("net")).withColumn("is_left", F.col("net") > 0)
+    near, rest = _near_pairs(rows.where("hot"), fs)
+    cold = rows.where("hot is null").select("k", *fs, "is_left", "n", F.lit(0).cast("long").alias("block"))
+    # Repeats of a leftover row become rows of their own, so that each is paired.
     blocks = (
-        rows.withColumn("block", F.floor((place - 1) / F.lit(block)))
-        .groupBy(*ks, "paired", "block")
-        .agg(
-            F.collect_list(F.when(F.col("is_left") & ~F.col("paired"), F.struct(*fs))).alias("ls"),
-            F.collect_list(F.when(~F.col("is_left") & ~F.col("paired"), F.struct(*fs))).alias("rs"),
-            F.collect_list(F.when(F.col("paired"), F.col("near"))).alias("near"),
-        )
-        .select(*ks, F.size("ls").alias("nl"), F.size("rs").alias("nr"), "near", _masks(len(fields)).alias("masks"))
+        cold.unionByName(_in_blocks(rest, fs, block))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+        .groupBy("k", "block")
+        .agg(F.collect_list(F.when(F.col("is_left"), F.struct(*fs))).alias("ls"), F.collect_list(F.when(~F.col("is_left"), F.struct(*fs))).alias("rs"))
+        .select("k", F.size("ls").alias("nl"), F.size("rs").alias("nr"), _masks(len(fields)).alias("masks"))
     )
     schema = T.StructType([*[f for f in blocks.schema if f.name != "masks"], T.StructField("pairs", T.ArrayType(T.IntegerType()))])
     paired = blocks.mapInPandas(_assign_masks, schema)
 
     n_pairs = F.size("pairs")
     found = paired.select(
-        *ks,
+        "k",
         F.explode(
             F.concat(
-                F.transform("near", lambda m: F.struct(F.lit("changed").alias("status"), m.alias("mask"))),
                 F.transform("pairs", lambda m: F.struct(F.lit("changed").alias("status"), m.alias("mask"))),
                 F.array_repeat(F.struct(F.lit("only_left").alias("status"), F.lit(0).alias("mask")), F.col("nl") - n_pairs),
                 F.array_repeat(F.struct(F.lit("only_right").alias("status"), F.lit(0).alias("mask")), F.col("nr") - n_pairs),
             )
         ).alias("x"),
     )
+    many = near.select("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")), F.struct(F.lit("changed").alias("status"), F.col("mask")).alias("x"))
+    found = found.unionByName(many.select("k", "x"))
     flags = [F.when(F.col("x.mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f)) for i, f in enumerate(fields)]
-    named = [F.col(k).alias(name) for k, name in zip(ks, keys)]
+    named = [F.col(f"k.{k}").alias(name) for k, name in zip(ks, keys)]
     return found.select(*named, F.col("x.status").alias("status"), F.array_compact(F.array(*flags)).alias("diffs"))
 
 
-def _near_pairs(left_over: DataFrame, ks: Sequence[str], fs: Sequence[str], block: int) -> DataFrame:
-    """Leftover rows as (keys, fields, is_left, near, n): of keys with more than `block` on a side, those that differ from a row of
-    the other side in one field, then in two, are paired: near is the mask of the left row's pair. Others have 0.
+def _near_pairs(rows: DataFrame, fs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Of leftover rows of hot keys, pairs as (k, mask, n) that differ in one field, then in two, and the rows left, with n.
 
     Each step takes rows that agree in all other fields by multiplicity, in order of the fields let go: a window
     counts both sides, no rows are joined. As equal rows are gone before, and pairs of one field before those of
-    two, a pair differs in exactly the fields let go. Steps go on by one shuffle each, in the order of the fields.
+    two, a pair differs in exactly the fields let go. Steps go on in the order of the fields; each spreads a key's rows by
+    the fields that must agree, so that a hot key is in no one task.
     """
-    many = Window.partitionBy(*ks)
-    l, r = F.sum(F.greatest("net", F.lit(0))).over(many), F.sum(F.greatest(-F.col("net"), F.lit(0))).over(many)
-    rows = left_over.withColumn("hot", F.greatest(l, r) > block).withColumn("n", F.abs("net")).withColumn("is_left", F.col("net") > 0)
-    rows = rows.withColumn("done", F.array().cast("array<struct<mask:int,n:bigint>>"))
+    rows = rows.select("k", *fs, "is_left", "n").withColumn("done", F.array().cast("array<struct<mask:int,n:bigint>>"))
     for free in [c for size in (1, 2) if size < len(fs) for c in itertools.combinations(range(len(fs)), size)]:
-        alike = [*ks, *[f for i, f in enumerate(fs) if i not in free]]
+        alike = ["k", *[f for i, f in enumerate(fs) if i not in free]]
+        rows = rows.repartition(*alike)
         w = Window.partitionBy(*alike)
         before = Window.partitionBy(*alike, "is_left").orderBy(*[fs[i] for i in free]).rowsBetween(Window.unboundedPreceding, -1)
         both = F.least(F.sum(F.when(F.col("is_left"), F.col("n")).otherwise(0)).over(w), F.sum(F.when(~F.col("is_left"), F.col("n")).otherwise(0)).over(w))
         rows = rows.withColumn("both", both).withColumn("gone", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        took = F.when(F.col("hot"), F.greatest(F.lit(0), F.least(F.col("n"), F.col("both") - F.col("gone")))).otherwise(0).cast("long")
-        mask = sum(1 << i for i in free)
-        rows = rows.withColumn("took", took)
-        one = F.array(F.struct(F.lit(mask).alias("mask"), F.col("took").alias("n")))
+        rows = rows.withColumn("took", F.greatest(F.lit(0), F.least(F.col("n"), F.col("both") - F.col("gone"))).cast("long"))
+        one = F.array(F.struct(F.lit(sum(1 << i for i in free)).alias("mask"), F.col("took").alias("n")))
         rows = rows.withColumn("done", F.when(F.col("is_left") & (F.col("took") > 0), F.concat("done", one)).otherwise(F.col("done")))
         rows = rows.withColumn("n", F.col("n") - F.col("took")).drop("took", "both", "gone")
-    items = F.concat("done", F.array(F.struct(F.lit(0).alias("mask"), "n")))
-    return rows.select(*ks, *fs, "is_left", F.explode(items).alias("d")).select(*ks, *fs, "is_left", F.col("d.mask").alias("near"), F.col("d.n").alias("n")).where("n > 0")
+    pairs = rows.select("k", F.explode("done").alias("d")).select("k", "d.mask", "d.n")
+    return pairs, rows.where("n > 0").drop("done")
+
+
+def _in_blocks(rows: DataFrame, fs: Sequence[str], size: int, salts: int = 64) -> DataFrame:
+    """Rows of hot keys with the `block` of each side that they are paired in, `size` rows a side.
+
+    Rows are numbered within salts of their key and side; the rows in the salts before, of which a key has few, are added.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*fs), F.lit(salts)).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    sizes = salted.groupBy("k", "is_left", "salt").agg(F.count("*").alias("rows"))
+    ahead = Window.partitionBy("k", "is_left").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("k", "is_left", "salt", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("k", "is_left", "salt").orderBy(*fs, "copy")) - 1
+    placed = salted.withColumn("place", place).join(sizes, ["k", "is_left", "salt"])
+    return placed.select("k", *fs, "is_left", F.lit(1).cast("long").alias("n"), F.floor((F.col("ahead") + F.col("place")) / size).alias("block"))
 
 
 def _masks(n_fields: int) -> Column:
