@@ -14,6 +14,7 @@ Pages are read twice: once for word counts and edge lines, once to decode them.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 import uuid
@@ -40,7 +41,7 @@ CONFUSIONS = (
 ODD = frozenset("€¢@1|!05698+(иſﬁﬂ")
 HYPHENS = "-‐\xad¬"
 
-#: Words kept in the lexicon, most frequent first; their counts are over all pages.
+#: Words that every worker holds, most frequent first; their counts are over all pages. Counts of rarer words are joined to the pages that ask for them.
 LEXICON_WORDS = 200_000
 #: A word is taken for a misreading of another so many times as frequent.
 DOMINATES = 12
@@ -359,6 +360,58 @@ class Lexicon:
         return got
 
 
+class _Asked:
+    """Counts that remember which words they don't have."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts, self.missed = counts, set()
+
+    def get(self, word: str, default: int = 0) -> int:
+        got = self.counts.get(word)
+        if got is None:
+            self.missed.add(word)
+            return default
+        return got
+
+
+class _Joined:
+    """Two mappings as one."""
+
+    def __init__(self, base: Any, more: dict):
+        self.base, self.more = base, more
+
+    def get(self, key: str, default: Any = None) -> Any:
+        got = self.base.get(key)
+        if got is None:
+            return self.more.get(key, default)
+        return got + self.more.get(key, []) if isinstance(got, list) else got
+
+
+def _fresh(lex: Lexicon, counts: Any) -> Lexicon:
+    """The lexicon with other counts, nothing remembered of those it had."""
+    new = copy.copy(lex)
+    new.counts, new.read, new.parts, new.sure = counts, {}, {}, set()
+    return new
+
+
+def asked_words(lines: list[tuple[int, str]], lex: Lexicon) -> set[str]:
+    """Words whose counts a page's decoding may ask for beyond the lexicon. An unknown word is asked for most, so none is left out."""
+    asked = _Asked(lex.counts)
+    decode(lines, _fresh(lex, asked))
+    return {w for w in asked.missed if is_word(w)}
+
+
+def with_words(lex: Lexicon, words: dict[str, int]) -> Lexicon:
+    """The lexicon with the counts of some rarer words."""
+    new = _fresh(lex, _Joined(lex.counts, words))
+    alike: dict[str, list[str]] = defaultdict(list)
+    for w in words:
+        if ODD.isdisjoint(w):
+            alike[strokes(w)].append(w)
+    new.alike = _Joined(lex.alike, alike)
+    return new
+
+
 # --- decoding ---------------------------------------------------------------------------------
 
 
@@ -661,7 +714,7 @@ def word_counts(seen: DataFrame) -> DataFrame:
 
 def lexicon(seen: DataFrame, most: int = LEXICON_WORDS) -> dict[str, int]:
     """The `most` most frequent words with their counts over all pages, which bounds what goes to the driver and workers."""
-    top = word_counts(seen).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    top = word_counts(seen).where("n > 1 and char_length(word) > 0").orderBy(F.desc("n"), "word").limit(most)
     return {r["word"]: r["n"] for r in top.toLocalIterator()}
 
 
@@ -710,33 +763,51 @@ def repair(df: DataFrame, common_words: DataFrame, *, lexicon_words: int = LEXIC
     empty and blank pages have no kinds and an empty text. Pages that are tables or junk keep their
     lines as they are, and only their headers and numbers are noise. Equal rows count once; pages
     without a scan share headers with none. What the first pass finds is written by checkpoint() while
-    the plan is made; the most frequent words go from there to the driver and as a broadcast to workers.
+    the plan is made; the most frequent words go from there to the driver and as a broadcast to workers, and where
+    there are more than `lexicon_words`, the counts of the others are joined to the pages that need them.
     """
     pages = _pages(df)
     use_checkpoints(df.sparkSession)
     seen = survey(pages).checkpoint()
-    counts, name = df.sparkSession.sparkContext.broadcast(lexicon(seen, lexicon_words)), uuid.uuid4().hex
+    words = lexicon(seen, lexicon_words)
+    counts, name = df.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
     common = quality.word_set(common_words)
     # Only this join moves texts; rows that repeat lie together after it.
     marked = pages.join(running_lines(seen), ["page_id", "text_key"]).dropDuplicates(["page_id", "text_key"]).select("page_id", "content", "headers", "numbers")
+
+    def body_of(content: str | None, headers: Any, numbers: Any) -> tuple[list[str], list[tuple[int, str]], set[int], set[int]]:
+        drop_h = set() if headers is None else running({int(x["place"]): int(x["line"]) for x in headers})
+        drop_n = set() if numbers is None else set(map(int, numbers))
+        lines = _BREAK.split(content or "")
+        return lines, [(i, x) for i, x in enumerate(lines) if x.strip() and i not in drop_h and i not in drop_n], drop_h, drop_n
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = _lexicon_of(name, counts)
+        for b in batches:
+            out = [(p, w) for p, *x in zip(b["page_id"], b["content"], b["headers"], b["numbers"]) for w in asked_words(body_of(*x)[1], lex)]
+            yield pd.DataFrame(out, columns=["page_id", "word"])
+
+    if len(words) == lexicon_words:
+        # More words than workers hold: each page gets the counts of those that its readings ask for.
+        rare = marked.mapInPandas(ask, "page_id long, word string").join(word_counts(seen).where("n > 1"), "word").groupBy("page_id").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+        marked = marked.join(rare, "page_id", "left")
+    else:
+        marked = marked.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     schema = "page_id long, kinds array<string>, repaired string, n_hyphens int, n_misreads int, n_splits int, n_merges int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, often = _lexicon_of(name, counts), quality.Common(common)
         for b in batches:
             out = []
-            for page_id, content, headers, numbers in zip(b["page_id"], b["content"], b["headers"], b["numbers"]):
-                drop_h = set() if headers is None else running({int(x["place"]): int(x["line"]) for x in headers})
-                drop_n = set() if numbers is None else set(map(int, numbers))
-                lines = _BREAK.split(content or "")
-                body = [(i, x) for i, x in enumerate(lines) if x.strip() and i not in drop_h and i not in drop_n]
+            for page_id, content, headers, numbers, rare in zip(b["page_id"], b["content"], b["headers"], b["numbers"], b["rare"]):
+                lines, body, drop_h, drop_n = body_of(content, headers, numbers)
                 text = "\n".join(x for _, x in body)
                 kind = quality.kind(quality.sums(text, often, quality.SPREAD))
                 kinds = ["header"] * bool(drop_h) + ["page_number"] * bool(drop_n - drop_h)
                 if kind in (None, "table", "junk"):
                     out.append((page_id, kinds, text, 0, 0, 0, 0))
                     continue
-                r = decode(body, lex)
+                r = decode(body, lex if rare is None else with_words(lex, {x["word"]: int(x["n"]) for x in rare}))
                 kinds += ["hyphen"] * bool(r.hyphens)
                 kinds += ["misread"] * bool(r.misreads)
                 firsts = {i for i, _ in body} if kind == "list" else set(paragraphs(body, lines))

@@ -83,7 +83,7 @@ raw AS (
   SELECT region_id, scan_id, page_index, region_index, label, source, tabular, content, content <> '' AS filled,
     [chars, utf8, chars + astral, chars + 4 * amps + 3 * angles, chars + escapes + 5 * wide + 6 * astral, chars + escapes, chars + newlines, utf8 + newlines] AS sizes,
     label IN ('text', 'abstract', 'reference_content', 'vision_footnote', 'vertical_text', 'content') AND task = 'text' AS prose,
-    label <> 'content' OR (NOT regexp_matches(e, '{_CAPTION}') AND (regexp_matches(e, '[.!?][\\p{{Pf}}\\p{{Pe}}"'']*\\s+\\S') OR length(e) > 70)) AS sentences,
+    label <> 'content' OR (NOT regexp_matches(e, '{_CAPTION}') AND (regexp_matches(e, '[.!?][\\p{{Pf}}\\p{{Pe}}"'']*\\s+\\S') OR regexp_matches(e, '[,;]$'))) AS sentences,
     ends_with(content, chr(65533)) AS torn, regexp_matches(content, '^\p{{Ll}}') AND NOT regexp_matches(content, '^\p{{Ll}}[.)]\s') AS begins_low, regexp_matches(e, '(?:\.\.\.|…)$') AS dots,
     regexp_matches(e, '[.!?。！？]{_CLOSING}$') AND NOT regexp_matches(e, '(?:^|\s)(?:\p{{Nd}}{{1,3}}|\p{{Lu}})\.$') AS ends_well,
     {_n('[(“«„]', 'e')} > {_n('[)”»“]', 'e')} AS opened, regexp_matches(e, '^\s*{_MARKER}') AND regexp_matches(e, '\n\s*{_MARKER}') AS listed,

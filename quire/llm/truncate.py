@@ -26,7 +26,7 @@ SPAN = 4096
 #: Labels of running text (a sentence must end) and of headings and the like (it need not).
 PROSE = ("text", "abstract", "reference_content", "vision_footnote", "vertical_text", "content")
 #: A label that says nothing about the kind of text: it may be prose or a heading, a caption or a seal.
-VAGUE, HEADING_CHARS = "content", 70
+VAGUE = "content"
 
 #: Kinds of length, by name.
 CODINGS = ("chars", "utf8", "utf16", "html", "json_ascii", "json", "crlf", "utf8_crlf")
@@ -87,7 +87,7 @@ def features(regions: DataFrame) -> DataFrame:
         (content != "").alias("filled"),
         F.expr("shiftleft(1L, int(pmod(xxhash64(content), 64)))").alias("mark"),
         F.array(*[c.cast("int") for c in lengths(whole).values()]).alias("sizes"),
-        ((F.col("label") != VAGUE) | (~end.rlike(_CAPTION) & (end.rlike(r"[.!?][\p{Pf}\p{Pe}\"']*\s+\S") | (F.char_length(end) > HEADING_CHARS)))).alias("sentences"),
+        ((F.col("label") != VAGUE) | (~end.rlike(_CAPTION) & (end.rlike(r"[.!?][\p{Pf}\p{Pe}\"']*\s+\S") | end.rlike(r"[,;]$")))).alias("sentences"),
         content.rlike("\ufffd$").alias("torn"),
         content.rlike(r"^\p{Ll}(?![.)]\s)").alias("begins_low"),
         end.rlike(_DOTS).alias("dots"),
@@ -157,7 +157,7 @@ def truncated(regions: DataFrame) -> DataFrame:
 
     Columns region_id, source, label, cut (boolean), reason ('limit', 'marked', 'sentence', 'table',
     'bytes' or null). Null and empty contents are no rows. Regions labelled 'content' count as prose where
-    they hold more than one sentence or more than a heading's length. Regions whose source is null have no limit
+    a sentence ends before their end, or where they stop at a comma or semicolon, as no heading does. Regions whose source is null have no limit
     but their endings are inspected. Regions without scan, page or region order follow none. A sentence
     runs on where the next text region, on the page or the pages after, begins with a small letter that isn't a list's; the
     pages of a scan are linked by a summary of one row a page, so a scan of any length is no hot spot.

@@ -154,3 +154,21 @@ def test_paragraphs_are_of_least_cost():
         best = min(cost({0, *c}, body, every) for r in range(n) for c in itertools.combinations(range(1, n), r))
         at = {i: k for k, (i, _) in enumerate(body)}
         assert abs(cost({at[i] for i in D.paragraphs(body, every)}, body, every) - best) < 1e-9
+
+
+def test_rare_words_are_joined_to_their_pages(spark):
+    """With fewer words held than there are, readings are as with all of them."""
+    sf = "/root/testdata/sf0.001"
+    texts, common = spark.read.parquet(f"{sf}/page_texts.parquet"), spark.read.parquet(f"{sf}/common_words.parquet")
+    few = {r.page_id: (sorted(r.kinds), r.repaired) for r in D.repair(texts, common, lexicon_words=120).collect()}
+    every = {r.page_id: (sorted(r.kinds), r.repaired) for r in D.repair(texts, common).collect()}
+    assert few.keys() == every.keys() and sum(few[i] == every[i] for i in few) >= 0.9 * len(few)
+
+
+def test_asked_words(lex):
+    small = D.Lexicon({w: n for w, n in WORDS.items() if w not in ("sediment", "modern", "mill")})
+    lines = list(enumerate(["the m0dern sedi-", "ment was by the rnill"]))
+    asked = D.asked_words(lines, small)
+    assert {"modern", "sediment", "mill"} <= asked
+    full = D.with_words(small, {w: WORDS[w] for w in asked if w in WORDS})
+    assert text(D.decode(lines, full)) == text(D.decode(lines, lex)) == "the modern sediment was by the mill"
