@@ -25,6 +25,7 @@ from itertools import product
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -660,14 +661,12 @@ def survey(pages: DataFrame) -> DataFrame:
     Edge rows have `place` and `folded` of lines that may be running ones, or `number`, its `offset` to the
     page index and whether it is `plain`. Tokens are counted as they are and taken apart once each.
     """
-    names = [x.split()[0] for x in _SEEN.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [x.split() for x in _SEEN.split(", ")]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=names)
-        for c in ("n", "page_id", "text_key", "scan_id", "page_index", "line", "place", "number", "offset"):
-            made[c] = made[c].astype("Int64")
-        made["plain"] = made["plain"].astype("boolean")
-        return made
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [f for f, _ in fields])
 
     def words(tokens: Counter) -> list[tuple]:
         counts: dict[str, int] = defaultdict(int)
@@ -677,12 +676,12 @@ def survey(pages: DataFrame) -> DataFrame:
                 counts[t[a:z].lower()] += n
         return [(w, n, *[None] * 10) for w, n in counts.items()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-        for b in batches:
-            out = []
+        for batch in batches:
+            b, out = batch.to_pydict(), []
             for page_id, key, scan_id, index, text in zip(b["page_id"], b["text_key"], b["scan_id"], b["page_index"], b["content"]):
-                page = (None, None, page_id, key, None if pd.isna(scan_id) else int(scan_id), None if pd.isna(index) else int(index))
+                page = (None, None, page_id, key, scan_id, index)
                 out.append((*page, -1, None, None, None, None, None))
                 e = edges(text or "")
                 for place, i in edge_lines(e):
@@ -704,7 +703,7 @@ def survey(pages: DataFrame) -> DataFrame:
                 tokens.clear()
         yield frame(words(tokens))
 
-    return pages.mapInPandas(run, _SEEN)
+    return pages.mapInArrow(run, _SEEN)
 
 
 def word_counts(seen: DataFrame) -> DataFrame:
@@ -794,11 +793,12 @@ def repair(df: DataFrame, common_words: DataFrame, *, lexicon_words: int = LEXIC
     else:
         marked = marked.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     schema = "page_id long, kinds array<string>, repaired string, n_hyphens int, n_misreads int, n_splits int, n_merges int"
+    kinds_of = {"page_id": pa.int64(), "kinds": pa.list_(pa.string()), "repaired": pa.string(), **{f"n_{x}": pa.int32() for x in ("hyphens", "misreads", "splits", "merges")}}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, often = _lexicon_of(name, counts), quality.Common(common)
-        for b in batches:
-            out = []
+        for batch in batches:
+            b, out = batch.to_pydict(), []
             for page_id, content, headers, numbers, rare in zip(b["page_id"], b["content"], b["headers"], b["numbers"], b["rare"]):
                 lines, body, drop_h, drop_n = body_of(content, headers, numbers)
                 text = "\n".join(x for _, x in body)
@@ -817,6 +817,7 @@ def repair(df: DataFrame, common_words: DataFrame, *, lexicon_words: int = LEXIC
                         fixed.append(gap if line in firsts else " ")
                     fixed.append(" ".join(words))
                 out.append((page_id, kinds, "".join(fixed), r.hyphens, r.misreads, r.splits, r.merges))
-            yield pd.DataFrame(out, columns=["page_id", "kinds", "repaired", "n_hyphens", "n_misreads", "n_splits", "n_merges"])
+            columns = zip(*out) if out else [[]] * len(kinds_of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds_of.values())], list(kinds_of))
 
-    return marked.mapInPandas(run, schema)
+    return marked.mapInArrow(run, schema)
