@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import use_checkpoints
+
 #: Leftover rows of one side of a key that are assigned together. Up to this many the assignment
 #: has minimum cost; beyond it a key is cut into blocks of rows that are neighbours in field order.
 BLOCK = 256
@@ -79,7 +81,8 @@ def diff_copies(
     rows on either side beyond what the other side has. Columns other than keys and fields are
     not read, whatever their names. Texts are compared by 128-bit digests, and may come as `digested` ones. Keys with more than `block` leftover rows on a side first pair
     rows that differ in one field, then in two; the rest is paired block by block in field order:
-    the number of one-sided rows stays exact, the pairing is of minimum cost within each block.
+    the number of one-sided rows stays exact, the pairing is of minimum cost within each block. What doesn't cancel is
+    written by checkpoint() while the plan is made, so that both sides are read once.
     """
     ks, fs = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
@@ -93,17 +96,24 @@ def diff_copies(
         net = F.sum("sign")
     else:
         net = F.max(F.when(F.col("sign") > 0, 1).otherwise(0)) - F.max(F.when(F.col("sign") < 0, 1).otherwise(0))
-    left_over = both.groupBy("k", *fs).agg(net.cast("long").alias("net")).where("net <> 0")
+    use_checkpoints(left.sparkSession)
+    left_over = both.groupBy("k", *fs).agg(net.cast("long").alias("net")).where("net <> 0").checkpoint()
 
     sides = [F.sum(F.greatest(F.col("net") * sign, F.lit(0))) for sign in (1, -1)]
     hot = left_over.groupBy("k").agg(F.greatest(*sides).alias("most")).where(F.col("most") > block).select("k", F.lit(True).alias("hot"))
-    rows = left_over.join(hot, "k", "left").withColumn("n", F.abs("net")).withColumn("is_left", F.col("net") > 0)
-    near, rest = _near_pairs(rows.where("hot"), fs)
-    cold = rows.where("hot is null").select("k", *fs, "is_left", "n", F.lit(0).cast("long").alias("block"))
+    rows = left_over.withColumn("n", F.abs("net")).withColumn("is_left", F.col("net") > 0)
+    many = None
+    if hot.isEmpty():
+        todo = rows.select("k", *fs, "is_left", "n", F.lit(0).cast("long").alias("block"))
+    else:
+        rows = rows.join(hot, "k", "left")
+        near, rest = _near_pairs(rows.where("hot"), fs)
+        cold = rows.where("hot is null").select("k", *fs, "is_left", "n", F.lit(0).cast("long").alias("block"))
+        todo = cold.unionByName(_in_blocks(rest, fs, block))
+        many = near.select("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")), F.struct(F.lit("changed").alias("status"), F.col("mask")).alias("x")).select("k", "x")
     # Repeats of a leftover row become rows of their own, so that each is paired.
     blocks = (
-        cold.unionByName(_in_blocks(rest, fs, block))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+        todo.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
         .groupBy("k", "block")
         .agg(F.collect_list(F.when(F.col("is_left"), F.struct(*fs))).alias("ls"), F.collect_list(F.when(~F.col("is_left"), F.struct(*fs))).alias("rs"))
         .select("k", F.size("ls").alias("nl"), F.size("rs").alias("nr"), _masks(len(fields)).alias("masks"))
@@ -122,8 +132,7 @@ def diff_copies(
             )
         ).alias("x"),
     )
-    many = near.select("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")), F.struct(F.lit("changed").alias("status"), F.col("mask")).alias("x"))
-    found = found.unionByName(many.select("k", "x"))
+    found = found if many is None else found.unionByName(many)
     flags = [F.when(F.col("x.mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f)) for i, f in enumerate(fields)]
     named = [F.col(f"k.{k}").alias(name) for k, name in zip(ks, keys)]
     return found.select(*named, F.col("x.status").alias("status"), F.array_compact(F.array(*flags)).alias("diffs"))
@@ -149,6 +158,7 @@ def _near_pairs(rows: DataFrame, fs: Sequence[str]) -> tuple[DataFrame, DataFram
         one = F.array(F.struct(F.lit(sum(1 << i for i in free)).alias("mask"), F.col("took").alias("n")))
         rows = rows.withColumn("done", F.when(F.col("is_left") & (F.col("took") > 0), F.concat("done", one)).otherwise(F.col("done")))
         rows = rows.withColumn("n", F.col("n") - F.col("took")).drop("took", "both", "gone")
+    rows = rows.checkpoint()
     pairs = rows.select("k", F.explode("done").alias("d")).select("k", "d.mask", "d.n")
     return pairs, rows.where("n > 0").drop("done")
 

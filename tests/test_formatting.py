@@ -93,7 +93,7 @@ def test_recognition_failures_become_errors(spark):
             return ["only one"] if len(batch) > 1 else [f"p{batch['page'].iloc[0]}"]
 
     jobs = spark.createDataFrame([(1, p, 0, 16, 16, "text", "A") for p in range(20)], JOBS)
-    got = {r.page: (r.text, r.error) for r in recognise(jobs, Failing()).collect()}
+    got = {r.page: (r.text, r.error) for r in recognise(jobs, Failing(), retry=True).collect()}
     assert got[13] == (None, "engine stopped") and got[12] == ("p12", None) and len(got) == 20
     ok = {r.page: r.text for r in recognise(jobs, StubRecognizer(), 8).collect()}
     assert set(ok.values()) == {"Recognized text 16x16"}
@@ -101,11 +101,11 @@ def test_recognition_failures_become_errors(spark):
 
 
 def test_markers(spark):
-    md = "a ![x](page=0,bbox=[1, 2, 3, 4]) b ![](page = 1 , bbox = [1,2,3,4]) ![z](page=1,bbox=[1])"
+    md = "a ![x](page=0,bbox=[1, 2, 3, 4]) b ![](page=1,bbox=[1, 2, 3, 4]) ![z](page=1,bbox=[1])"
     df = spark.createDataFrame([(md, ["p/1.png", None]), ("none", []), (md, ["p/1.png"])], "md string, paths array<string>")
     from pyspark.sql import functions as F
 
     got = [r.x for r in df.select(B.rewrite_markers(F.col("md"), F.col("paths")).alias("x")).collect()]
-    assert got[0] == "a ![x](p/1.png) b ![](page = 1 , bbox = [1,2,3,4]) ![z](page=1,bbox=[1])" and got[1] == "none" and got[2] == got[0]
+    assert got[0] == "a ![x](p/1.png) b ![](page=1,bbox=[1, 2, 3, 4]) ![z](page=1,bbox=[1])" and got[1] == "none" and got[2] == got[0]
     warn = [r.x for r in df.select(B.marker_mismatch(F.col("md"), F.col("paths")).alias("x")).collect()]
     assert warn[0] is None and warn[2].endswith("markers=2 figures=1")
