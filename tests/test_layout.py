@@ -211,6 +211,39 @@ def test_polygon_falls_back_to_the_box(spark):
     assert {len(r.polygon) for r in G.polygons(df).collect()} == {4}
 
 
+def test_polygons_of_many_boxes_equal_those_of_each():
+    rng = np.random.default_rng(11)
+    ys, xs = np.mgrid[:200, :200]
+    boxes, pages, masks = [], [], []
+    for i in range(300):
+        w, h = rng.choice([5, 40, 120, 400, 800], 2)
+        x, y = np.sort(rng.uniform(-3, w + 3, 2)), np.sort(rng.uniform(-3, h + 3, 2))
+        boxes.append((x[0], y[0], x[1], y[1]) if i % 20 else (x[1], y[0], x[0], y[1]))
+        pages.append((w, h))
+        noise, lines = rng.random((200, 200)) < rng.choice([0.01, 0.4, 1.0]), abs(xs - 100 - rng.integers(-1, 2) * (ys - 100)) <= rng.integers(0, 2)
+        spots = np.any([abs(ys - rng.integers(200)) / rng.integers(2, 60) + abs(xs - rng.integers(200)) / rng.integers(2, 60) <= 1 for _ in range(3)], axis=0)
+        masks.append([noise, lines, spots, np.zeros((200, 200), bool), np.zeros((0, 0), bool)][i % 5])
+    counts, points = G.batch(np.array(boxes), masks.__getitem__, np.array(pages, float))
+    ends = np.cumsum(counts)
+    for box, page, mask, n, end in zip(boxes, pages, masks, counts, ends):
+        assert [tuple(p) for p in points[end - n : end].tolist()] == G.polygon(box, mask, page)
+
+
+def test_equal_boxes_are_made_once_and_rounded(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def triangle(box, page):
+        with open(calls, "a") as f:
+            f.write("x")
+        ys, xs = np.mgrid[:200, :200]
+        return (xs + ys < 150) & (xs > 20) & (ys > 20)
+
+    boxes = spark.range(0, 500, 1, 1).selectExpr("id", "0D x1", "0D y1", "800D + id % 2 x2", "800D y2", "800 w", "800 h")
+    got = {(r.id % 2, tuple(map(tuple, r.polygon))) for r in G.polygons(boxes, triangle, digits=3).collect()}
+    exact = {(r.id % 2, tuple((round(x, 3), round(y, 3)) for x, y in r.polygon)) for r in G.polygons(boxes, triangle).collect()}
+    assert got == exact and len(got) == 2 and len(open(calls).read()) == 4
+
+
 def test_every_box_has_its_polygon(spark):
     from pyspark.sql import functions as F
 
