@@ -244,6 +244,15 @@ def test_equal_boxes_are_made_once_and_rounded(spark, tmp_path):
     assert got == exact and len(got) == 2 and len(open(calls).read()) == 4
 
 
+def test_polygon_properties_read_the_boxes_once(spark):
+    from quire.plans.layout_queries import l06_properties
+
+    df = l06_properties(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [") == 1 and plan.executedPlan().toString().count("Exchange ") == 1
+    assert df.where("closed and near").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
 def test_every_box_has_its_polygon(spark):
     from pyspark.sql import functions as F
 
