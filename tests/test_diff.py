@@ -104,3 +104,49 @@ def test_pages_against_all_assignments(spark):
         got[r.scan_id, r.page_index][0 if changed else 1] += r["rows"]
         got[r.scan_id, r.page_index][2] += r["rows"] * len(r.diffs)
     assert {k: tuple(v) for k, v in got.items()} == want and max(v[0] for v in want.values()) > 1
+
+
+def test_pairing_of_any_size_is_of_minimum_cost(spark):
+    """Keys below and above the size that blocks once began at, with repeats and nulls, against one assignment of the whole key."""
+    rng = random.Random(11)
+    sides = []
+    for more in (1.0, 0.6):
+        sides.append([(k, *[rng.choice([None, *range(v)]) for v in (40, 25, 12, 5)]) for k, n in ((1, 757), (2, 300), (3, 9), (4, 2), (None, 40)) for _ in range(int(n * more))])
+    schema = "k int, a int, b int, c int, d int"
+    left, right = (spark.createDataFrame(s, schema) for s in sides)
+    got = [(r["k"], r["status"], len(r["diffs"])) for r in diff_copies(left, right, ["k"], ["a", "b", "c", "d"]).collect()]
+    assert sorted(got, key=str) == sorted(((r["k"], r["status"], len(r["diffs"])) for r in diff_copies(left.orderBy("d", "a"), right.orderBy("c"), ["k"], ["a", "b", "c", "d"]).collect()), key=str)
+    for key in (1, 2, 3, 4, None):
+        a, b = (itertools.chain.from_iterable([row] * n for row, n in side.items()) for side in _rest(*[[r[1:] for r in s if r[0] == key] for s in sides]))
+        a, b = list(a), list(b)
+        cost = np.array([[sum(p != q for p, q in zip(x, y)) for y in b] for x in a]).reshape(len(a), len(b))
+        best = sum(cost[i, j] for i, j in assign(cost)) if a and b else 0
+        mine = [(s, n) for k, s, n in got if k == key]
+        assert (sum(n for _, n in mine), sum(s == "changed" for s, _ in mine), len(mine)) == (best, min(len(a), len(b)), max(len(a), len(b)))
+
+
+def _rest(a, b):
+    from collections import Counter
+
+    a, b = Counter(a), Counter(b)
+    return a - b, b - a
+
+
+def test_many_fields_and_one(spark):
+    rng = random.Random(5)
+    names = [f"c{i}" for i in range(9)]
+    sides = [[(1, *[rng.randrange(3) for _ in names]) for _ in range(n)] for n in (30, 25)]
+    schema = "k int, " + ", ".join(f"{c} int" for c in names)
+    got = diff_copies(*[spark.createDataFrame(s, schema) for s in sides], ["k"], names).collect()
+    cost = np.array([[sum(p != q for p, q in zip(x, y)) for y in sides[1]] for x in sides[0]])
+    assert sum(len(r["diffs"]) for r in got) == sum(cost[i, j] for i, j in assign(cost))
+    got = rows(diff_copies(*[spark.createDataFrame(s, schema) for s in sides], ["k"], ["c0"]))
+    a, b = (sum(n.values()) for n in _rest(*[[r[1] for r in s] for s in sides]))
+    assert [got.count((1, s, d)) for s, d in (("changed", ("c0",)), ("only_left", ()), ("only_right", ()))] == [min(a, b), a - min(a, b), b - min(a, b)]
+
+
+def test_a_row_repeated_often_takes_no_rows_of_its_own(spark):
+    left = spark.range(120_000).selectExpr("1 k", "'x' a", "'s' b").union(spark.range(30_000).selectExpr("2 k", "'x' a", "'s' b"))
+    right = spark.range(50_000).selectExpr("1 k", "'x' a", "'t' b")
+    got = {(r["k"], r["status"], tuple(r["diffs"])): r["count"] for r in diff_copies(left, right, ["k"], ["a", "b"]).groupBy("k", "status", "diffs").count().collect()}
+    assert got == {(1, "changed", ("b",)): 50_000, (1, "only_left", ()): 70_000, (2, "only_left", ()): 30_000}
